@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscope.functions.text import WHITESPACE, trim_whitespace
-from logscope.schema import MESSAGE_FIELDS, RECORD_FIELDS
+from logscope.schema import MESSAGE_FIELDS, RECORD_COLUMNS, RECORD_FIELDS
 
 # The ASCII white space JSON allows around a value; RFC 3339
 # date-time with a required offset ("Z" or +hh:mm), date/time separator T, t
@@ -55,7 +55,8 @@ def _type_ok(v: Column, path: str, kind: str, required: bool) -> tuple[Column, C
 
 
 def record_error(v: Column, raw: Column) -> Column:
-    """Reason a line is rejected, or NULL for a valid record (first check wins)."""
+    """Detailed reason a line is rejected, or NULL for a valid record (first
+    failing check in field order wins)."""
     checks: list[tuple[Column, str]] = [
         (raw.contains(REPLACEMENT_CHAR), "invalid UTF-8"),
         (v.isNull(), "invalid JSON"),
@@ -109,6 +110,51 @@ def project_from_path(file_path: Column) -> Column:
     return F.coalesce(F.when(parent != "", parent), F.lit("unknown"))
 
 
+def _shape_pattern(fields) -> str:
+    """Regex over ``schema_of_variant`` of the checked fields (keys come sorted)."""
+    want = {"string": "STRING", "boolean": "BOOLEAN"}
+    parts = []
+    for name, kind, required in sorted(fields, key=lambda f: f[0]):
+        t = want[kind]
+        parts.append(f"{name}: {t}" if required else f"{name}: ({t}|VOID)")
+    return "^OBJECT<" + ", ".join(parts) + ">$"
+
+
+_SCALARS = [f for f in RECORD_FIELDS if f[1] in ("string", "boolean")]
+_MSG_SCALARS = [(n, k, False) for n, k in MESSAGE_FIELDS if k == "string"]
+TOP_SHAPE = _shape_pattern(_SCALARS)
+MESSAGE_SHAPE = _shape_pattern(_MSG_SCALARS)
+_TOP_VARIANTS = "struct<" + ", ".join(f"{n}: variant" for n, _, _ in _SCALARS) + ">"
+_MSG_VARIANTS = "struct<" + ", ".join(f"{n}: variant" for n, _, _ in _MSG_SCALARS) + ">"
+_TOP_STRINGS = "struct<" + ", ".join(f"{n}: string" for n, k, _ in _SCALARS if k == "string") + ">"
+
+
+def _shape(v: Column, path: str, struct_type: str) -> Column:
+    """Type summary of the named fields of the object at ``path``; NULL if not an object."""
+    return F.schema_of_variant(F.to_variant_object(F.try_variant_get(v, path, struct_type)))
+
+
+def quick_error(v: Column, raw: Column) -> Column:
+    """Compact check: the exact JSON types of all fields in two regex tests.
+
+    The scalar fields are pulled into one struct of variants and their type
+    summary must match the expected shape; ``message`` must be an object whose
+    string fields are string or null. ``explain_errors`` names the field for
+    rejected lines.
+    """
+    top = _shape(v, "$", _TOP_VARIANTS)
+    msg = _shape(v, "$.message", _MSG_VARIANTS)
+    ts = F.try_variant_get(v, "$.timestamp", "string")
+    return F.coalesce(
+        F.when(raw.contains(REPLACEMENT_CHAR), F.lit("invalid UTF-8")),
+        F.when(v.isNull(), F.lit("invalid JSON")),
+        F.when(top.isNull(), F.lit("expected a JSON object")),
+        F.when(~top.rlike(TOP_SHAPE), F.lit("invalid record")),
+        F.when(msg.isNull() | ~msg.rlike(MESSAGE_SHAPE), F.lit("invalid record")),
+        F.when(~ts.rlike(TIMESTAMP_PATTERN) | _utc_timestamp(ts).isNull(), F.lit("invalid timestamp")),
+    )
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines → checked records.
 
@@ -120,29 +166,28 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     df = trim_line(lines).where(F.col("raw") != "").drop("value")
     df = df.withColumn("_v", F.try_parse_json(F.col("raw")))
     v = F.col("_v")
-    df = df.withColumn("error", record_error(v, F.col("raw")))
+    df = df.withColumn("error", quick_error(v, F.col("raw")))
     valid = F.col("error").isNull()
-
-    def s(path: str) -> Column:
-        return F.when(valid, F.try_variant_get(v, path, "string"))
-
-    content = F.variant_get(v, "$.message.content", "variant")
+    df = df.withColumn("_s", F.when(valid, F.try_variant_get(v, "$", _TOP_STRINGS)))
+    msg = F.when(valid, F.try_variant_get(v, "$.message", "struct<role: string, content: variant>"))
+    df = df.withColumn("_m", msg)
+    produced = {"value", "raw", "error", "project_path", *RECORD_COLUMNS}
     out = df.select(
-        *[c for c in lines.columns if c != "value"],
+        *[c for c in lines.columns if c not in produced],
         "raw",
         "error",
-        s("$.uuid").alias("uuid"),
-        s("$.parentUuid").alias("parent_uuid"),
-        s("$.sessionId").alias("session_id"),
-        s("$.userType").alias("user_type"),
-        s("$.type").alias("message_type"),
-        s("$.message.role").alias("message_role"),
-        F.when(valid, content_json(content)).alias("message_content"),
+        F.col("_s.uuid").alias("uuid"),
+        F.col("_s.parentUuid").alias("parent_uuid"),
+        F.col("_s.sessionId").alias("session_id"),
+        F.col("_s.userType").alias("user_type"),
+        F.col("_s.type").alias("message_type"),
+        F.col("_m.role").alias("message_role"),
+        content_json(F.col("_m.content")).alias("message_content"),
         project_from_path(F.col("file_path")).alias("project_path"),
-        s("$.cwd").alias("cwd"),
-        s("$.gitBranch").alias("git_branch"),
-        s("$.version").alias("version"),
-        F.when(valid, _utc_timestamp(F.try_variant_get(v, "$.timestamp", "string"))).alias("timestamp"),
+        F.col("_s.cwd").alias("cwd"),
+        F.col("_s.gitBranch").alias("git_branch"),
+        F.col("_s.version").alias("version"),
+        _utc_timestamp(F.col("_s.timestamp")).alias("timestamp"),
     )
     return out
 
@@ -152,7 +197,9 @@ def valid_records(parsed: DataFrame) -> DataFrame:
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("error").isNotNull())
+    """Rejected lines with the reason spelled out per field (evaluated for these rows only)."""
+    bad = parsed.where(F.col("error").isNotNull())
+    return bad.withColumn("error", F.coalesce(record_error(F.try_parse_json(F.col("raw")), F.col("raw")), F.col("error")))
 
 
 def fail_fast(parsed: DataFrame) -> DataFrame:
