@@ -34,23 +34,27 @@ def _days(n: Column) -> Column:
 
 
 def resolve_date(phrase: Column, anchor: Column) -> Column:
-    """TIMESTAMP_NTZ for a relative-date phrase, or NULL when it is not valid."""
+    """TIMESTAMP_NTZ for a relative-date phrase, or NULL when it is not valid.
+
+    The expression is kept small (each piece appears at most a few times in
+    the tree): a non-match extracts '', which casts to NULL; an oversized
+    number overflows ``try_multiply`` to NULL.
+    """
     low = F.lower(phrase)
     midnight = F.date_trunc("DAY", anchor).cast("timestamp_ntz")
     trimmed = trim_whitespace(low)
-    matched = trimmed.rlike(AGO_PATTERN)
-    n = F.when(matched, F.regexp_extract(trimmed, AGO_PATTERN, 1).try_cast("bigint"))
-    unit = F.regexp_extract(trimmed, AGO_PATTERN, 2)
-    per_unit = F.coalesce(*[F.when(unit == u, F.lit(d)) for u, d in UNIT_DAYS.items()])
-    in_range = (n >= 1) & (n <= MAX_DAYS)
-    days = F.when(in_range & (n * per_unit <= MAX_DAYS), n * per_unit)
+    per_unit = F.try_element_at(
+        F.create_map(*[x for u, d in UNIT_DAYS.items() for x in (F.lit(u), F.lit(d).cast("bigint"))]),
+        F.regexp_extract(trimmed, AGO_PATTERN, 2))
+    days = F.try_multiply(F.regexp_extract(trimmed, AGO_PATTERN, 1).try_cast("bigint"), per_unit)
+    ago = F.when(days.between(1, MAX_DAYS), anchor - _days(days))
+    fixed = F.try_element_at(
+        F.create_map(*[x for w, d in FIXED_WORDS.items() if d for x in (F.lit(w), F.lit(d))]), low)
     return (
         F.when(low == "today", midnight)
         .when(low == "yesterday", (midnight - _days(F.lit(1))).cast("timestamp_ntz"))
-        .when(low == "last week", anchor - _days(F.lit(7)))
-        .when(low == "last month", anchor - _days(F.lit(30)))
-        .when(low == "last year", anchor - _days(F.lit(365)))
-        .otherwise(F.when(days.isNotNull(), anchor - _days(days)))
+        .when(fixed.isNotNull(), anchor - _days(fixed))
+        .otherwise(ago)
     )
 
 

@@ -164,32 +164,40 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     NULL for invalid lines.
     """
     df = trim_line(lines).where(F.col("raw") != "").drop("value")
-    df = df.withColumn("_v", F.try_parse_json(F.col("raw")))
-    v = F.col("_v")
-    df = df.withColumn("error", quick_error(v, F.col("raw")))
-    valid = F.col("error").isNull()
-    df = df.withColumn("_s", F.when(valid, F.try_variant_get(v, "$", _TOP_STRINGS)))
-    msg = F.when(valid, F.try_variant_get(v, "$.message", "struct<role: string, content: variant>"))
-    df = df.withColumn("_m", msg)
+    v = F.try_parse_json(F.col("raw"))
+    # One parse per line. The checked record is produced by a generator
+    # (``inline`` of a one-element array), so a later filter on ``error`` stays
+    # above it instead of being pushed down with the parse inlined into it.
+    record = F.struct(
+        quick_error(v, F.col("raw")).alias("error"),
+        F.try_variant_get(v, "$", _TOP_STRINGS).alias("s"),
+        F.try_variant_get(v, "$.message", "struct<role: string, content: variant>").alias("m"),
+    )
     produced = {"value", "raw", "error", "project_path", *RECORD_COLUMNS}
-    out = df.select(
-        *[c for c in lines.columns if c not in produced],
+    keep = [c for c in lines.columns if c not in produced]
+    df = df.select(*keep, "raw", F.inline(F.array(record)))
+    valid = F.col("error").isNull()
+
+    def s(field: str) -> Column:
+        return F.when(valid, F.col(f"s.{field}"))
+
+    return df.select(
+        *keep,
         "raw",
         "error",
-        F.col("_s.uuid").alias("uuid"),
-        F.col("_s.parentUuid").alias("parent_uuid"),
-        F.col("_s.sessionId").alias("session_id"),
-        F.col("_s.userType").alias("user_type"),
-        F.col("_s.type").alias("message_type"),
-        F.col("_m.role").alias("message_role"),
-        content_json(F.col("_m.content")).alias("message_content"),
+        s("uuid").alias("uuid"),
+        s("parentUuid").alias("parent_uuid"),
+        s("sessionId").alias("session_id"),
+        s("userType").alias("user_type"),
+        s("type").alias("message_type"),
+        F.when(valid, F.col("m.role")).alias("message_role"),
+        F.when(valid, content_json(F.col("m.content"))).alias("message_content"),
         project_from_path(F.col("file_path")).alias("project_path"),
-        F.col("_s.cwd").alias("cwd"),
-        F.col("_s.gitBranch").alias("git_branch"),
-        F.col("_s.version").alias("version"),
-        _utc_timestamp(F.col("_s.timestamp")).alias("timestamp"),
+        s("cwd").alias("cwd"),
+        s("gitBranch").alias("git_branch"),
+        s("version").alias("version"),
+        F.when(valid, _utc_timestamp(F.col("s.timestamp"))).alias("timestamp"),
     )
-    return out
 
 
 def valid_records(parsed: DataFrame) -> DataFrame:
