@@ -33,11 +33,16 @@ class TextIndex:
     term_df: DataFrame
     corpus: DataFrame
 
+    def _stats(self) -> Column:
+        # One scalar subquery for both numbers; identical subqueries are reused,
+        # so the corpus is aggregated once per query.
+        return self.corpus.select(F.struct("n_docs", "avg_len")).scalar()
+
     def n_docs(self) -> Column:
-        return self.corpus.select("n_docs").scalar()
+        return self._stats().getField("n_docs")
 
     def avg_len(self) -> Column:
-        return self.corpus.select("avg_len").scalar()
+        return self._stats().getField("avg_len")
 
     def write(self, path: str) -> None:
         """Persist the index; postings range-partitioned and sorted by term."""
