@@ -74,6 +74,23 @@ def build_index(docs: DataFrame, text_col: str = "message_content", id_col: str
     return TextIndex(postings, doc_len, term_df, corpus)
 
 
+def update_index(index: TextIndex, changed: DataFrame, text_col: str = "message_content",
+                 id_col: str = "id") -> TextIndex:
+    """Index after ``changed`` documents were inserted or replaced.
+
+    The changed ids are anti-joined out of ``postings`` and ``doc_len`` and
+    their new postings appended; ``term_df`` and ``corpus`` are recomputed
+    from the result (aggregates with a partial step). Equal to a rebuild.
+    """
+    fresh = build_index(changed, text_col, id_col)
+    ids = changed.select(F.col(id_col).alias("id"))
+    postings = index.postings.join(ids, "id", "left_anti").unionByName(fresh.postings)
+    doc_len = index.doc_len.join(ids, "id", "left_anti").unionByName(fresh.doc_len)
+    term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    corpus = doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    return TextIndex(postings, doc_len, term_df, corpus)
+
+
 def query_terms(keywords: Iterable[str]) -> list[str]:
     """Keywords → distinct index terms (same tokenizer as the documents), in order."""
     import regex  # Unicode classes \p{L}, \p{N} like the Spark tokenizer

@@ -70,3 +70,17 @@ def test_bm25_index_persisted_equals_in_memory(spark, workdir):
     a = sorted(bm25.score(idx, ["the", "und"], "or").collect())
     b = sorted(bm25.score(loaded, ["the", "und"], "or").collect())
     assert a == b and len(a) > 0
+
+
+def test_index_update_equals_rebuild(spark):
+    m = td.search_view(spark, SF_SMALL)
+    old = m.where(F.col("timestamp") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    changed = (m.where(F.col("timestamp") >= F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+               .withColumn("message_content", F.concat("message_content", F.lit(" rust error"))))
+    current = old.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    updated = bm25.update_index(bm25.build_index(old), changed)
+    rebuilt = bm25.build_index(current)
+    for terms in (["rust", "the"], ["error"]):
+        a = sorted((r.id, round(r.score, 9)) for r in bm25.score(updated, terms, "or").collect())
+        b = sorted((r.id, round(r.score, 9)) for r in bm25.score(rebuilt, terms, "or").collect())
+        assert a == b and a
