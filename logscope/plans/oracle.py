@@ -132,7 +132,7 @@ def _relative_dates() -> str:
     parts = []
     for i, p in enumerate(R.PHRASES, 1):
         b = _date_bound(p)
-        parts.append(f"coalesce(count_if(timestamp >= {b}), 0) AS since_{i:02d}")
+        parts.append(f"CAST(coalesce(count_if(timestamp >= {b}), 0) AS BIGINT) AS since_{i:02d}")
     for i, p in enumerate(R.PHRASES, 1):
         parts.append(f"{_date_bound(p)} AS bound_{i:02d}")
     return _with(MESSAGES) + "SELECT " + ",\n  ".join(parts) + " FROM messages"
@@ -237,8 +237,8 @@ UNION ALL
             "(SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY file_path, pos) AS rn FROM valid_in) "
             "WHERE uuid IN (SELECT uuid FROM existing) OR rn > 1"),
         "import_report": _with(MESSAGES, INCOMING) + (
-            "SELECT project_path, file_path, count_if(message_role <> 'system') AS imported, "
-            "count_if(message_role = 'system') AS errors, CAST(GROUPING(project_path, file_path) AS BIGINT) AS level "
+            "SELECT project_path, file_path, CAST(count_if(message_role <> 'system') AS BIGINT) AS imported, "
+            "CAST(count_if(message_role = 'system') AS BIGINT) AS errors, CAST(GROUPING(project_path, file_path) AS BIGINT) AS level "
             "FROM lines_in GROUP BY ROLLUP (project_path, file_path)"),
         "assign_ids": _with(MESSAGES, INCOMING) + (
             "SELECT file_path, pos, uuid, row_number() OVER (ORDER BY file_path, pos) AS id FROM valid_in"),
