@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,19 @@ def _decoded_path(c):
     return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
 
 
+def _scan(reader, root: str) -> DataFrame:
+    """Scan ``root/*`` so each first-level folder is its own input path: with
+    many projects Spark lists the tree with a parallel job instead of walking
+    it on the driver. An empty root matches nothing and falls back to the
+    root itself (no rows); a missing root raises."""
+    try:
+        return reader.text(root.rstrip("/") + "/*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        return reader.text(root)
+
+
 def read_lines(spark: SparkSession, root: str, project: str | None = None,
                modified_after: dt.datetime | str | None = None) -> DataFrame:
     """Lines of every ``*.jsonl`` file under ``root``.
@@ -32,7 +46,8 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None,
     Columns: ``file_path``, ``project_path``, ``file_mtime``, ``block_start``,
     ``pos``, ``value``. ``project`` keeps only files whose parent folder has
     that name; the test is on file metadata, so other files are pruned before
-    they are opened. ``modified_after`` skips files not changed since then
+    they are opened. Files directly under the root take the root's own name
+    as their project. ``modified_after`` skips files not changed since then
     (incremental sync). A missing root raises; an empty tree gives no rows.
     """
     reader = (spark.read.schema(LINE_SCHEMA)
@@ -42,7 +57,7 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None,
     if modified_after is not None:
         when = modified_after if isinstance(modified_after, str) else modified_after.strftime("%Y-%m-%dT%H:%M:%S")
         reader = reader.option("modifiedAfter", when)
-    df = reader.text(root)
+    df = _scan(reader, root)
     path = _decoded_path(F.col("_metadata.file_path"))
     if project is not None:
         df = df.where(project_from_path(path) == F.lit(project))

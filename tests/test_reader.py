@@ -36,3 +36,13 @@ def test_missing_root_raises_and_empty_tree_is_empty(spark, workdir):
 def test_path_with_plus_and_space(spark, workdir):
     write_file(f"{workdir}/a+b c/s.jsonl", [record("a")])
     assert read_lines(spark, workdir).first().project_path == "a+b c"
+
+
+def test_files_at_root_and_empty_root(spark, workdir):
+    import os
+    os.makedirs(f"{workdir}/empty")
+    assert read_lines(spark, f"{workdir}/empty").count() == 0
+    write_file(f"{workdir}/top/x.jsonl", [record("a")])
+    write_file(f"{workdir}/top/p/y.jsonl", [record("b")])
+    got = sorted((r.file_path.rsplit("/", 1)[1], r.project_path) for r in read_lines(spark, f"{workdir}/top").collect())
+    assert got == [("x.jsonl", "top"), ("y.jsonl", "p")]
