@@ -160,6 +160,23 @@ class MessageStore:
     def mark_favorite(self, ids, flag: bool = True) -> None:
         self.set_favorites(fav_ops.change_set(self.spark, ids, flag))
 
+    def build_index(self, path: str) -> None:
+        """Build and persist the full-text index over the stored messages' text."""
+        from logscope.operators import bm25
+        docs = self.messages().withColumn("message_content", validate.content_text(F.col("message_content")))
+        bm25.build_index(docs).write(path)
+
+    def refresh_index(self, path: str, since: dt.datetime) -> None:
+        """Fold rows updated since ``since`` into a persisted index (anti join +
+        append). The new relations are checkpointed first, so overwriting the
+        folder they were derived from is safe."""
+        from logscope.operators import bm25
+        changed = (self.messages().where(F.col("updated_at") >= F.lit(since).cast("timestamp_ntz"))
+                   .withColumn("message_content", validate.content_text(F.col("message_content"))))
+        old = bm25.TextIndex.load(self.spark, path)
+        new = bm25.update_index(old, changed)
+        bm25.TextIndex(*(self._stable(d) for d in (new.postings, new.doc_len, new.term_df, new.corpus))).write(path)
+
     def import_stats(self, parsed: DataFrame) -> ImportResult:
         """Counts for a batch against the current table (call before writing it)."""
         r = U.import_stats(parsed, self.read()).first()

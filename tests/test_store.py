@@ -140,3 +140,19 @@ def test_catalog_table_roundtrip(spark, workdir):
     assert spark.table("msgs_test").where(F.col("uuid") == "a").count() == 1
     store.drop_table("msgs_test")
     store.drop_table("msgs_test")
+
+
+def test_persisted_index_refresh(spark, workdir):
+    from logscope.operators import bm25
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
+    write_file(f"{logs}/p/s.jsonl", [record("a", content="rust error"), record("b", content="python")])
+    import_logs(spark, store, logs, now=T0)
+    store.build_index(f"{workdir}/idx")
+    write_file(f"{logs}/p/s.jsonl", [record("b", content="rust rust"), record("c", content="go")])
+    import_logs(spark, store, logs, now=T1)
+    store.refresh_index(f"{workdir}/idx", T1)
+    idx = bm25.TextIndex.load(spark, f"{workdir}/idx")
+    ids = {r.uuid: r.id for r in store.messages().collect()}
+    got = {r.id for r in bm25.score(idx, ["rust"], "or").collect()}
+    assert got == {ids["a"], ids["b"]}
+    assert idx.corpus.first().n_docs == 3
