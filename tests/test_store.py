@@ -156,3 +156,12 @@ def test_persisted_index_refresh(spark, workdir):
     got = {r.id for r in bm25.score(idx, ["rust"], "or").collect()}
     assert got == {ids["a"], ids["b"]}
     assert idx.corpus.first().n_docs == 3
+
+
+def test_fail_fast_import_writes_nothing(spark, workdir):
+    import pytest
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
+    write_file(f"{logs}/p/s.jsonl", [record("a"), "{broken", record("b")])
+    with pytest.raises(Exception):
+        import_logs(spark, store, logs, skip_errors=False, now=T0)
+    assert store.messages().count() == 0
