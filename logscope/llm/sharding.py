@@ -20,7 +20,7 @@ different slots); an empty table gives an empty result; extra columns are ignore
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -45,12 +45,10 @@ def metadata(docs: DataFrame, id_col: str, text_col: str, by: list) -> DataFrame
         F.xxhash64(F.col(id_col), F.crc32(text)).bitwiseAND(TIE_RANGE - 1).alias("tie"))
 
 
-def case(column: F.Column, values: dict, default) -> F.Column:
-    """CASE over node numbers; values: number -> expression."""
-    out = None
-    for k, v in values.items():
-        out = F.when(column == k, v) if out is None else out.when(column == k, v)
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+def small_table(spark: SparkSession, names: str, rows: list) -> DataFrame:
+    """A row per open node, as a table to broadcast; its size is the number of nodes."""
+    values = ", ".join("(" + ", ".join("CAST(NULL AS BIGINT)" if v is None else f"{int(v)}L" for v in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
 
 
 def cut_at(rows: DataFrame, todo: dict) -> dict:
@@ -62,15 +60,15 @@ def cut_at(rows: DataFrame, todo: dict) -> dict:
     search = {k: {"dim": d, "low": low, "high": high, "want": want, "value": None} for k, (d, low, high, want) in todo.items()}
     cuts = {}
     while search:
-        of, node = lambda f: {k: f(s) for k, s in search.items()}, F.col("_node")
-        value = case(node, of(lambda s: F.col("dims")[s["dim"]]), None)
-        at = case(node, of(lambda s: F.col("tie") if s["value"] is not None else F.col("dims")[s["dim"]]), None)
         step = {k: max(1, -(-(s["high"] - s["low"]) // BINS)) for k, s in search.items()}
-        fixed = case(node, of(lambda s: F.lit(True) if s["value"] is None else value == s["value"]), False)
-        inside = (at >= case(node, of(lambda s: F.lit(s["low"]).cast("long")), None)) & (at < case(node, of(lambda s: F.lit(s["high"]).cast("long")), None))
-        bin_of = F.floor((at - case(node, of(lambda s: F.lit(s["low"]).cast("long")), None)) / case(node, {k: F.lit(float(v)) for k, v in step.items()}, None))
+        nodes = small_table(rows.sparkSession, "_node, dim, value, low, high, step", [
+            (k, s["dim"], s["value"], s["low"], s["high"], step[k]) for k, s in search.items()])
+        x = F.element_at("dims", (F.col("dim") + 1).cast("int"))
+        at = F.when(F.col("value").isNull(), x).otherwise(F.col("tie"))
+        found = rows.join(nodes, "_node").withColumn("at", at).where(
+            (F.col("value").isNull() | (x == F.col("value"))) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
         counts: dict = {k: {} for k in search}
-        for r in (rows.where(fixed & inside).groupBy("_node", bin_of.alias("bin"))
+        for r in (found.groupBy("_node", F.expr("(at - low) div step").alias("bin"))
                   .agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()):  # nodes x bins rows at most
             counts[r["_node"]][r["bin"]] = (r["bytes"], r["n"])
         for k, s in list(search.items()):
@@ -100,17 +98,11 @@ def cut_at(rows: DataFrame, todo: dict) -> dict:
     return cuts
 
 
-def goes_right(cut: tuple) -> F.Column:
-    dim, v, t = cut
-    x = F.col("dims")[dim]
-    return (x > v) | ((x == v) & (F.col("tie") >= t))
-
-
 def leaves(rows: DataFrame, n_dims: int, shards: int) -> DataFrame:
     """``rows`` with ``shard``: the leaf of the tree that each row lies in."""
     spans = [f(F.col("dims")[d]).alias(f"{name}{d}") for d in range(n_dims) for name, f in (("low", F.min), ("high", F.max))]
     nodes, whole = {0: (0, shards)}, None  # number -> (first shard, shards)
-    tree = rows.withColumn("_node", F.lit(0))
+    tree = rows.withColumn("_node", F.lit(0).cast("long"))
     while any(m > 1 for _, m in nodes.values()):
         stats = {r["_node"]: r for r in tree.groupBy("_node").agg(F.sum("size").alias("bytes"), *spans).collect()}  # a row per node
         if not stats:
@@ -125,11 +117,13 @@ def leaves(rows: DataFrame, n_dims: int, shards: int) -> DataFrame:
             if r := stats.get(k):
                 d = max(range(n_dims), key=lambda d: ((r[f"high{d}"] - r[f"low{d}"]) / whole[d], -d))
                 todo[k] = (d, r[f"low{d}"], r[f"high{d}"] + 1, r["bytes"] * (m // 2) / m)
-        cuts = cut_at(tree.where(F.col("_node").isin(*todo)), todo)
-        right = case(F.col("_node"), {k: goes_right(c) for k, c in cuts.items()}, False)
-        tree = tree.withColumn("_node", 2 * F.col("_node") + right.cast("int"))
+        cuts = small_table(rows.sparkSession, "_node, dim, v, t", [(k, *c) for k, c in cut_at(tree, todo).items()])
+        x = F.element_at("dims", (F.col("dim") + 1).cast("int"))
+        right = F.coalesce((x > F.col("v")) | ((x == F.col("v")) & (F.col("tie") >= F.col("t"))), F.lit(False))
+        tree = kept(tree.join(cuts, "_node", "left").select(*rows.columns, (2 * F.col("_node") + right.cast("long")).alias("_node")))
         nodes = following
-    return tree.withColumn("shard", case(F.col("_node"), {k: F.lit(first) for k, (first, _) in nodes.items()}, 0).cast("int")).drop("_node")
+    firsts = small_table(rows.sparkSession, "_node, shard", [(k, first) for k, (first, _) in nodes.items()])
+    return tree.join(firsts, "_node").withColumn("shard", F.col("shard").cast("int")).drop("_node")
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, by: tuple = ("lang", "source", "doc_id"),
