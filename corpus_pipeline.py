@@ -10,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logscope.llm import pii, quality
+from logscope.llm import decontam, neardup, pii, quality
 from logscope.llm.common import table
+from logscope.llm.queries import bpe_digest
 from logscope.session import ensure_checkpoint_dir
 
 
@@ -20,14 +21,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id."""
+    return neardup.keep_one(docs, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars follows the text."""
     return pii.redact(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids and the decoded text's digest."""
+    return bpe_digest(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("mask_pii", mask_pii),
+    ("bpe", encode),
 ]
 
 # Stages use learned cutoffs, sketches, alignments and a tokenizer, which SQL cannot express.

@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
 Fixed base rules reject very short and very repetitive texts. Five further
-scores get their cutoff from labelled documents: per stratum (language and
-length band) and score, the strictest cutoff whose false-rejection rate on the
-good documents is at most ``alpha / number of scores`` with an exact binomial
-(Clopper-Pearson) bound. Cutoffs of one score are tested from the most lenient
-one on and stop at the first failure (a fixed sequence, which needs no further
-correction); the level is divided by strata x scores (Bonferroni). So with
-probability 1 - delta at most ``alpha`` of the good documents of any stratum
-is rejected by the learned rules. A stratum with too few labels rejects nothing.
+scores get their cutoff from labelled documents: per stratum (language) and
+score, a cutoff is admitted if the false-rejection rate on the good documents is at
+most ``alpha / number of scores`` with an exact binomial (Clopper-Pearson)
+bound. Cutoffs of one score are tested from the most lenient one on and stop
+at the first failure (a fixed sequence, which needs no further correction);
+the level is divided by strata x scores (Bonferroni). So with probability
+1 - delta at most ``alpha`` of the good documents of any stratum is rejected
+by the learned rules, whichever admitted cutoffs are used. Among these the one is used
+that gains most: share of the bad documents rejected less ``PRICE`` times the share of
+the good ones; ties go to the most lenient. A stratum with too few labels rejects nothing.
 
 Defined results: null text counts as empty (no words, so the base rule rejects
 it); null lang is a stratum of its own; empty tables give empty results; other
@@ -34,7 +36,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SYMBOLS = b"#*$%&|<>"  # fixed values
 ALPHA, DELTA = 0.05, 0.05
-BANDS = (200, 1000)  # words; bounds of the length bands
+PRICE = 20  # how many shares of bad documents a share of good ones is worth
 
 # score: (expression over the measures, bins per unit); a high bin is bad. Each score has BINS bins.
 BINS = 400
@@ -98,11 +100,8 @@ def base_failed(m) -> F.Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def stratum(lang, m) -> F.Column:
-    band = F.lit(0)
-    for bound in BANDS:
-        band = band + (m["n_words"] >= bound).cast("int")
-    return F.concat(F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("null")), F.lit("/"), band.cast("string"))
+def stratum(lang) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("null"))
 
 
 def bins(m) -> dict:
@@ -132,41 +131,44 @@ def cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     Labels are joined by id; only counts per stratum, score and bin (at most
     scores x bins rows for a stratum) reach the function that chooses.
     """
-    good = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-            .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id"))
-    long = (marked.join(good, "doc_id").select("stratum", F.explode(F.array(*[
+    quality = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+               .groupBy("doc_id").agg((F.min("quality") == 1).alias("good")))
+    long = (marked.join(quality, "doc_id").select("stratum", "good", F.explode(F.array(*[
         F.struct(F.lit(s).alias("score"), F.col(s).alias("bin")) for s in SCORES])).alias("x"))
-        .groupBy("stratum", "x.score", "x.bin").agg(F.count("*").alias("n")))
-    strata = marked.agg(F.count_distinct("stratum").alias("strata"))
+        .groupBy("stratum", "x.score", "x.bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")))
+    strata = max(1, marked.select("stratum").distinct().count())
     names, n_bins = list(SCORES), BINS
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         row = {"stratum": pdf["stratum"].iloc[0]}
         for name in names:
             own = pdf[pdf["score"] == name]
-            count = np.bincount(own["bin"].clip(0, n_bins), weights=own["n"], minlength=n_bins + 1).astype(np.int64)
-            n = int(count.sum())
-            allowed = most_false(n, alpha / len(names), delta / (len(names) * int(pdf["strata"].iloc[0])))
-            above = n - np.cumsum(count)  # good documents that a cutoff at this bin rejects
+            at = own["bin"].clip(0, n_bins)
+            # For each cutoff, the share of documents above it.
+            good, bad = (np.bincount(at, weights=own[c], minlength=n_bins + 1) for c in ("good", "bad"))
+            n = int(good.sum())
+            above, hit = n - np.cumsum(good), bad.sum() - np.cumsum(bad)
+            allowed = most_false(n, alpha / len(names), delta / (len(names) * strata))
+            gain = np.where(above <= allowed, hit / max(1, bad.sum()) - PRICE * above / max(1, n), -1.0)
             row["n_good"] = n
-            row[name] = int(np.argmax(above <= allowed)) if allowed >= 0 else None
+            row[name] = int(n_bins - np.argmax(gain[::-1])) if gain.max() > 0 else None
         return pd.DataFrame([row]).astype({s: "Int64" for s in names})
 
     schema = "stratum string, n_good long, " + ", ".join(f"{s} long" for s in names)
-    return long.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(
+    return long.groupBy("stratum").applyInPandas(
         lambda pdf: choose(pdf)[["stratum", "n_good", *names]], schema)
 
 
-def marks(rows: DataFrame, lang_col: str, into: str) -> list:
+def marks(lang_col: str, into: str) -> list:
     m = F.col(into)
-    return [stratum(F.col(lang_col), m).alias("stratum"), *[b.alias(name) for name, b in bins(m).items()]]
+    return [stratum(F.col(lang_col)).alias("stratum"), *[b.alias(name) for name, b in bins(m).items()]]
 
 
 def verdict(rows: DataFrame, limits: DataFrame, lang_col: str, into: str) -> DataFrame:
     """``rows`` (with measures) plus columns _base_failed, _rejected_by, _kept and _stratum."""
     m = F.col(into)
     lim = limits.select(F.col("stratum").alias("_stratum"), F.struct(*SCORES).alias("_limits"))
-    out = rows.withColumn("_stratum", stratum(F.col(lang_col), m)).join(F.broadcast(lim), "_stratum", "left")
+    out = rows.withColumn("_stratum", stratum(F.col(lang_col))).join(F.broadcast(lim), "_stratum", "left")
     over = F.filter(F.array(*[F.when(b > F.col("_limits")[name], name) for name, b in bins(m).items()]), lambda x: x.isNotNull())
     out = out.withColumn("_rejected_by", over).withColumn("_base_failed", base_failed(m))
     return out.withColumn("_kept", ~F.col("_base_failed") & (F.size("_rejected_by") == 0)).drop("_limits")
@@ -175,7 +177,7 @@ def verdict(rows: DataFrame, limits: DataFrame, lang_col: str, into: str) -> Dat
 def learn(rows: DataFrame, labels: DataFrame, lang_col: str, into: str, **levels) -> DataFrame:
     """Cutoffs of all strata, as a small checkpointed table; its size is checked before it is broadcast."""
     passing = rows.where(~base_failed(F.col(into)))
-    limits = kept(cutoffs(passing.select("doc_id", *marks(rows, lang_col, into)), labels, **levels))
+    limits = kept(cutoffs(passing.select("doc_id", *marks(lang_col, into)), labels, **levels))
     if limits.count() > 100_000:
         raise ValueError("more than 100,000 strata: choose a coarser lang_col")
     return limits
@@ -187,6 +189,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_c
     Measures are taken twice - for learning, and for the verdict - so no text is shuffled.
     """
     into = "_quality"
-    small = measured(docs.select("doc_id", text_col, lang_col), text_col, into, drop_text=True)
+    small = kept(measured(docs.select("doc_id", text_col, lang_col), text_col, into, drop_text=True))  # numbers only
     limits = learn(small, labels, lang_col, into, **levels)
     return verdict(measured(docs, text_col, into), limits, lang_col, into).where("_kept").select(*docs.columns)

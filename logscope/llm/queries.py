@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, langid, neardup, pii, quality, secrets, sharding, substring, suffix
+from logscope.llm import bpe, decontam, langid, neardup, pii, quality, secrets, sharding, substring, suffix
 from logscope.llm.common import kept, span_digest, table
 
 
@@ -32,6 +32,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = kept(quality.measured(docs, drop_text=True))  # numbers only
@@ -62,15 +66,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bpe_digest(docs: DataFrame) -> DataFrame:
     path = vocabulary()
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    found = bpe.decode(bpe.encode(docs, path), path)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op5_quality_rules, op6_sharding,
+    op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_decontamination, op5_quality_rules, op6_sharding,
     op7_superminhash, op8_pii, op9_language_id, op10_bpe)}
 ORACLE: dict = {}

@@ -6,10 +6,10 @@ Anchors that occur once in the corpus are dropped by an exchange of hash lists.
 For the others, each occurrence goes with the bytes around it to the bucket of
 its hash, where the suffixes that start at one anchor are sorted (a suffix array with the
 lengths of common prefixes), a stack scan yields the tree of common-prefix intervals,
-and for each interval the left extensions of its members are compared: members
-that agree further to the left form longer repeats, members that differ end
-them (left diversity). A repeat of prefix length p and left length q with
-p + q >= the wanted length is a maximal repeat; all its occurrences are reported.
+and for each interval the left extensions of its members are compared, in the
+order of their reversed left contexts: members that agree further to the left form
+longer repeats, members that differ end them (left diversity). A prefix of length p with a
+left extension q, p + q >= the wanted length, is a maximal repeat; all its occurrences are reported.
 
 Equal surroundings inside a chunk travel once, with all their positions. An
 anchor found in more than ``HOT_CHUNKS`` chunks would gather too much in one
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
 from logscope.llm.chunks import Chunked, among, bucket_of, decode, encode, gathered, packs, repeated
@@ -33,10 +33,11 @@ from logscope.llm.common import mix
 
 LENGTH = 400
 GRAM = 32  # bytes of an anchor
-HOT_CHUNKS = 1000
+HOT_CHUNKS = 256
+BLOCK = 1 << 16  # positions worked on at a time, to stay in cache
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number per byte, by a rule
-SENT = "kind string, chunk int, bucket int, data binary, marks binary, anchor long, lefts int, positions binary"
+SENT = "kind string, chunk int, bucket int, data binary, marks binary"
 FOUND = "kind string, chunk int, data binary, ends binary"
 
 
@@ -49,12 +50,14 @@ class Bytes:
         self.first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.all = np.frombuffer(self.data, np.uint8)
 
-    def rolling(self, width: int) -> np.ndarray:
-        """Hash of the ``width`` bytes from each position; NEVER where they would leave the document."""
-        n = len(self.all)
-        if n < width:
+    def rolling(self, width: int, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Hash of the ``width`` bytes from each position of [low, high); NEVER where they would leave the document."""
+        most = max(0, len(self.all) - width + 1)
+        high = most if high is None else min(high, most)
+        if high <= low:
             return np.zeros(0, np.uint64)
-        h, w, out, done = BYTE_HASH[self.all], 1, None, 0
+        n = high - low + width - 1
+        h, w, out, done = BYTE_HASH[self.all[low:low + n]], 1, None, 0
         while True:  # double the width, and add the power where the wanted width has a bit
             if width & w:
                 out = h.copy() if out is None else out[:n - done - w + 1] * np.uint64(0xFF51AFD7ED558CCD | (w << 33)) + h[done:n - w + 1]
@@ -66,21 +69,28 @@ class Bytes:
             w *= 2
         out = mix(out)
         out[out == NEVER] = 0
-        for e in self.first[1:]:
-            out[max(0, e - width + 1):e] = NEVER
+        a, b = np.searchsorted(self.first, [low, high + width], side="left")
+        for e in self.first[a:b].tolist():
+            out[max(0, e - width + 1 - low):max(0, e - low)] = NEVER
         return out
 
     def anchors(self, length: int) -> tuple:
-        """(positions, hashes) of the anchors for repeats of ``length``."""
-        h = self.rolling(GRAM)
-        span = length - GRAM + 1  # grams in a window
-        if len(h) < span:
-            at = np.zeros(0, np.int64)
-        else:
+        """(positions, hashes) of the anchors for repeats of ``length``; worked out block by block."""
+        span, n = length - GRAM + 1, len(self.all) - GRAM + 1  # grams in a window; grams
+        at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for low in range(0, max(0, n) if n >= span else 0, BLOCK):
+            high = min(n, low + BLOCK)
+            first, last = max(0, low - span + 1), min(n, high + span - 1)  # grams of the windows over this block
+            h = self.rolling(GRAM, first, last)
             least = swept(h, span, np.minimum)
-            most = swept(np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]), span, np.maximum)
-            at = np.flatnonzero((most[:len(h)] == h) & (h != NEVER))
-        return at, h[at]
+            before = low - first
+            own = h[before:before + high - low]
+            most = swept(np.concatenate([  # windows that would start before or end after the chunk count as 0
+                np.zeros(span - 1 - before, np.uint64), least, np.zeros(high - low + before - len(least), np.uint64)]), span, np.maximum)
+            hit = np.flatnonzero((most == own) & (own != NEVER))
+            at.append(hit + low)
+            hashes.append(own[hit])
+        return np.concatenate(at), np.concatenate(hashes)
 
 
 def swept(x: np.ndarray, span: int, least) -> np.ndarray:
@@ -123,30 +133,78 @@ def intervals(lcp: list):
             stack.append((length, first))
 
 
+class LeftOrder:
+    """Left contexts in the order of their reversed bytes, with the common left extension of any two places."""
+
+    def __init__(self, lefts: list):
+        back = [x[::-1] for x in lefts]
+        self.order = sorted(range(len(back)), key=back.__getitem__)
+        self.rank = np.empty(len(back), np.int64)
+        self.rank[self.order] = np.arange(len(back))
+        near = np.array([common_prefix(back[a], back[b]) for a, b in zip(self.order, self.order[1:])], np.int64)
+        self.least = [near]  # least[j][k]: minimum of 2**j neighbours from k
+        while len(self.least[-1]) > (w := 1 << (len(self.least) - 1)):
+            self.least.append(np.minimum(self.least[-1][:-w], self.least[-1][w:]))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common left extension of ranks a < b."""
+        level = np.log2(b - a).astype(np.int64)
+        out = np.empty(len(a), np.int64)
+        for j in np.unique(level):
+            k = level == j
+            out[k] = np.minimum(self.least[j][a[k]], self.least[j][b[k] - (1 << j)])
+        return out
+
+
 def maximal_repeats(lefts: list, rights: list, length: int):
-    """(left, right, members) of the repeats around one anchor; lefts and rights differ as pairs.
+    """(members, left, right) for each common-prefix interval around one anchor; lefts and rights differ as pairs.
 
-    A member stands for the string from ``left`` bytes before the anchor to ``right`` bytes after.
+    Every member stands for its longest string, from left[k] bytes before the anchor to
+    ``right`` bytes after, that some other member of the interval shares; only strings of ``length`` or more.
     """
     if len(rights) == 2:
         p, q = common_prefix(*rights), common_suffix(*lefts)
         if p + q >= length:
-            yield q, p, [0, 1]
+            yield np.arange(2), np.array([q, q]), p
         return
     order = sorted(range(len(rights)), key=rights.__getitem__)
-    back = [x[::-1] for x in lefts]
+    lefts = LeftOrder(lefts)
+    ranks, by_rank = lefts.rank[order], np.array(lefts.order)
     for first, last, right in intervals([common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:])]):
-        least = max(0, length - right)
-        members = sorted(order[first:last + 1], key=back.__getitem__)
-        near = [common_prefix(back[a], back[b]) for a, b in zip(members, members[1:])]
-        if min(near) >= least:  # all agree far enough to the left
-            yield min(near), right, members
-        if max(near) > min(near) or min(near) < least:  # left-diverse: the tree of left extensions
-            for a, b, left in intervals(near):
-                if left >= least and (b - a + 1 < len(members) or left > min(near)):
-                    yield left, right, members[a:b + 1]
-            if least == 0:
-                yield 0, right, members
+        own = np.sort(ranks[first:last + 1])
+        near = lefts.common(own[:-1], own[1:])
+        left = np.maximum(np.append(near, -1), np.insert(near, 0, -1))  # left-diverse members have different values
+        long = left + right >= length
+        if long.any():
+            yield by_rank[own[long]], left[long], right
+
+
+def packed_surroundings(chunk: int, rows: dict, buckets: int) -> pa.Table:
+    """rows: (anchor, left length, bytes) -> positions. One compressed table for each bucket, by anchor:
+    what is said twice around an anchor is next to itself, and shrinks."""
+    keys = sorted(rows)
+    anchors = np.array([k[0] for k in keys], np.uint64)
+    bucket = bucket_of(anchors, buckets)
+    firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blobs, pack = [], zstandard.ZstdCompressor(level=3)
+    for a, b in zip(firsts, np.append(firsts[1:], len(keys))):
+        part = pa.table({"anchor": pa.array(anchors[a:b], pa.uint64()), "lefts": pa.array([k[1] for k in keys[a:b]], pa.int32()),
+                         "data": pa.array([k[2] for k in keys[a:b]], pa.binary()),
+                         "positions": pa.array([rows[k] for k in keys[a:b]], pa.list_(pa.int64()))})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as out:
+            out.write_table(part)
+        blobs.append(pack.compress(sink.getvalue()))
+    n = len(blobs)
+    return pa.table({"kind": pa.array(["near"] * n, pa.string()), "chunk": pa.array([chunk] * n, pa.int32()),
+                     "bucket": pa.array(bucket[firsts], pa.int32()), "data": pa.array(blobs, pa.binary()), "marks": pa.nulls(n, pa.binary())})
+
+
+def unpacked_surroundings(rows: pa.Table):
+    for chunk, blob in zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist()):
+        part = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
+        for anchor, left, data, positions in zip(*[part.column(c).to_pylist() for c in ("anchor", "lefts", "data", "positions")]):
+            yield anchor, left, data, chunk, np.array(positions, np.int64)
 
 
 def surroundings(rows: list, length: int):
@@ -161,31 +219,21 @@ def surroundings(rows: list, length: int):
         for _, left, data, chunk, positions in rows[a:b]:
             same.setdefault((left, data), []).append((chunk, positions))
         keys = list(same)
-        best = [[] for _ in keys]
-        for k, (left, data) in enumerate(keys):
+        # All strings of a member hold its anchor, so together they are one run of bytes.
+        left, right = np.full(len(keys), -1), np.full(len(keys), -1)
+        for k, (own, data) in enumerate(keys):
             if len(data) >= length and sum(len(p) for _, p in same[keys[k]]) > 1:
-                best[k].append((left, len(data) - left))
+                left[k], right[k] = own, len(data) - own
         if len(keys) > 1:
-            for left, right, members in maximal_repeats([d[:n] for n, d in keys], [d[n:] for n, d in keys], length):
-                for k in members:
-                    best[k].append((left, right))
-        for key, found in zip(keys, best):
-            for left, right in fronts(found):
-                for chunk, positions in same[key]:
-                    yield chunk, positions - left, positions + right
+            for members, lefts, to in maximal_repeats([d[:n] for n, d in keys], [d[n:] for n, d in keys], length):
+                left[members] = np.maximum(left[members], lefts)
+                right[members] = np.maximum(right[members], to)
+        for k in np.flatnonzero(right >= 0):
+            for chunk, positions in same[keys[k]]:
+                yield chunk, positions - left[k], positions + right[k]
         a = b
 
 
-def fronts(found: list) -> list:
-    """The (left, right) pairs that no other one holds."""
-    out, most = [], -1
-    for left, right in sorted(set(found), reverse=True):
-        if right > most:
-            out.append((left, right))
-            most = right
-    return out
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start,end>> of removed bytes, kept binary) for every document."""
@@ -213,32 +261,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             a, b = max(int(own.first[d]), p - (length - GRAM)), min(int(ends[d]), p + length)
             if b - a >= length:
                 rows.setdefault((value, p - a, own.data[a:b]), []).append(p)
-        n, keys = len(rows), list(rows)
-        values = np.array([k[0] for k in keys], np.uint64)
-        table = pa.table({
-            "kind": pa.array(["near"] * n, pa.string()), "chunk": pa.array([chunk] * n, pa.int32()), "bucket": pa.array(bucket_of(values, buckets), pa.int32()),
-            "data": pa.array([k[2] for k in keys], pa.binary()), "marks": pa.nulls(n, pa.binary()),
-            "anchor": pa.array(values.view(np.int64), pa.int64()), "lefts": pa.array([k[1] for k in keys], pa.int32()),
-            "positions": pa.array([np.array(p, np.int64).tobytes() for p in rows.values()], pa.binary())})
+        table = packed_surroundings(chunk, rows, buckets)
         hot = at[among(h, everywhere)]
         if len(hot):
             windows = own.rolling(length)
             near = covered(hot - (length - GRAM), hot + 1, len(windows)) & (windows != NEVER)
             distinct, count = np.unique(windows[near], return_counts=True)
             sent = packs(chunk, distinct, buckets, 0, (count > 1).reshape(-1, 1))
-            m = len(sent)
-            table = pa.concat_tables([table, pa.table({
-                "kind": pa.array(["window"] * m, pa.string()), "chunk": sent["chunk"], "bucket": sent["bucket"], "data": sent["data"], "marks": sent["marks"],
-                "anchor": pa.nulls(m, pa.int64()), "lefts": pa.nulls(m, pa.int32()), "positions": pa.nulls(m, pa.binary())})])
+            table = pa.concat_tables([table, sent.append_column("kind", pa.array(["window"] * len(sent), pa.string())).select(table.column_names)])
         return table
 
     def compare(rows: pa.Table) -> pa.Table:
         kinds = np.array(rows.column("kind").to_pylist(), object)
         near = rows.take(np.flatnonzero(kinds == "near"))
         found: dict = {}
-        for chunk, starts, ends in surroundings(list(zip(
-                near.column("anchor").to_pylist(), near.column("lefts").to_pylist(), near.column("data").to_pylist(),
-                near.column("chunk").to_pylist(), [np.frombuffer(p, np.int64) for p in near.column("positions").to_pylist()])), length):
+        for chunk, starts, ends in surroundings(list(unpacked_surroundings(near)), length):
             found.setdefault(chunk, ([], []))
             found[chunk][0].append(starts)
             found[chunk][1].append(ends)
