@@ -89,7 +89,7 @@ class Model:
 
     def __init__(self, counts: dict, order: int):
         self.names, self.order = sorted(counts), order
-        seen = sorted({int(g) & 255 for c in counts.values() for g in c[0]})
+        seen = sorted({0} | {int(b) for c in counts.values() for b in np.unique(c[0] & 255)})  # 0 also stands before a text
         width = len(seen) + 1
         self.symbols = np.full(256, len(seen), np.int64)
         self.symbols[seen] = np.arange(len(seen))

@@ -41,7 +41,9 @@ MARKS = {"at": "@", "@": "@", "dot": ".", ".": ".", "punkt": ".", "punto": ".",
 
 ODD = re.compile("[\u00ad\u0370-\u052f\u2000-\u206f\uff01-\uff5e\ufeff\u2460-\u24ff\U0001d400-\U0001d7ff]")
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|punto|point|arroba)\s*[\])}>]\s*", re.I)
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
+# Endings of host names that make words between `at` and `dot` an address.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|dev|app|eu|uk|us|ca|au|de|at|ch|fr|be|nl|it|es|pt|mx|br|ar|se|dk|pl|ru|jp|cn|in"
+SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
 SPOKEN_PART = re.compile(r"\s+(at|dot)\s+", re.I)
 WORD = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 SPELLED = re.compile(rf"(?:plus\s+)?\b(?:{WORD}|[0-9]+)(?:(?:\s*(?:-|\.|,|\bdot\b|\bdash\b)\s*|\s+)(?:{WORD}|[0-9]+)\b)+", re.I)

@@ -180,7 +180,6 @@ def test_ppm_code_lengths():
     got = model.bits(samples)
     for j, raw in enumerate(samples):
         for k, name in enumerate(model.names):
-            # Zero bytes before the text count as a byte never seen, in both.
             assert got[j, k] == pytest.approx(direct_bits(counts[name], raw, order), rel=1e-5)
 
 
