@@ -25,8 +25,9 @@ FIXED_WORDS = {"today": None, "yesterday": None, "last week": 7, "last month": 3
 UNIT_DAYS = {"day": 1, "days": 1, "week": 7, "weeks": 7, "month": 30, "months": 30, "year": 365, "years": 365}
 AGO_PATTERN = rf"^(\d+){WHITESPACE}+(day|days|week|weeks|month|months|year|years){WHITESPACE}+ago$"
 ISO_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
-# Larger day counts do not fit a timestamp; they resolve to NULL.
-MAX_DAYS = 100_000_000
+# Day counts above this leave the years 1 to 9999 from any anchor; results outside these years are refused as well.
+MAX_DAYS = 3_652_058
+FIRST_DAY = "0001-01-01 00:00:00"
 
 
 def _days(n: Column) -> Column:
@@ -48,6 +49,7 @@ def resolve_date(phrase: Column, anchor: Column) -> Column:
         F.regexp_extract(trimmed, AGO_PATTERN, 2))
     days = F.try_multiply(F.regexp_extract(trimmed, AGO_PATTERN, 1).try_cast("bigint"), per_unit)
     ago = F.when(days.between(1, MAX_DAYS), anchor - _days(days))
+    ago = F.when(ago >= F.lit(FIRST_DAY).cast("timestamp_ntz"), ago)
     fixed = F.try_element_at(
         F.create_map(*[x for w, d in FIXED_WORDS.items() if d for x in (F.lit(w), F.lit(d))]), low)
     return (
@@ -74,17 +76,17 @@ def parse_relative_date(phrase: str, anchor: dt.datetime | None = None) -> dt.da
         return now - dt.timedelta(days=FIXED_WORDS[low])
     m = _AGO_RE.match(low.strip())
     if not m or not m.group(1).isascii():
-        raise ValueError(f"Cannot parse relative date: {phrase}")
+        raise ValueError(f"not a relative date: {phrase!r}")
     n = int(m.group(1))
     if n <= 0:
-        raise ValueError(f"Invalid time value: {n}")
+        raise ValueError(f"a relative date needs a count of one or more, not {n}")
     days = n * UNIT_DAYS[m.group(2)]
     try:
         if days > MAX_DAYS:
             raise OverflowError
         return now - dt.timedelta(days=days)
     except OverflowError:
-        raise ValueError(f"Time value out of range: {n}") from None
+        raise ValueError(f"a relative date {n} units back is before year 1") from None
 
 
 def date_bound(value, anchor: dt.datetime | None = None, end: bool = False) -> dt.datetime:

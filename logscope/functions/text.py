@@ -22,7 +22,6 @@ NO_CONTENT = "(no content)"
 EMPTY_CONTENT = "(empty)"
 PREVIEW_CHARS = 50
 LIST_TIME_FORMAT = "yyyy-MM-dd HH:mm"
-DETAIL_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def contains_ci(c: Column, keyword: str) -> Column:

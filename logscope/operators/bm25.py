@@ -1,19 +1,29 @@
 """Okapi BM25 full-text ranking as DataFrames.
 
-The index is four relations: ``postings(term, id, tf)``, ``doc_len(id, len)``,
-``term_df(term, df)`` and ``corpus(n_docs, avg_len)``. Scoring a query reads
-only the postings of its terms, joins their (bounded) document frequencies,
-then the lengths of the matching documents, and sums per document:
-
     rank(d) = Σ_t ln(1 + (N − df_t + 0.5)/(df_t + 0.5)) · tf·(k1+1) / (tf + k1·(1 − b + b·len_d/avglen))
 
-Higher is better. A persisted index is range-partitioned and sorted by term,
-so ``term IN (...)`` skips row groups by their min/max statistics.
+Higher is better. Two ways to score, with the same result:
+
+* :func:`score_scan` needs no index: a row's length and the frequencies of the
+  query terms are expressions over its own tokens, and the corpus numbers (N,
+  average length, document frequencies) are one aggregate of the same scan. No
+  tokens are exploded or shuffled.
+* :func:`score` reads the postings of the query terms from an index:
+  ``postings(term, id, tf, seg)`` and ``docs(id, len, version, seg)``, where ``seg``
+  says which segment of postings a document is indexed in.
+
+A persisted index is a set of segments, range-partitioned and sorted by term,
+so ``term IN (...)`` skips row groups by their statistics. A refresh appends
+the postings of new and changed documents as a new segment and writes a
+new ``docs`` relation; postings of replaced or removed documents find no
+document with their segment and drop out of every join. Readers follow the
+newest complete ``corpus`` row, which is written last.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,109 +38,139 @@ B = 0.75
 
 @dataclass(frozen=True)
 class TextIndex:
-    postings: DataFrame
-    doc_len: DataFrame
-    term_df: DataFrame
-    corpus: DataFrame
-
-    def _stats(self) -> Column:
-        # One scalar subquery for both numbers; identical subqueries are reused,
-        # so the corpus is aggregated once per query.
-        return self.corpus.select(F.struct("n_docs", "avg_len")).scalar()
-
-    def n_docs(self) -> Column:
-        return self._stats().getField("n_docs")
-
-    def avg_len(self) -> Column:
-        return self._stats().getField("avg_len")
-
-    def write(self, path: str) -> None:
-        """Persist the index; postings range-partitioned and sorted by term."""
-        (self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-         .write.mode("overwrite").parquet(f"{path}/postings"))
-        self.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
-        (self.term_df.repartitionByRange("term").sortWithinPartitions("term")
-         .write.mode("overwrite").parquet(f"{path}/term_df"))
-        self.corpus.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    postings: DataFrame   # term, id, tf, seg
+    docs: DataFrame       # id, len, version, seg
+
+    def corpus(self) -> DataFrame:
+        return self.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TextIndex":
-        return TextIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_len", "term_df", "corpus")))
+        version = newest(spark, path)
+        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs/v={version}"))
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    return spark.read.schema("n_docs long, v int").option("basePath", f"{path}/corpus").parquet(f"{path}/corpus").agg(F.max("v")).first()[0]
+
 
+def _tokenised(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    version = F.col("version").cast("string") if "version" in docs.columns else F.lit(None).cast("string")
+    return docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), version.alias("version"), tokens(F.col(text_col)).alias("toks"))
 
-def build_index(docs: DataFrame, text_col: str = "message_content", id_col: str = "id") -> TextIndex:
+
+def build_index(docs: DataFrame, text_col: str = "message_content", id_col: str = "id", segment: int = 0) -> TextIndex:
     """Index ``docs``. Documents with NULL text are not indexed.
 
     Term frequencies are counted with a hash aggregate whose partial step runs
     in the task that tokenised the document, so only distinct (term, id)
     pairs are shuffled.
     """
-    toks = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    doc_len = toks.select("id", F.size("toks").cast("long").alias("len"))
+    toks = _tokenised(docs, text_col, id_col)
+    rows = toks.select("id", F.size("toks").cast("long").alias("len"), "version", F.lit(segment).alias("seg"))
     postings = (toks.select("id", F.explode("toks").alias("term"))
-                .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")))
-    term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    return TextIndex(postings, doc_len, term_df, corpus)
+                .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).withColumn("seg", F.lit(segment)))
+    return TextIndex(postings, rows)
+
+
+def _write_segment(index: TextIndex, docs: DataFrame, path: str, segment: int) -> None:
+    (index.postings.drop("seg").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+     .write.mode("overwrite").parquet(f"{path}/postings/seg={segment}"))
+    docs.write.mode("overwrite").parquet(f"{path}/docs/v={segment}")
+    # The pointer: readers see this version from here on.
+    docs.agg(F.count(F.lit(1)).alias("n_docs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/v={segment}")
+
+
+def write_index(docs: DataFrame, path: str, text_col: str = "message_content", id_col: str = "id") -> None:
+    """Build an index in an empty folder, as segment 0."""
+    index = build_index(docs, text_col, id_col)
+    _write_segment(index, index.docs, path, 0)
 
 
-def update_index(index: TextIndex, changed: DataFrame, text_col: str = "message_content",
-                 id_col: str = "id") -> TextIndex:
-    """Index after ``changed`` documents were inserted or replaced.
+def refresh_index(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "message_content", id_col: str = "id") -> None:
+    """Bring a persisted index up to ``docs`` (with a ``version``): new, changed and removed documents.
 
-    The changed ids are anti-joined out of ``postings`` and ``doc_len`` and
-    their new postings appended; ``term_df`` and ``corpus`` are recomputed
-    from the result (aggregates with a partial step). Equal to a rebuild.
+    A document is indexed again if its version differs from the indexed one.
+    Of the others only ids and versions are read; their postings stay as they are.
     """
-    fresh = build_index(changed, text_col, id_col)
-    ids = changed.select(F.col(id_col).alias("id"))
-    postings = index.postings.join(ids, "id", "left_anti").unionByName(fresh.postings)
-    doc_len = index.doc_len.join(ids, "id", "left_anti").unionByName(fresh.doc_len)
-    term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    return TextIndex(postings, doc_len, term_df, corpus)
+    old, segment = TextIndex.load(spark, path), newest(spark, path) + 1
+    have = old.docs.select(F.col("id").alias("_id"), F.col("version").alias("_v"), F.col("len").alias("_len"), F.col("seg").alias("_seg"))
+    now = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("version").cast("string").alias("version"))
+    same = now.join(have, (F.col("id") == F.col("_id")) & (F.col("version") == F.col("_v")))
+    kept = same.select("id", F.col("_len").alias("len"), "version", F.col("_seg").alias("seg"))
+    changed = docs.join(kept.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    fresh = build_index(changed, text_col, id_col, segment)
+    _write_segment(fresh, kept.unionByName(fresh.docs), path, segment)
 
 
-def query_terms(keywords: Iterable[str]) -> list[str]:
-    """Keywords → distinct index terms (same tokenizer as the documents), in order."""
-    import regex  # Unicode classes \p{L}, \p{N} like the Spark tokenizer
+def _terms_of(spark: SparkSession, keywords: Iterable[str]) -> list[str]:
+    """Keywords → distinct index terms, by the same expression as the documents, in order."""
+    keywords = list(keywords)
+    if not keywords:
+        return []
+    found = spark.createDataFrame([(k,) for k in keywords], "k string").select(tokens(F.col("k")).alias("t")).collect()
+    return list(dict.fromkeys(t for r in found for t in r["t"]))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+
+
+def _part(idf: Column, tf: Column, length: Column, avg_len: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+
+
+EMPTY_SCORES = "id long, score double, n_terms long"
+
+
+def score_scan(docs: DataFrame, keywords: Iterable[str], mode: str = "and",
+               text_col: str = "message_content", id_col: str = "id") -> DataFrame:
+    """(id, score, n_terms) of matching documents, from the texts alone."""
+    spark = docs.sparkSession
+    terms = _terms_of(spark, keywords)
+    if not terms:
+        return spark.createDataFrame([], EMPTY_SCORES)
+    toks = _tokenised(docs, text_col, id_col)
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter("toks", lambda t: t == F.lit(term))).cast("double")
 
-    out: list[str] = []
-    for k in keywords:
-        for t in regex.split(r"[^\p{L}\p{N}]+", k.lower()):
-            if t and t not in out:
-                out.append(t)
-    return out
+    rows = toks.select("id", F.size("toks").cast("double").alias("len"), *[occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    stats = rows.agg(F.struct(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"),
+        *[F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))]).alias("s")).scalar()
+    rows = rows.withColumn("s", stats)
+    s = F.col("s")
+    parts = [F.when(F.col(f"tf{k}") > 0, _part(_idf(s["n"], s[f"df{k}"]), F.col(f"tf{k}"), F.col("len"), s["avg_len"])).otherwise(F.lit(0.0))
+             for k in range(len(terms))]
+    hits = reduce(lambda a, b: a + b, [(F.col(f"tf{k}") > 0).cast("long") for k in range(len(terms))])
+    wanted = F.col("n_terms") >= (1 if mode == "or" else len(terms))
+    return rows.select("id", reduce(lambda a, b: a + b, parts).alias("score"), hits.alias("n_terms")).where(wanted)
 
 
 def score(index: TextIndex, keywords: Iterable[str], mode: str = "and") -> DataFrame:
-    """(id, score, n_terms) for documents matching the terms.
+    """(id, score, n_terms) for documents matching the terms, from an index.
 
     ``and``: every term must occur; ``or``: any term, summed over those present.
-    The per-term statistics hold at most one row per query term, so they are
-    broadcast; the document-length join is left to AQE.
+    Only the postings of the terms are read. Document frequencies are counted
+    from them (after stale postings dropped out), so they hold one row per query term.
     """
-    terms = query_terms(keywords)
     spark = index.postings.sparkSession
+    terms = _terms_of(spark, keywords)
     if not terms:
-        return spark.createDataFrame([], "id long, score double, n_terms long")
-    n, avg_len = index.n_docs(), index.avg_len()
-    stats = F.broadcast(index.term_df.where(F.col("term").isin(terms)))
-    hits = (index.postings.where(F.col("term").isin(terms))
-            .join(stats, "term")
-            .join(index.doc_len, "id"))
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
-    scored = hits.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
-    if mode != "or":
-        scored = scored.where(F.col("n_terms") == len(terms))
-    return scored
+        return spark.createDataFrame([], EMPTY_SCORES)
+    stats = index.corpus().select(F.struct("n_docs", "avg_len")).scalar()
+    hits = index.postings.where(F.col("term").isin(terms)).join(index.docs.select("id", "len", "seg"), ["id", "seg"])
+    df = F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row per query term
+    part = _part(_idf(F.col("s")["n_docs"], F.col("df")), F.col("tf").cast("double"), F.col("len"), F.col("s")["avg_len"])
+    scored = hits.join(df, "term").withColumn("s", stats).groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    return scored if mode == "or" else scored.where(F.col("n_terms") == len(terms))
 
 
 def term_stats(index: TextIndex) -> DataFrame:
     """Per term: document frequency, total occurrences and idf (corpus statistics behind the rank)."""
-    n = index.n_docs()
-    per_term = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
-    idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return per_term.select("term", "df", "occurrences", F.round(idf, 6).alias("idf"))
+    n = index.corpus().select("n_docs").scalar()
+    live = index.postings.join(index.docs.select("id", "seg"), ["id", "seg"], "left_semi")
+    per_term = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return per_term.select("term", "df", "occurrences", F.round(_idf(n, F.col("df")), 6).alias("idf"))

@@ -7,15 +7,12 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Change sets built from an id list up to this size are broadcast; a larger
-# list (or a DataFrame change set) is joined the ordinary way.
-BROADCAST_IDS = 1_000_000
 
-
-def change_set(spark: SparkSession, ids: Iterable[int], flag: bool) -> DataFrame:
-    rows = [(int(i), flag) for i in ids]
-    df = spark.createDataFrame(rows, "id long, fav boolean")
-    return F.broadcast(df) if len(rows) <= BROADCAST_IDS else df
+def change_set(spark: SparkSession, ids: Iterable[int] | DataFrame, flag: bool) -> DataFrame:
+    """(id, fav) from a list of ids, or from a DataFrame with a column ``id`` for large sets."""
+    if isinstance(ids, DataFrame):
+        return ids.select(F.col("id").cast("long").alias("id"), F.lit(flag).alias("fav"))
+    return spark.createDataFrame([(int(i), flag) for i in ids], "id long, fav boolean")
 
 
 def apply_favorites(rows: DataFrame, changes: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def import_report(parsed: DataFrame) -> DataFrame:
     """Imported and error line counts per file, per project and in total.
 
     ``rollup`` adds the project subtotals (file NULL) and the grand total
-    (both NULL); ``level`` tells them apart: 0 file, 1 project, 2 total.
+    (both NULL); ``level`` tells them apart: 0 file, 1 project, 3 total.
     """
     return (parsed.rollup("project_path", "file_path")
             .agg(F.count_if(F.col("error").isNull()).alias("imported"),

@@ -10,7 +10,7 @@ sort layout prunes files and row groups), the keyword test stays a codegen'd
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,13 +21,10 @@ from logscope.functions.text import cli_line, keyword_predicate, list_line, prev
 from logscope.operators import bm25
 from logscope.schema import RESULT_COLUMNS, RESULT_SCHEMA
 
-# Default result limits of the API and of the command line.
+# Default result limit, and the rows of a preview.
 DEFAULT_LIMIT = 100
-CLI_LIMIT = 20
 PREVIEW_ROWS = 5
 RANK_DECIMALS = 6
-# Largest top-k whose ids are broadcast to fetch the rows.
-BROADCAST_TOP_K = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +32,7 @@ class SearchQuery:
     keywords: Sequence[str] = ()
     mode: str = "and"
     project_filter: str | None = None
-    project_filters: Sequence[str] | None = None
+    project_filters: Sequence[str] | DataFrame | None = None   # a DataFrame with project_path for long lists
     date_from: object = None
     date_to: object = None
     favorites_only: bool | None = None
@@ -58,9 +55,12 @@ def apply_filters(df: DataFrame, q: SearchQuery, anchor: dt.datetime | None = No
         df = df.where(F.col("timestamp") >= F.lit(date_bound(q.date_from, anchor)).cast("timestamp_ntz"))
     if q.date_to is not None:
         df = df.where(F.col("timestamp") <= F.lit(date_bound(q.date_to, anchor, end=True)).cast("timestamp_ntz"))
-    p = project_predicate(q.project_filter, q.project_filters)
-    if p is not None:
-        df = df.where(p)
+    if isinstance(q.project_filters, DataFrame):
+        df = df.join(q.project_filters.select("project_path"), "project_path", "left_semi")
+    else:
+        p = project_predicate(q.project_filter, q.project_filters)
+        if p is not None:
+            df = df.where(p)
     if q.favorites_only:
         df = df.where(F.col("is_favorite"))
     return df
@@ -85,53 +85,48 @@ def top_k(df: DataFrame, k: int) -> DataFrame:
 
 
 def search(messages: DataFrame, q: SearchQuery, index: bm25.TextIndex | None = None,
-           anchor: dt.datetime | None = None) -> DataFrame:
-    """Rows whose content matches the keywords (substring, case-insensitive).
-
-    Without keywords the result is empty, before any filter. With an index the
-    rank is the BM25 score of the keyword terms present (0 when none is); the
-    keyword test itself decides membership. ``limit=None`` returns all rows,
-    otherwise the top ``limit`` by rank.
+           anchor: dt.datetime | None = None, ranked: bool = False) -> DataFrame:
+    """Rows whose content matches the keywords (substring, case-insensitive) and the regular expression.
+
+    With neither keywords nor a regular expression the result is empty, before any
+    filter. With an index, or with ``ranked`` (which scans the texts instead), the
+    rank is the BM25 score of the keyword terms present (0 when none is) over all
+    messages; the keyword test itself decides membership. ``limit=None`` returns
+    all rows, otherwise the top ``limit`` by rank.
     """
-    if not q.keywords:
+    if not q.keywords and q.regex is None:
         return empty_result(messages)
     df = apply_filters(messages, q, anchor)
-    df = df.where(keyword_predicate(F.col("message_content"), q.keywords, q.mode))
+    if q.keywords:
+        df = df.where(keyword_predicate(F.col("message_content"), q.keywords, q.mode))
     if q.regex is not None:
         df = df.where(F.col("message_content").rlike(q.regex))
-    if index is None:
+    if index is None and not ranked:
         out = result_columns(df)
     else:
-        scores = bm25.score(index, q.keywords, "or").select("id", "score")
+        scores = (bm25.score(index, q.keywords, "or") if index is not None else bm25.score_scan(messages, q.keywords, "or")).select("id", "score")
         out = result_columns(df.join(scores, "id", "left"), F.coalesce(F.col("score"), F.lit(0.0)))
     return top_k(out, q.limit) if q.limit is not None else out
 
 
-def ranked_search(messages: DataFrame, index: bm25.TextIndex, q: SearchQuery,
+def ranked_search(messages: DataFrame, index: bm25.TextIndex | None, q: SearchQuery,
                   anchor: dt.datetime | None = None) -> DataFrame:
     """Full-text search: rows holding the keyword terms (all for ``and``, any
-    for ``or``), ranked by BM25. The index decides membership.
+    for ``or``), ranked by BM25 over all messages. Without an index the texts are scanned.
 
-    With no message-side filter the top ``limit`` ids are taken from the scores
-    before the join, so only ``limit`` message rows are fetched.
+    Messages are joined before the limit, so it counts rows that exist and pass the filters.
     """
     if not q.keywords:
         return empty_result(messages)
-    scores = bm25.score(index, q.keywords, q.mode).select("id", F.round("score", RANK_DECIMALS).alias("rank"))
-    filtered = apply_filters(messages, q, anchor)
-    no_filters = filtered is messages
-    if no_filters and q.limit is not None and q.limit <= BROADCAST_TOP_K:
-        best = scores.orderBy(F.col("rank").desc(), F.col("id").asc()).limit(q.limit)
-        joined = messages.join(F.broadcast(best), "id")
-    else:
-        joined = filtered.join(scores, "id")
-    out = joined.select(*RESULT_COLUMNS)
+    found = bm25.score(index, q.keywords, q.mode) if index is not None else bm25.score_scan(messages, q.keywords, q.mode)
+    scores = found.select("id", F.round("score", RANK_DECIMALS).alias("rank"))
+    out = apply_filters(messages, q, anchor).join(scores, "id").select(*RESULT_COLUMNS)
     return top_k(out, q.limit) if q.limit is not None else out
 
 
-def regex_search(messages: DataFrame, pattern: str) -> DataFrame:
-    """Rows whose content matches a (Java) regular expression."""
-    return result_columns(messages.where(F.col("message_content").rlike(pattern)))
+def regex_search(messages: DataFrame, pattern: str, q: SearchQuery | None = None, anchor: dt.datetime | None = None) -> DataFrame:
+    """Rows whose content matches a (Java) regular expression, with the filters and limit of ``q``."""
+    return search(messages, replace(q or SearchQuery(limit=None), keywords=(), regex=pattern), anchor=anchor)
 
 
 def list_favorites(messages: DataFrame) -> DataFrame:

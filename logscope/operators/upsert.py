@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscope.schema import RECORD_COLUMNS, TABLE_COLUMNS
+from logscope.session import ensure_checkpoint_dir
 
 ORDER_COLUMNS = ["file_path", "block_start", "pos"]
 
@@ -27,12 +28,6 @@ def dedup_last(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def first_occurrence(batch: DataFrame) -> DataFrame:
-    """Flag ``is_first``: the row is the first of its uuid in source order."""
-    w = Window.partitionBy("uuid").orderBy(*[F.col(c).asc() for c in ORDER_COLUMNS])
-    return batch.withColumn("is_first", F.row_number().over(w) == 1)
-
-
 def uuid_exists(batch: DataFrame, table: DataFrame) -> DataFrame:
     """Batch rows whose uuid is already stored (semi join on uuid)."""
     return batch.join(table.select("uuid"), "uuid", "left_semi")
@@ -43,26 +38,50 @@ def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
     return batch.join(table.select("uuid"), "uuid", "left_anti")
 
 
-def number_rows(df: DataFrame, order: list[str], base: Column | int = 0, name: str = "id") -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], coarse: list[Column], fine: list[Column],
+                base: Column | int = 0, name: str = "id") -> DataFrame:
     """Dense 1-based numbers in ``order``, offset by ``base``, without a single-partition window.
 
-    Step 1 range-partitions and sorts the rows (balanced by sampling, so a hot
-    key range is split). Step 2 counts the rows of each partition (one small
-    row per partition) and turns the counts into offsets with a window over
-    that tiny table. The offsets are joined back by partition id; their size
-    is bounded by the partition count. ``monotonically_increasing_id`` is the
-    row position inside a partition after the sort.
+    ``coarse`` and ``fine`` are keys computed from the data that never decrease
+    along ``order``; a (coarse, fine) group must be small enough for one task,
+    and the number of coarse keys small enough for one task as well (one row
+    each). Rows are counted per group, the counts become offsets - within a
+    coarse key by a window over its groups, across coarse keys by one window
+    over a row per key - and rows are numbered inside their group. Nothing
+    depends on how rows happen to be partitioned, so plan changes at run time
+    cannot change a number. ``df`` is read twice; pass a materialised frame.
     """
-    keyed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = keyed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c_names, f_names = [f"_c{k}" for k in range(len(coarse))], [f"_f{k}" for k in range(len(fine))]
+    keyed = df.withColumns(dict(zip([*c_names, *f_names], [*coarse, *fine])))
+    sizes = keyed.groupBy(*c_names, *f_names).agg(F.count(F.lit(1)).alias("_n"))
+    inside = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*c_names).orderBy(*f_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = sizes.groupBy(*c_names).agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.orderBy(*c_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offsets = inside.drop("_n").join(before, c_names)
     base_col = base if isinstance(base, Column) else F.lit(base)
-    return (keyed.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
-            .withColumn(name, (base_col + F.col("_off") + (F.col("_mid") - F.col("_first")) + 1).cast("long"))
-            .drop("_pid", "_mid", "_off", "_first"))
+    rank = F.row_number().over(Window.partitionBy(*c_names, *f_names).orderBy(*order))
+    return (keyed.withColumn("_rank", rank).join(offsets, [*c_names, *f_names])
+            .withColumn(name, (base_col + F.col("_before") + F.col("_in") + F.col("_rank")).cast("long"))
+            .select(*df.columns, name))
+
+
+def number_batch(batch: DataFrame, base: Column | int = 0) -> DataFrame:
+    """Ids in source order: by file, then split, then position; a split is bounded by the reader."""
+    return number_rows(batch, ORDER_COLUMNS, [F.col("file_path")], [F.col("block_start")], base)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """One reliable copy, for a frame that several branches of a plan read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def marked(batch: DataFrame, table: DataFrame) -> DataFrame:
+    """The deduplicated batch with ``is_stored``: one pass over the batch and the table's uuids."""
+    stored = table.select(F.col("uuid").alias("_su"))
+    return (batch.join(stored, F.col("uuid") == F.col("_su"), "left")
+            .withColumn("is_stored", F.col("_su").isNotNull()).drop("_su"))
 
 
 def max_id(table: DataFrame) -> Column:
@@ -80,18 +99,20 @@ def _new_table_rows(rows: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def plan_upsert(table: DataFrame, batch: DataFrame, now: Column, id_base: Column | None = None) -> DataFrame:
+def plan_upsert(table: DataFrame, batch: DataFrame, now: Column, id_base: Column | int | None = None) -> DataFrame:
     """Table rows after an upsert of ``batch`` (deduplicated by uuid).
 
     Existing uuid → record columns and ``updated_at`` come from the batch
     (unconditionally, even if older); ``id``, ``created_at`` and
     ``is_favorite`` are kept. New uuid → appended with the next ids in source
-    order. Untouched rows pass through. Extra columns of ``table`` (such as the
-    partition column) are kept for existing rows and NULL for new rows.
+    order. Untouched rows pass through. ``batch`` may carry ``is_stored``
+    (see :func:`marked`); otherwise it is marked and materialised here, so the
+    incoming lines are parsed once whatever the plan does with the batch.
     """
-    extra = [c for c in table.columns if c not in TABLE_COLUMNS]
+    if "is_stored" not in batch.columns:
+        batch = materialised(marked(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS), table))
     t = table.alias("t")
-    b = batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS).alias("b")
+    b = batch.where("is_stored").select(*RECORD_COLUMNS).alias("b")
     joined = t.join(b, F.col("t.uuid") == F.col("b.uuid"), "left")
     hit = F.col("b.uuid").isNotNull()
     kept = joined.select(
@@ -100,43 +121,55 @@ def plan_upsert(table: DataFrame, batch: DataFrame, now: Column, id_base: Column
         F.col("t.is_favorite").alias("is_favorite"),
         F.col("t.created_at").alias("created_at"),
         F.when(hit, now).otherwise(F.col("t.updated_at")).alias("updated_at"),
-        *[F.col(f"t.{c}").alias(c) for c in extra],
     )
-    fresh = new_rows(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS), table)
-    numbered = number_rows(fresh, ORDER_COLUMNS, id_base if id_base is not None else max_id(table))
-    added = _new_table_rows(numbered, now).select(*TABLE_COLUMNS, *[F.lit(None).alias(c) for c in extra])
-    return kept.unionByName(added.select(*kept.columns))
+    return kept.unionByName(plan_new(batch, now, max_id(table) if id_base is None else id_base).select(*kept.columns))
 
 
-def plan_insert_only(table: DataFrame, batch: DataFrame, now: Column, id_base: Column | None = None) -> DataFrame:
+def plan_new(batch: DataFrame, now: Column, id_base: Column | int) -> DataFrame:
+    """Table rows of the batch rows whose uuid is not stored, numbered after ``id_base`` in source order."""
+    fresh = batch.where(~F.col("is_stored")).select(*RECORD_COLUMNS, *ORDER_COLUMNS)
+    return _new_table_rows(number_batch(fresh, id_base), now).select(*TABLE_COLUMNS)
+
+
+def plan_insert_only(table: DataFrame, batch: DataFrame, now: Column, id_base: Column | int | None = None) -> DataFrame:
     """Rows to append: batch rows with a uuid not yet stored, numbered after the stored ids."""
-    fresh = new_rows(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS), table)
-    numbered = number_rows(fresh, ORDER_COLUMNS, id_base if id_base is not None else max_id(table))
-    return _new_table_rows(numbered, now).select(*TABLE_COLUMNS)
+    if "is_stored" not in batch.columns:
+        batch = materialised(new_rows(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS), table).withColumn("is_stored", F.lit(False)))
+    return plan_new(batch, now, max_id(table) if id_base is None else id_base)
+
 
+def force_marked(table: DataFrame, valid: DataFrame) -> DataFrame:
+    """Every valid row with ``is_new``: the first of its uuid in source order, and the uuid is not stored.
+
+    The first occurrence is a minimum per uuid (partial aggregates), joined
+    back, so a uuid that many rows repeat is never ranked in one task.
+    """
+    rows = valid.select(*RECORD_COLUMNS, *ORDER_COLUMNS, *[c for c in ("raw",) if c in valid.columns])
+    first = rows.groupBy("uuid").agg(F.min(F.struct(*ORDER_COLUMNS)).alias("_first"))
+    first = new_rows(first, table)
+    return (rows.join(first.withColumnRenamed("uuid", "_u"), (F.col("uuid") == F.col("_u")) & (F.struct(*ORDER_COLUMNS) == F.col("_first")), "left")
+            .withColumn("is_new", F.col("_u").isNotNull()).drop("_u", "_first"))
 
-def plan_force(table: DataFrame, valid: DataFrame, now: Column, id_base: Column | None = None) -> tuple[DataFrame, DataFrame]:
+
+def plan_force(table: DataFrame, valid: DataFrame, now: Column, id_base: Column | int | None = None) -> tuple[DataFrame, DataFrame]:
     """Forced import: plain inserts without the update path.
 
     Returns (inserted rows, rejected rows). The first occurrence of a uuid that
     is not stored yet is inserted; every other row (stored uuid, or a repeat
     inside the batch) is rejected with ``duplicate uuid``, as a UNIQUE
-    constraint would.
+    constraint would. Rejected rows keep their source position (and ``raw`` if given).
     """
-    flagged = first_occurrence(valid.select(*RECORD_COLUMNS, *ORDER_COLUMNS))
-    stored = table.select(F.col("uuid").alias("_su"))
-    marked = flagged.join(stored, F.col("uuid") == F.col("_su"), "left").withColumn("_stored", F.col("_su").isNotNull()).drop("_su")
-    ok = F.col("is_first") & ~F.col("_stored")
-    inserted = number_rows(marked.where(ok).drop("is_first", "_stored"), ORDER_COLUMNS,
-                           id_base if id_base is not None else max_id(table))
-    rejected = marked.where(~ok).select(*ORDER_COLUMNS, "uuid", F.lit("duplicate uuid").alias("error"))
-    return _new_table_rows(inserted, now).select(*TABLE_COLUMNS), rejected
+    rows = materialised(force_marked(table, valid))
+    inserted = plan_new(rows.withColumn("is_stored", ~F.col("is_new")), now, max_id(table) if id_base is None else id_base)
+    rejected = rows.where(~F.col("is_new")).select(
+        *ORDER_COLUMNS, "uuid", F.lit("duplicate uuid").alias("error"), *[c for c in ("raw",) if c in rows.columns])
+    return inserted, rejected
 
 
 def plan_overwrite(batch: DataFrame, now: Column) -> DataFrame:
     """Full re-import: the deduplicated batch numbered from 1."""
-    numbered = number_rows(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS), ORDER_COLUMNS, 0)
-    return _new_table_rows(numbered, now).select(*TABLE_COLUMNS)
+    fresh = materialised(batch.select(*RECORD_COLUMNS, *ORDER_COLUMNS).withColumn("is_stored", F.lit(False)))
+    return plan_new(fresh, now, 0)
 
 
 def import_stats(parsed: DataFrame, table: DataFrame) -> DataFrame:
@@ -145,17 +178,18 @@ def import_stats(parsed: DataFrame, table: DataFrame) -> DataFrame:
     inserted = distinct new uuids; updated = every other valid row (an update
     of a stored row, or a repeat inside the batch); errors = rejected lines.
     Skipped is always 0 (no path produces it). total = inserted + updated + skipped.
+    One pass over the parsed lines: rows are counted per uuid (rejected lines
+    have none), then the counts meet the table's uuids.
     """
-    valid = parsed.where(F.col("error").isNull())
-    inserted = new_rows(valid.select("uuid").distinct(), table).select(F.count(F.lit(1))).scalar()
-    counts = parsed.agg(
-        F.count_if(F.col("error").isNull()).alias("_valid"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-    )
-    return counts.select(
-        inserted.alias("inserted"),
-        (F.col("_valid") - inserted).alias("updated"),
+    per_uuid = parsed.groupBy("uuid").agg(F.count(F.lit(1)).alias("_n"))
+    stored = table.select(F.col("uuid").alias("_su"))
+    m = per_uuid.join(stored, F.col("uuid") == F.col("_su"), "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    fresh = F.col("uuid").isNotNull() & F.col("_su").isNull()
+    return m.agg(
+        F.count_if(fresh).alias("inserted"),
+        (total(F.when(F.col("uuid").isNotNull(), F.col("_n"))) - F.count_if(fresh)).alias("updated"),
         F.lit(0).cast("long").alias("skipped"),
-        F.col("errors"),
-        F.col("_valid").alias("total_processed"),
+        total(F.when(F.col("uuid").isNull(), F.col("_n"))).alias("errors"),
+        total(F.when(F.col("uuid").isNotNull(), F.col("_n"))).alias("total_processed"),
     )

@@ -81,9 +81,11 @@ def record_error(v: Column, raw: Column) -> Column:
 
 
 def _utc_timestamp(ts_text: Column) -> Column:
-    """RFC 3339 text with offset → UTC wall time as TIMESTAMP_NTZ (session zone UTC)."""
+    """RFC 3339 text with offset → UTC wall time as TIMESTAMP_NTZ, whatever the session's time zone."""
     norm = F.regexp_replace(F.upper(ts_text), " ", "T")
-    return norm.try_cast("timestamp").cast("timestamp_ntz")
+    micros = F.unix_micros(norm.try_cast("timestamp"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
 
 
 def content_json(content: Column) -> Column:

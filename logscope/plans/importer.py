@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from logscope.operators import lines as line_ops
 from logscope.operators import reports, validate
 from logscope.plans.store import ImportResult, MessageStore, utc_now
-from logscope.sources.jsonl import read_lines
+from logscope.plans.sync import changed_files
+from logscope.sources.jsonl import list_files, read_lines
 
 MODES = ("upsert", "insert_only", "overwrite", "force")
-# Files changed this long before the last sync are read again; the uuid check drops repeats.
-SYNC_SLACK = dt.timedelta(minutes=10)
 
 
 @dataclass
@@ -31,43 +30,53 @@ class ImportOutcome:
 
 def import_logs(spark: SparkSession, store: MessageStore, root: str, project: str | None = None,
                 mode: str = "upsert", skip_errors: bool = True, now: dt.datetime | None = None,
-                modified_after: dt.datetime | None = None) -> ImportOutcome:
-    """Import every ``*.jsonl`` under ``root`` (optionally one project).
+                files: DataFrame | None = None) -> ImportOutcome:
+    """Import every ``*.jsonl`` under ``root`` (optionally one project, or only the listed ``files``).
 
     ``skip_errors=False`` is the all-or-nothing load: the job fails on the
-    first bad line before anything is written.
+    first bad line before anything is written. The files are listed before they
+    are read and enter the store's manifest after the rows are stored, so a
+    file that grows meanwhile, or a failed load, is read again by the next sync.
+    The returned counts are those of the rows written, which the store has checked.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     now = now or utc_now()
-    lines = read_lines(spark, root, project=project, modified_after=modified_after)
+    if files is None:
+        files = store._stable(list_files(spark, root, project))
+    lines = read_lines(spark, root, project=project, files=files)
     parsed = validate.parse_lines(lines)
     if not skip_errors:
         parsed = validate.fail_fast(parsed)
-    parsed = parsed.withColumn("raw", F.when(F.col("error").isNotNull(), F.col("raw")))
-    parsed = store._stable(parsed)
-    stats = store.import_stats(parsed)
+    parsed = store._stable(parsed if mode == "force" else parsed.withColumn("raw", F.when(F.col("error").isNotNull(), F.col("raw"))))
     bad = line_ops.with_line_numbers(validate.quarantine(parsed), lines)
+    counts = parsed.agg(F.count_if(F.col("error").isNull()).alias("valid"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
     valid = validate.valid_records(parsed)
+    errors = counts["errors"]
     if mode == "upsert":
-        store.upsert(valid, now)
+        done = store.upsert(valid, now)
+        stats = ImportResult(done.inserted, counts["valid"] - done.inserted, 0, errors)
     elif mode == "insert_only":
-        store.insert_only(valid, now)
-        stats = ImportResult(stats.inserted, 0, stats.updated, stats.errors)
+        done = store.insert_only(valid, now)
+        stats = ImportResult(done.inserted, 0, counts["valid"] - done.inserted, errors)
     elif mode == "overwrite":
-        store.overwrite(valid, now)
+        done = store.overwrite(valid, now)
+        stats = ImportResult(done.inserted, counts["valid"] - done.inserted, 0, errors)
     else:
-        rejected = store.force_insert(valid, now)
-        dup = rejected.count()
-        stats = ImportResult(stats.inserted, 0, 0, stats.errors + dup)
-        bad = bad.unionByName(rejected.select("file_path", F.lit(None).cast("long").alias("line_no"), "error",
-                                              F.lit(None).cast("string").alias("raw")), allowMissingColumns=True)
+        inserted, rejected = store.force_insert(valid, now)
+        stats = ImportResult(inserted, 0, 0, errors + counts["valid"] - inserted)
+        bad = bad.select("file_path", "line_no", "error", "raw").unionByName(
+            line_ops.with_line_numbers(rejected, lines).select("file_path", "line_no", "error", "raw"))
     store.write_quarantine(bad, now)
+    store.record_files(files)
     return ImportOutcome(stats, reports.import_report(parsed), bad.select("file_path", "line_no", "error", "raw"))
 
 
 def sync(spark: SparkSession, store: MessageStore, root: str, now: dt.datetime | None = None) -> ImportOutcome:
-    """Add only new messages: files changed since the last load, minus stored uuids."""
-    last = store.read().agg(F.max("updated_at")).first()[0]
-    since = (last - SYNC_SLACK) if last is not None else None
-    return import_logs(spark, store, root, mode="insert_only", now=now, modified_after=since)
+    """Add only new messages: files that are new or changed since they were loaded, minus stored uuids.
+
+    A file counts as changed when its modification time or length differs from
+    the manifest, in either direction; nothing is inferred from the table's own times.
+    """
+    files = store._stable(changed_files(list_files(spark, root), store.loaded_files()))
+    return import_logs(spark, store, root, mode="insert_only", now=now, files=files)

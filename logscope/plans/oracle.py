@@ -1,7 +1,7 @@
 """SQL oracles (DuckDB dialect) for the registered queries.
 
-Written from the semantics, independently of the Spark code: the adapter
-view, the derived JSON Lines batches and BM25 are restated in SQL here.
+Written from the semantics: the adapter view, the derived JSON Lines batches,
+the query terms and BM25 are restated in SQL here; only the query parameters are shared.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 SEP = r"[^\p{L}\p{N}]+"
 
 MESSAGES = """messages AS (
-  SELECT conv_id * 1000 + turn AS id,
+  SELECT conv_id * 2147483648 + turn AS id,
          CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS uuid,
          LAG(CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_uuid,
          CAST(conv_id AS VARCHAR) AS session_id,
@@ -34,11 +34,11 @@ def cj(text: str) -> str:
             f"ELSE CAST(to_json([{{'text': {text}, 'type': 'text'}}]) AS VARCHAR) END")
 
 
-# Lines of the edited re-read: every turn (pos = turn) plus a later copy of turn 0 (pos = 1000).
+# Lines of the edited re-read: every turn (pos = turn) plus a later copy of turn 0 (after all turns).
 INCOMING = f"""lines_in AS (
   SELECT *, turn AS pos, message_content || ' (edited)' AS new_text FROM messages
   UNION ALL
-  SELECT *, 1000 + turn AS pos, message_content || ' (later)' AS new_text FROM messages WHERE turn = 0),
+  SELECT *, 2147483648 + turn AS pos, message_content || ' (later)' AS new_text FROM messages WHERE turn = 0),
 valid_in AS (SELECT * FROM lines_in WHERE message_role <> 'system'),
 batch AS (SELECT * FROM valid_in QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path DESC, pos DESC) = 1),
 existing AS (
@@ -93,9 +93,13 @@ scores AS (
   GROUP BY p.id)"""
 
 
+# Terms of the registered keywords, stated by hand: each is one lower-case word.
+TERMS = {"the", "that", "und", "les", "and", "ein", "la", "le"}
+
+
 def _terms(keywords):
-    from logscope.operators.bm25 import query_terms
-    return query_terms(keywords)
+    assert set(keywords) <= TERMS
+    return list(keywords)
 
 
 def _ranked(keywords, mode, limit=None) -> str:
@@ -165,18 +169,13 @@ SELECT e.id,
 FROM existing e LEFT JOIN batch b ON e.uuid = b.uuid
 UNION ALL
 {_new_rows('uuid NOT IN (SELECT uuid FROM existing)', base)}""")
-    sync_sql = (_with(MESSAGES, INCOMING.replace(
-        "valid_in AS (SELECT * FROM lines_in WHERE message_role <> 'system')",
-        f"valid_in AS (SELECT * FROM lines_in WHERE message_role <> 'system' "
-        f"AND session_end > (SELECT max(timestamp) FROM messages WHERE turn < 3) - INTERVAL {R.SYNC_LOOKBACK_HOURS} HOUR)"))
-        + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base))
     fav_cols = "id, uuid, project_path"
     return {
         "search_combined": search_combined,
         "kw_and": _search(_kw_pred(R.KW_AND)),
         "kw_or": _search(_kw_pred(R.KW_OR, "or")),
         "kw_single": _search(_kw_pred(R.KW_SINGLE)),
-        "kw_empty": _search("false"),
+        "kw_empty": _with(MESSAGES) + "SELECT project_path, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_results FROM messages GROUP BY project_path",
         "filter_date_range": _search(_kw_pred(["the"]) + f" AND timestamp >= TIMESTAMP '{R.DATE_FROM} 00:00:00'"
                                      f" AND timestamp < TIMESTAMP '{R.DATE_TO} 00:00:00' + INTERVAL 1 DAY"),
         "filter_project": _search(_kw_pred(["the"]) + f" AND project_path = '{R.PROJECT}'"),
@@ -249,5 +248,20 @@ UNION ALL
             f"SELECT {fav_cols}, is_favorite OR (parent_uuid IS NULL AND message_role = 'user') AS is_favorite FROM messages"),
         "favorite_unmark": _with(MESSAGES) + (
             f"SELECT {fav_cols}, CASE WHEN message_role = 'assistant' THEN false ELSE is_favorite END AS is_favorite FROM messages"),
-        "sync_new_only": sync_sql,
+        "sync_new_only": _with(MESSAGES, INCOMING) + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base),
+        "import_force_inserted": _with(MESSAGES, INCOMING, "firsts AS (SELECT * FROM valid_in QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path, pos) = 1)")
+            + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base).replace("FROM batch", "FROM firsts"),
+        "bm25_persisted_index": _ranked(R.BM25_OR, "or"),
+        "bm25_documents": (
+            _with("messages AS (SELECT doc_id AS id, text AS message_content, source AS project_path FROM documents)", bm25_ctes(_terms(R.DOC_TERMS)))
+            + "SELECT m.id, m.project_path, round(s.score, 6) AS rank FROM messages m JOIN scores s ON m.id = s.id "
+              f"WHERE m.project_path IN ({_lit_list(R.DOC_SOURCE)}) ORDER BY rank DESC, id ASC LIMIT 50"),
+        "filter_projects_table": (
+            "SELECT doc_id AS id, source AS project_path FROM documents WHERE (contains(lower(text), 'password') OR contains(lower(text), 'token')) "
+            "AND source IN (SELECT d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)"),
+        "events_date_range": (
+            'SELECT event_type, count(*) AS n, min(ts) AS "first", max(ts) AS "last" FROM events '
+            f"WHERE ts >= TIMESTAMP '{R.EVENT_FROM} 00:00:00' AND ts < TIMESTAMP '{R.EVENT_TO} 00:00:00' + INTERVAL 1 DAY GROUP BY event_type"),
+        "regex_filtered": (_search(f"regexp_matches(message_content, '{R.REGEX}') AND project_path IN ({_lit_list(R.REGEX_QUERY.project_filters)}) "
+                                   f"AND timestamp >= TIMESTAMP '{R.REGEX_QUERY.date_from} 00:00:00'") + f" ORDER BY rank DESC, id LIMIT {R.REGEX_QUERY.limit}"),
     }

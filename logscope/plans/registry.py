@@ -1,6 +1,6 @@
 """Registered queries over the provided test tables, with their SQL oracles.
 
-Every query reads the whole ``conversations`` table through the adapter in
+Every query reads whole tables - mostly ``conversations``, through the adapter in
 ``sources/testdata.py``; write queries plan the rows a store write would
 produce (the store itself is exercised by the unit tests). Each oracle is
 plain SQL over the same tables; column names match one to one.
@@ -17,6 +17,7 @@ from logscope.functions.dates import resolve_date
 from logscope.functions.text import split_keywords
 from logscope.operators import bm25, favorites, lines as line_ops, reports, search as S, upsert, validate
 from logscope.schema import RECORD_COLUMNS
+from logscope.session import ensure_checkpoint_dir
 from logscope.sources import testdata as td
 
 # The query parameters of the registered queries.
@@ -31,7 +32,7 @@ PRECEDENCE_SINGLE = "proj-2"
 PRECEDENCE_LIST = ["proj-5"]
 REGEX = "[Tt]he [a-z]+ing"
 COMBINED = dict(keywords=KW_AND, project_filters=["proj-1", "proj-2", "proj-3"],
-                date_from="2024-01-02", date_to="2024-01-25", limit=20)
+                date_from="2024-01-01", date_to="2024-01-25", limit=20)
 BM25_SINGLE = ["und"]
 BM25_AND = ["the", "and"]
 BM25_OR = ["ein", "les", "the"]
@@ -39,8 +40,10 @@ RANK_TERMS = ["la", "le"]
 TOPK_TERMS = ["the", "and"]
 TOPK = 20
 ANCHOR = "2024-01-30 23:57:00"
-# Sync re-reads files modified within this many hours before the newest stored message.
-SYNC_LOOKBACK_HOURS = 48
+DOC_SOURCE = ["src0", "src3"]
+DOC_TERMS = ["the", "und"]
+EVENT_FROM, EVENT_TO = "2024-01-05", "2024-01-12"
+REGEX_QUERY = S.SearchQuery(project_filters=["proj-1", "proj-3"], date_from="2024-01-02", limit=15)
 PHRASES = [
     "today", "TODAY", "ToDay", "yesterday", "last week", "last month", "7 days ago", "2 weeks ago",
     "1 day ago", "1 days ago", "10 day ago", "  7   days   ago  ",
@@ -79,6 +82,14 @@ def _batch(spark, sf):
     return upsert.dedup_last(validate.valid_records(_incoming(spark, sf)))
 
 
+def _documents(spark, sf):
+    """``documents`` in the columns that the search operators read; the source is the project."""
+    return td.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("uuid"), F.col("lang").alias("session_id"),
+        F.col("text").alias("message_content"), F.lit("user").alias("message_role"), F.col("source").alias("project_path"),
+        F.lit(td.BASE_TIME).cast("timestamp_ntz").alias("timestamp"), F.lit(False).alias("is_favorite"))
+
+
 def q_filter_precedence(spark, sf):
     q = S.SearchQuery(keywords=["the"], project_filter=PRECEDENCE_SINGLE, project_filters=PRECEDENCE_LIST, limit=None)
     return S.search(_msgs(spark, sf), q)
@@ -90,25 +101,63 @@ def q_filter_empty_list(spark, sf):
 
 
 def q_search_combined(spark, sf):
-    m = _msgs(spark, sf)
-    return S.search(m, S.SearchQuery(**COMBINED), index=bm25.build_index(m))
+    return S.search(_msgs(spark, sf), S.SearchQuery(**COMBINED), ranked=True)
 
 
 def _ranked(terms, mode, limit=None):
-    def run(spark, sf):
-        m = _msgs(spark, sf)
-        return S.ranked_search(m, bm25.build_index(m), S.SearchQuery(keywords=terms, mode=mode, limit=limit))
-    return run
+    return lambda spark, sf: S.ranked_search(_msgs(spark, sf), None, S.SearchQuery(keywords=terms, mode=mode, limit=limit))
 
 
 def q_rank_desc(spark, sf):
-    ranked = _ranked(RANK_TERMS, "or")(spark, sf).withColumn("_neg_rank", -F.col("rank"))
-    return upsert.number_rows(ranked, ["_neg_rank", "id"], 0, name="position").drop("_neg_rank")
+    ranked = upsert.materialised(_ranked(RANK_TERMS, "or")(spark, sf).withColumn("_neg_rank", -F.col("rank")))
+    # A rank rounded to six decimals has at most 1,000 values for each thousandth; ids come in ranges.
+    return upsert.number_rows(ranked, ["_neg_rank", "id"], [F.floor(F.col("_neg_rank") * 1000)],
+                              [F.col("_neg_rank"), F.floor(F.col("id") / F.lit(1 << 20))], name="position").drop("_neg_rank")
 
 
 def q_result_preview(spark, sf):
+    return S.result_preview(S.search(_msgs(spark, sf), S.SearchQuery(keywords=KW_OR, mode="or", limit=None), ranked=True))
+
+
+def _persisted(spark, rows):
+    """An index of ``rows`` written to the shared folder and read again."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    bm25.write_index(rows, path)
+    return bm25.TextIndex.load(spark, path)
+
+
+def q_bm25_persisted_index(spark, sf):
+    """The same search as ``bm25_or``, through the index: only the postings of the terms are read."""
     m = _msgs(spark, sf)
-    return S.result_preview(S.search(m, S.SearchQuery(keywords=KW_OR, mode="or", limit=None), index=bm25.build_index(m)))
+    return S.ranked_search(m, _persisted(spark, m), S.SearchQuery(keywords=BM25_OR, mode="or", limit=None))
+
+
+def q_bm25_documents(spark, sf):
+    """Ranked search in the larger text table, with a project filter and a limit."""
+    docs = _documents(spark, sf)
+    q = S.SearchQuery(keywords=DOC_TERMS, mode="or", project_filters=DOC_SOURCE, limit=50)
+    return S.ranked_search(docs, None, q).select("id", "project_path", "rank")
+
+
+def q_filter_projects_table(spark, sf):
+    """A project list that is a table (semi join): the sources that hold a labelled toxic document."""
+    docs = _documents(spark, sf)
+    wanted = (td.table(spark, sf, "labels").where("toxic = 1").join(docs.select(F.col("id").alias("doc_id"), "project_path"), "doc_id")
+              .select("project_path").distinct())
+    q = S.SearchQuery(keywords=["password", "token"], mode="or", project_filters=wanted, limit=None)
+    return S.search(docs, q).select("id", "project_path")
+
+
+def q_events_date_range(spark, sf):
+    """Date filter (both ends inclusive) over real timestamps: events per type and their time range."""
+    events = td.table(spark, sf, "events").withColumnRenamed("ts", "timestamp")
+    found = S.apply_filters(events, S.SearchQuery(date_from=EVENT_FROM, date_to=EVENT_TO))
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def q_regex_filtered(spark, sf):
+    return S.regex_search(_msgs(spark, sf), REGEX, REGEX_QUERY)
 
 
 def q_result_count(spark, sf):
@@ -185,18 +234,24 @@ def q_import_stats(spark, sf):
 
 
 def q_import_force_errors(spark, sf):
-    valid = validate.valid_records(_incoming(spark, sf))
+    valid = validate.valid_records(_incoming(spark, sf)).drop("raw")
     _, rejected = upsert.plan_force(td.existing_table(spark, sf), valid, _now())
     return rejected.select("file_path", "pos", "uuid", "error")
 
 
+def q_import_force_inserted(spark, sf):
+    valid = validate.valid_records(_incoming(spark, sf)).drop("raw")
+    inserted, _ = upsert.plan_force(td.existing_table(spark, sf), valid, _now())
+    return inserted
+
+
 def q_import_report(spark, sf):
     return reports.import_report(_incoming(spark, sf))
 
 
 def q_assign_ids(spark, sf):
-    valid = validate.valid_records(_incoming(spark, sf)).select("file_path", "pos", "uuid")
-    return upsert.number_rows(valid, ["file_path", "pos"], 0)
+    valid = upsert.materialised(validate.valid_records(_incoming(spark, sf)).select("file_path", "block_start", "pos", "uuid"))
+    return upsert.number_batch(valid).select("file_path", "pos", "uuid", "id")
 
 
 def q_last_update_by_project(spark, sf):
@@ -221,11 +276,10 @@ def q_favorite_unmark(spark, sf):
 
 
 def q_sync_new_only(spark, sf):
+    """Sync against the manifest of the earlier load, when each session had its first turns."""
     from logscope.plans.sync import plan_sync
-    existing = td.existing_table(spark, sf)
-    since = existing.select(F.max("timestamp")).scalar() - F.make_dt_interval(F.lit(0), F.lit(SYNC_LOOKBACK_HOURS))
-    lines = td.incoming_lines(spark, sf).where(F.col("file_mtime") > since)
-    return plan_sync(existing, lines, _now())
+    return plan_sync(td.existing_table(spark, sf), td.incoming_lines(spark, sf), td.listing(spark, sf),
+                     td.listing(spark, sf, td.EXISTING_TURNS), _now())
 
 
 def q_list_favorites(spark, sf):
@@ -237,7 +291,11 @@ def q_regex_search(spark, sf):
 
 
 def q_kw_empty(spark, sf):
-    return S.search(_msgs(spark, sf), S.SearchQuery(keywords=[], limit=None))
+    """An empty keyword list finds nothing, in any project: messages and results per project."""
+    m = _msgs(spark, sf)
+    found = S.search(m, S.SearchQuery(keywords=[], limit=None)).groupBy("project_path").agg(F.count(F.lit(1)).alias("n_results"))
+    return (m.groupBy("project_path").agg(F.count(F.lit(1)).alias("n_messages")).join(found, "project_path", "left")
+            .select("project_path", "n_messages", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results")))
 
 
 QUERIES: dict[str, Query] = {
@@ -257,6 +315,11 @@ QUERIES: dict[str, Query] = {
     "bm25_single": _ranked(BM25_SINGLE, "and"),
     "bm25_and": _ranked(BM25_AND, "and"),
     "bm25_or": _ranked(BM25_OR, "or"),
+    "bm25_persisted_index": q_bm25_persisted_index,
+    "bm25_documents": q_bm25_documents,
+    "filter_projects_table": q_filter_projects_table,
+    "events_date_range": q_events_date_range,
+    "regex_filtered": q_regex_filtered,
     "rank_desc": q_rank_desc,
     "search_topk": _ranked(TOPK_TERMS, "or", TOPK),
     "result_preview": q_result_preview,
@@ -276,6 +339,7 @@ QUERIES: dict[str, Query] = {
     "import_upsert": q_import_upsert,
     "import_stats": q_import_stats,
     "import_force_errors": q_import_force_errors,
+    "import_force_inserted": q_import_force_inserted,
     "import_report": q_import_report,
     "assign_ids": q_assign_ids,
     "last_update_by_project": q_last_update_by_project,

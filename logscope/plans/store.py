@@ -1,28 +1,28 @@
 """The message table on plain Parquet, and the jobs that change it.
 
-Layout: ``<root>/load_date=YYYY-MM-DD/part-*.parquet``. A row's partition is
-the UTC date it was first stored and never changes, so:
-
-* an incremental sync only appends to today's partition;
-* an upsert rewrites only the partitions that hold one of the batch's uuids
-  (found with a semi join on the uuid and partition columns alone) plus
-  today's, through dynamic partition overwrite; the others keep their files;
-* a favourite change rewrites only the partitions holding the changed ids.
-
-Inside a partition rows are range-partitioned and sorted by
-(``project_path``, ``timestamp``), so project and date filters skip row
-groups by their statistics. There is no transactional table format: one
-writer at a time, and every job is safe to repeat (keys are uuids).
-
-Each rewrite is computed from a reliable checkpoint (``checkpoint()`` into
-``spark.checkpoint.dir``), so the write no longer reads the partitions it
-replaces and a lost executor recomputes from the checkpoint, not from a
-half-written table.
+Layout, below one root folder:
+
+* ``messages/bkt=N/`` - the rows, by a hash of the uuid into a number of
+  buckets fixed when the store is made. An edited message touches its bucket
+  and no other; new messages are appended to their buckets. Inside a bucket
+  rows are sorted by (``project_path``, ``timestamp``), so project and date
+  filters skip row groups by their statistics;
+* ``favorites/`` - changes of favourite flags (uuid, flag, sequence), appended
+  and joined at read: the newest change of a uuid counts. No message is rewritten;
+* ``log/`` - a row per write: buckets, the largest id handed out, rows written. Ids are
+  reserved here before rows are written, so a failed write leaves a gap, never a repeated id;
+* ``files/`` - the manifest of loaded files (path, modification time, length).
+
+There is no transactional table format: one writer at a time, and every job is
+safe to repeat (keys are uuids). Each write is staged once in a reliable
+checkpoint (``spark.checkpoint.dir``), its rows and ids are compared with the
+plan, and only then it replaces or joins the stored files.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -34,11 +34,19 @@ from logscope.operators import favorites as fav_ops
 from logscope.operators import upsert as U
 from logscope.operators import validate
 from logscope.schema import MESSAGE_SCHEMA, TABLE_COLUMNS
-from logscope.session import ensure_checkpoint_dir
 
-PARTITION = "load_date"
+PARTITION = "bkt"
+BUCKETS = 64
 LAYOUT = [PARTITION, "project_path", "timestamp"]
-STORED_SCHEMA = T.StructType(list(MESSAGE_SCHEMA.fields) + [T.StructField(PARTITION, T.DateType())])
+STORED_SCHEMA = T.StructType(list(MESSAGE_SCHEMA.fields) + [T.StructField(PARTITION, T.IntegerType())])
+LOG_SCHEMA = "seq long, kind string, buckets int, max_id long, rows long"
+FAVORITE_SCHEMA = "uuid string, fav boolean, seq long"
+FILE_SCHEMA = "file_path string, file_mtime timestamp, length long, seq long"
+QUARANTINE_SCHEMA = "file_path string, line_no long, error string, raw string, load_date date"
+
+
+class WriteMismatch(RuntimeError):
+    """Staged rows differ from the plan; nothing has been stored."""
 
 
 @dataclass
@@ -58,17 +66,19 @@ def utc_now() -> dt.datetime:
 
 
 class MessageStore:
-    def __init__(self, spark: SparkSession, root: str, quarantine_root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, quarantine_root: str | None = None, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.table_root = f"{self.root}/messages"
         self.quarantine_root = quarantine_root or self.root + "_quarantine"
+        self._buckets = buckets
 
     # -- schema --------------------------------------------------------------
     def create_table(self, name: str) -> None:
         """Register the table in the catalog (idempotent)."""
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_SCHEMA.fields)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
-                       f"PARTITIONED BY ({PARTITION}) LOCATION '{self.root}'")
+                       f"PARTITIONED BY ({PARTITION}) LOCATION '{self.table_root}'")
         self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
     def drop_table(self, name: str) -> None:
@@ -76,106 +86,181 @@ class MessageStore:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     # -- reads ---------------------------------------------------------------
-    def read(self) -> DataFrame:
-        """All stored rows (with ``load_date``); empty with the schema if nothing is stored."""
+    def _read(self, folder: str, schema) -> DataFrame:
         try:
-            return self.spark.read.schema(STORED_SCHEMA).option("basePath", self.root).parquet(self.root)
+            return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-                return self.spark.createDataFrame([], STORED_SCHEMA)
+                return self.spark.createDataFrame([], schema)
             raise
 
+    def read(self) -> DataFrame:
+        """All stored rows as written (with the bucket, without favourite changes)."""
+        return self._read(self.table_root, STORED_SCHEMA)
+
+    def favorites(self) -> DataFrame:
+        """(uuid, fav): the newest change of each uuid."""
+        return (self._read(f"{self.root}/favorites", FAVORITE_SCHEMA).groupBy("uuid")
+                .agg(F.max_by("fav", F.struct("seq", "fav")).alias("fav")))
+
     def messages(self) -> DataFrame:
-        return self.read().select(*TABLE_COLUMNS)
+        """The messages with their current favourite flags."""
+        changes = self.favorites().select(F.col("uuid").alias("_fu"), F.col("fav").alias("_fav"))
+        rows = self.read().join(changes, F.col("uuid") == F.col("_fu"), "left")
+        return rows.select(*[F.coalesce(F.col("_fav"), F.col(c)).alias(c) if c == "is_favorite" else c for c in TABLE_COLUMNS])
 
     def quarantine(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.quarantine_root)
-        except AnalysisException:
-            return self.spark.createDataFrame([], "file_path string, line_no long, error string, raw string, load_date date")
+        return self._read(self.quarantine_root, QUARANTINE_SCHEMA)
+
+    def loaded_files(self) -> DataFrame:
+        """(file_path, file_mtime, length) of the newest load of each file."""
+        return (self._read(f"{self.root}/files", FILE_SCHEMA).groupBy("file_path")
+                .agg(F.max_by(F.struct("file_mtime", "length"), "seq").alias("_f")).select("file_path", "_f.*"))
+
+    def _log(self) -> DataFrame:
+        return self._read(f"{self.root}/log", LOG_SCHEMA)
+
+    def buckets(self) -> int:
+        """The bucket count that the stored rows were laid out with."""
+        return self._log().agg(F.max("buckets")).first()[0] or self._buckets
+
+    def max_id(self) -> int:
+        """The largest id handed out since the last overwrite (one row per write is read, not the table)."""
+        return self._log().agg(F.max_by("max_id", "seq")).first()[0] or 0
 
     # -- writes --------------------------------------------------------------
     def _stable(self, df: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return U.materialised(df)
+
+    def _append(self, folder: str, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{folder}")
 
-    def _write(self, rows: DataFrame, mode: str, dynamic: bool) -> None:
-        (rows.select(*TABLE_COLUMNS, PARTITION)
+    def _reserve(self, kind: str, max_id: int, rows: int, buckets: int) -> None:
+        self._append("log", self.spark.createDataFrame([(time.time_ns(), kind, buckets, max_id, rows)], LOG_SCHEMA))
+
+    def _bucketed(self, rows: DataFrame, buckets: int) -> DataFrame:
+        return rows.withColumn(PARTITION, F.pmod(F.xxhash64("uuid"), F.lit(buckets)).cast("int"))
+
+    def _write(self, staged: DataFrame, mode: str, dynamic: bool) -> None:
+        (staged.select(*TABLE_COLUMNS, PARTITION)
          .repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
          .write.mode(mode)
          .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-         .partitionBy(PARTITION).parquet(self.root))
-
-    def _touched(self, keys: DataFrame, key: str) -> list:
-        """Partitions holding any of ``keys`` (one small row per partition reaches the driver)."""
-        hit = self.read().select(key, PARTITION).join(keys.select(key), key, "left_semi")
-        return [r[0] for r in hit.select(PARTITION).distinct().collect()]
+         .partitionBy(PARTITION).parquet(self.table_root))
+
+    def _checked(self, rows: DataFrame, expected: int, new_ids: tuple[int, int]) -> DataFrame:
+        """Stage ``rows`` and compare them with the plan: how many, ids without repeats, new ids without gaps."""
+        staged = self._stable(rows)
+        low, high = new_ids
+        fresh = F.col("id").between(low + 1, high)
+        got = staged.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(fresh).alias("fresh")).first()
+        if (got["n"], got["ids"], got["fresh"]) != (expected, expected, high - low):
+            raise WriteMismatch(f"planned {expected} rows and {high - low} new ids, staged {got['n']} rows, "
+                                f"{got['ids']} ids, {got['fresh']} new ids; nothing was written")
+        return staged
+
+    def _marked(self, batch: DataFrame, buckets: int) -> DataFrame:
+        columns = [*U.RECORD_COLUMNS, *U.ORDER_COLUMNS]
+        return self._stable(self._bucketed(U.marked(U.dedup_last(batch).select(*columns), self.read()), buckets))
 
     def write_quarantine(self, bad: DataFrame, now: dt.datetime) -> None:
-        (bad.select("file_path", "line_no", "error", "raw").withColumn(PARTITION, F.lit(now.date()))
-         .write.mode("append").partitionBy(PARTITION).parquet(self.quarantine_root))
-
-    def upsert(self, batch: DataFrame, now: dt.datetime | None = None) -> None:
-        """Insert new uuids, update stored ones (``batch`` = valid records, any duplicates)."""
-        now = now or utc_now()
-        batch = self._stable(U.dedup_last(batch))
-        table = self.read()
-        touched = set(self._touched(batch, "uuid")) | {now.date()}
-        current = table.where(F.col(PARTITION).isin(sorted(touched)))
-        rows = U.plan_upsert(current, batch, F.lit(now).cast("timestamp_ntz"), U.max_id(table))
-        rows = rows.withColumn(PARTITION, F.coalesce(F.col(PARTITION), F.lit(now.date())))
-        self._write(self._stable(rows), "overwrite", dynamic=True)
-
-    def insert_only(self, batch: DataFrame, now: dt.datetime | None = None) -> None:
+        """Append rejected lines, each once: a repeated import or stream batch adds nothing."""
+        bad = bad.select("file_path", "line_no", "error", "raw").dropDuplicates(["file_path", "line_no", "error"])
+        known = self.quarantine().select(*[F.col(c).alias(f"_{c}") for c in ("file_path", "line_no", "error")])
+        same = (F.col("file_path") == F.col("_file_path")) & F.col("line_no").eqNullSafe(F.col("_line_no")) & (F.col("error") == F.col("_error"))
+        new = self._stable(bad.join(known, same, "left_anti"))
+        if not new.isEmpty():
+            new.withColumn("load_date", F.lit(now.date())).write.mode("append").partitionBy("load_date").parquet(self.quarantine_root)
+
+    def upsert(self, batch: DataFrame, now: dt.datetime | None = None) -> ImportResult:
+        """Insert new uuids, update stored ones (``batch`` = valid records, any duplicates).
+
+        Buckets with a stored uuid of the batch are rewritten; new uuids of all other buckets are appended.
+        """
+        now, buckets = now or utc_now(), self.buckets()
+        batch = self._marked(batch, buckets)
+        counts = {r[PARTITION]: (r["hits"], r["fresh"]) for r in batch.groupBy(PARTITION).agg(
+            F.count_if("is_stored").alias("hits"), F.count_if(~F.col("is_stored")).alias("fresh")).collect()}  # a row per bucket
+        touched = sorted(b for b, (hits, _) in counts.items() if hits)
+        inserted, updated = sum(f for _, f in counts.values()), sum(h for h, _ in counts.values())
+        base = self.max_id()
+        current = self.read().where(F.col(PARTITION).isin(touched))
+        stored = current.count() if touched else 0
+        rows = U.plan_upsert(current.select(*TABLE_COLUMNS), batch, F.lit(now).cast("timestamp_ntz"), base)
+        staged = self._checked(self._bucketed(rows, buckets), stored + inserted, (base, base + inserted))
+        self._reserve("upsert", base + inserted, stored + inserted, buckets)
+        if touched:
+            self._write(staged.where(F.col(PARTITION).isin(touched)), "overwrite", dynamic=True)
+        if any(f for b, (_, f) in counts.items() if b not in touched):
+            self._write(staged.where(~F.col(PARTITION).isin(touched)), "append", dynamic=False)
+        return ImportResult(inserted, updated, 0, 0)
+
+    def _append_new(self, rows: DataFrame, kind: str, inserted: int, base: int, buckets: int) -> None:
+        staged = self._checked(self._bucketed(rows, buckets), inserted, (base, base + inserted))
+        self._reserve(kind, base + inserted, inserted, buckets)
+        if inserted:
+            self._write(staged, "append", dynamic=False)
+
+    def insert_only(self, batch: DataFrame, now: dt.datetime | None = None) -> ImportResult:
         """Append only uuids not stored yet (sync); nothing is rewritten."""
-        now = now or utc_now()
-        table = self.read()
-        rows = U.plan_insert_only(table, U.dedup_last(batch), F.lit(now).cast("timestamp_ntz"), U.max_id(table))
-        self._write(self._stable(rows.withColumn(PARTITION, F.lit(now.date()))), "append", dynamic=False)
-
-    def force_insert(self, valid: DataFrame, now: dt.datetime | None = None) -> DataFrame:
-        """Plain inserts; returns the rejected rows (duplicate uuids) for the error report."""
-        now = now or utc_now()
-        table = self.read()
-        rows, rejected = U.plan_force(table, valid, F.lit(now).cast("timestamp_ntz"), U.max_id(table))
-        rejected = self._stable(rejected)
-        self._write(self._stable(rows.withColumn(PARTITION, F.lit(now.date()))), "append", dynamic=False)
-        return rejected
-
-    def overwrite(self, batch: DataFrame, now: dt.datetime | None = None) -> None:
-        """Replace the whole table with the deduplicated batch, ids from 1."""
-        now = now or utc_now()
-        rows = U.plan_overwrite(U.dedup_last(batch), F.lit(now).cast("timestamp_ntz"))
-        self._write(self._stable(rows.withColumn(PARTITION, F.lit(now.date()))), "overwrite", dynamic=False)
+        now, buckets, base = now or utc_now(), self.buckets(), self.max_id()
+        batch = self._marked(batch, buckets)
+        got = batch.agg(F.count_if(~F.col("is_stored")).alias("fresh"), F.count_if("is_stored").alias("hits")).first()
+        self._append_new(U.plan_new(batch, F.lit(now).cast("timestamp_ntz"), base), "insert", got["fresh"], base, buckets)
+        return ImportResult(got["fresh"], 0, got["hits"], 0)
+
+    def force_insert(self, valid: DataFrame, now: dt.datetime | None = None) -> tuple[int, DataFrame]:
+        """Plain inserts; returns the number inserted and the rejected rows (duplicate uuids) for the error report."""
+        now, buckets, base = now or utc_now(), self.buckets(), self.max_id()
+        rows = self._stable(U.force_marked(self.read(), valid))
+        inserted = rows.where("is_new").count()
+        fresh = rows.withColumn("is_stored", ~F.col("is_new"))
+        self._append_new(U.plan_new(fresh, F.lit(now).cast("timestamp_ntz"), base), "force", inserted, base, buckets)
+        rejected = rows.where(~F.col("is_new")).select(*U.ORDER_COLUMNS, "uuid", F.lit("duplicate uuid").alias("error"),
+                                                       *[c for c in ("raw",) if c in rows.columns])
+        return inserted, rejected
+
+    def overwrite(self, batch: DataFrame, now: dt.datetime | None = None) -> ImportResult:
+        """Replace the whole table with the deduplicated batch, ids from 1, no favourites."""
+        now, buckets = now or utc_now(), self.buckets()
+        batch = self._stable(U.dedup_last(batch).select(*U.RECORD_COLUMNS, *U.ORDER_COLUMNS).withColumn("is_stored", F.lit(False)))
+        n = batch.count()
+        rows = U.plan_new(batch, F.lit(now).cast("timestamp_ntz"), 0)
+        staged = self._checked(self._bucketed(rows, buckets), n, (0, n))
+        self.spark.createDataFrame([], FAVORITE_SCHEMA).write.mode("overwrite").parquet(f"{self.root}/favorites")
+        self._write(staged, "overwrite", dynamic=False)
+        self._reserve("overwrite", n, n, buckets)
+        return ImportResult(n, 0, 0, 0)
+
+    def record_files(self, files: DataFrame) -> None:
+        """Add loaded files (file_path, file_mtime, length) to the manifest."""
+        rows = files.select("file_path", "file_mtime", "length", F.lit(time.time_ns()).alias("seq"))
+        rows.write.mode("append").parquet(f"{self.root}/files")
 
     def set_favorites(self, changes: DataFrame) -> None:
-        """Apply ``changes(id, fav)``; only partitions holding those ids are rewritten."""
-        changes = self._stable(changes)
-        touched = self._touched(changes, "id")
-        if not touched:
-            return
-        current = self.read().where(F.col(PARTITION).isin(sorted(touched)))
-        self._write(self._stable(fav_ops.apply_favorites(current, changes)), "overwrite", dynamic=True)
+        """Apply ``changes(id, fav)``: one appended row per known id; unknown ids change nothing."""
+        one = changes.groupBy("id").agg(F.max("fav").alias("fav"))
+        known = self.read().select("id", "uuid").join(one, "id").select("uuid", "fav", F.lit(time.time_ns()).alias("seq"))
+        known.write.mode("append").parquet(f"{self.root}/favorites")
 
     def mark_favorite(self, ids, flag: bool = True) -> None:
         self.set_favorites(fav_ops.change_set(self.spark, ids, flag))
 
+    # -- text index ----------------------------------------------------------
+    def _documents(self) -> DataFrame:
+        """Texts to index; a message is indexed again when its uuid or load time changes."""
+        version = F.concat_ws("@", F.col("uuid"), F.col("updated_at").cast("string"))
+        return self.read().select("id", version.alias("version"), validate.content_text(F.col("message_content")).alias("message_content"))
+
     def build_index(self, path: str) -> None:
         """Build and persist the full-text index over the stored messages' text."""
         from logscope.operators import bm25
-        docs = self.messages().withColumn("message_content", validate.content_text(F.col("message_content")))
-        bm25.build_index(docs).write(path)
+        bm25.write_index(self._documents(), path)
 
-    def refresh_index(self, path: str, since: dt.datetime) -> None:
-        """Fold rows updated since ``since`` into a persisted index (anti join +
-        append). The new relations are checkpointed first, so overwriting the
-        folder they were derived from is safe."""
+    def refresh_index(self, path: str) -> None:
+        """Bring a persisted index up to the table: new, changed and removed messages."""
         from logscope.operators import bm25
-        changed = (self.messages().where(F.col("updated_at") >= F.lit(since).cast("timestamp_ntz"))
-                   .withColumn("message_content", validate.content_text(F.col("message_content"))))
-        old = bm25.TextIndex.load(self.spark, path)
-        new = bm25.update_index(old, changed)
-        bm25.TextIndex(*(self._stable(d) for d in (new.postings, new.doc_len, new.term_df, new.corpus))).write(path)
+        bm25.refresh_index(self.spark, self._documents(), path)
 
     def import_stats(self, parsed: DataFrame) -> ImportResult:
         """Counts for a batch against the current table (call before writing it)."""
@@ -189,4 +274,4 @@ def last_update_time(store: MessageStore, project: str) -> dt.datetime | None:
             .agg(F.max("timestamp")).first()[0])
 
 
-__all__ = ["MessageStore", "ImportResult", "PARTITION", "last_update_time", "validate"]
+__all__ = ["MessageStore", "ImportResult", "WriteMismatch", "PARTITION", "last_update_time", "validate"]

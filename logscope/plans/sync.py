@@ -1,9 +1,9 @@
 """Incremental sync: add only messages not stored yet.
 
-Files are selected by modification time (``modifiedAfter`` on the scan, set a
-little before the last sync so nothing written during it is missed); the uuid
-anti-join then drops every line already stored, so re-reading an appended
-file adds only its new lines. Nothing is rewritten: new rows are appended.
+Files are selected against a manifest of what was loaded: a file is read when
+it is new, or when its modification time or length differs from its last load.
+The uuid anti-join then drops every line already stored, so re-reading an
+appended file adds only its new lines. Nothing is rewritten: new rows are appended.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from logscope.operators import upsert, validate
 
 
-def plan_sync(table: DataFrame, lines: DataFrame, now: Column, id_base: Column | None = None) -> DataFrame:
-    """Rows to append for ``lines`` (already limited to recently modified files)."""
-    batch = upsert.dedup_last(validate.valid_records(validate.parse_lines(lines)))
-    return upsert.plan_insert_only(table, batch, now, id_base)
+def changed_files(listing: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Rows of ``listing`` (file_path, file_mtime, length) that the manifest lacks or holds differently."""
+    known = loaded.select(*[F.col(c).alias(f"_{c}") for c in ("file_path", "file_mtime", "length")])
+    same = (F.col("file_path") == F.col("_file_path")) & (F.col("file_mtime") == F.col("_file_mtime")) & (F.col("length") == F.col("_length"))
+    return listing.join(known, same, "left_anti")
 
 
-def last_sync_time(table: DataFrame) -> Column:
-    """Recorded sync point: the newest ``updated_at`` in the table (scalar subquery)."""
-    return table.select(F.max("updated_at")).scalar()
+def plan_sync(table: DataFrame, lines: DataFrame, listing: DataFrame, loaded: DataFrame, now: Column,
+              id_base: Column | None = None) -> DataFrame:
+    """Rows to append for the lines of new and changed files."""
+    fresh = lines.join(changed_files(listing, loaded).select("file_path"), "file_path", "left_semi")
+    batch = upsert.dedup_last(validate.valid_records(validate.parse_lines(fresh)))
+    return upsert.plan_insert_only(table, batch, now, id_base)

@@ -9,6 +9,7 @@ listing does not show names starting with ``_`` or ``.`` below the root.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from logscope.operators.validate import project_from_path
 
+GLOB = re.compile(r"[\\*?\[\]{}]")  # characters of a path that the reader would take for a pattern
 LINE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
@@ -26,29 +28,39 @@ def _decoded_path(c):
     return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
 
 
-def _scan(reader, root: str) -> DataFrame:
+def _scan(reader, root: str, how: str = "text") -> DataFrame:
     """Scan ``root/*`` so each first-level folder is its own input path: with
     many projects Spark lists the tree with a parallel job instead of walking
     it on the driver. An empty root matches nothing and falls back to the
     root itself (no rows); a missing root raises."""
+    reader = reader.format(how)
     try:
-        return reader.text(root.rstrip("/") + "/*")
+        return reader.load(root.rstrip("/") + "/*")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
-        return reader.text(root)
+        return reader.load(root)
 
 
-def read_lines(spark: SparkSession, root: str, project: str | None = None,
+def list_files(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+    """(file_path, file_mtime, length) of every ``*.jsonl`` file under ``root``; no file is opened."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    files = _scan(reader, root, "binaryFile").select(
+        _decoded_path(F.col("path")).alias("file_path"), F.col("modificationTime").alias("file_mtime"), "length")
+    return files if project is None else files.where(project_from_path(F.col("file_path")) == F.lit(project))
+
+
+def read_lines(spark: SparkSession, root: str, project: str | None = None, files: DataFrame | None = None,
                modified_after: dt.datetime | str | None = None) -> DataFrame:
     """Lines of every ``*.jsonl`` file under ``root``.
 
     Columns: ``file_path``, ``project_path``, ``file_mtime``, ``block_start``,
     ``pos``, ``value``. ``project`` keeps only files whose parent folder has
     that name; the test is on file metadata, so other files are pruned before
-    they are opened. Files directly under the root take the root's own name
-    as their project. ``modified_after`` skips files not changed since then
-    (incremental sync). A missing root raises; an empty tree gives no rows.
+    they are opened. ``files`` (a listing, see :func:`list_files`) keeps the lines of
+    those files only. Files directly under the root take the root's own name
+    as their project. ``modified_after`` (UTC) skips files not changed since then.
+    A missing root raises; an empty tree gives no rows.
     """
     reader = (spark.read.schema(LINE_SCHEMA)
               .option("recursiveFileLookup", "true")
@@ -56,9 +68,14 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None,
               .option("lineSep", "\n"))
     if modified_after is not None:
         when = modified_after if isinstance(modified_after, str) else modified_after.strftime("%Y-%m-%dT%H:%M:%S")
-        reader = reader.option("modifiedAfter", when)
-    df = _scan(reader, root)
+        reader = reader.option("modifiedAfter", when).option("timeZone", "UTC")
     path = _decoded_path(F.col("_metadata.file_path"))
+    if files is not None:
+        # One row per file reaches the driver, as in any listing; the scan opens these files alone.
+        wanted = [GLOB.sub(r"\\\g<0>", r[0]) for r in files.select("file_path").collect()]
+        df = reader.format("text").load(wanted) if wanted else _scan(reader, root).where(F.lit(False))
+    else:
+        df = _scan(reader, root)
     if project is not None:
         df = df.where(project_from_path(path) == F.lit(project))
     # Positions are taken right after the scan (and the file-pruning filter),

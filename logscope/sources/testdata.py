@@ -20,6 +20,7 @@ GIT_BRANCH = "main"
 VERSION = "1.0.0"
 PROJECT_PREFIX = "proj-"
 PROJECT_COUNT = 7
+TURNS = 1 << 31   # more than any session has
 # Root folder used for the file paths of the derived JSON Lines corpus.
 LOG_ROOT = "/logs"
 
@@ -39,7 +40,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     uuid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     by_conv = Window.partitionBy("conv_id").orderBy("turn")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
         uuid.alias("uuid"),
         F.lag(uuid).over(by_conv).alias("parent_uuid"),
         F.col("conv_id").cast("string").alias("session_id"),
@@ -83,7 +84,7 @@ EXISTING_LOADED = "2024-02-01 00:00:00"  # created_at / updated_at of stored row
 LOAD_TIME = "2024-03-01 00:00:00"      # "now" of the import being planned
 EDIT_SUFFIX = " (edited)"
 LATER_SUFFIX = " (later)"
-LATER_POS = 1000                       # position of the later copy of a first turn
+LATER_POS = TURNS                      # the later copies of first turns stand after all turns
 
 
 def existing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,16 @@ def incoming_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(_lines(later, F.col("turn") + LATER_POS)))
 
 
+def listing(spark: SparkSession, sf_dir: str, turns: int | None = None) -> DataFrame:
+    """The session files as a file listing: last modified at the last turn, as long as their texts;
+    with ``turns``, as they were when a session had that many turns."""
+    m = messages(spark, sf_dir)
+    if turns is not None:
+        m = m.where(F.col("turn") < turns)
+    path = F.concat(F.lit(LOG_ROOT + "/"), F.col("project_path"), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
+    return m.groupBy(path.alias("file_path")).agg(F.max("timestamp").alias("file_mtime"), F.sum(F.length("message_content")).alias("length"))
+
+
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON Lines corpus derived from ``conversations``.
 

@@ -20,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from logscope.operators import lines as line_ops
 from logscope.operators import validate
 from logscope.plans.store import MessageStore, utc_now
-from logscope.session import ensure_checkpoint_dir
 from logscope.sources.jsonl import LINE_SCHEMA, _decoded_path
 
 
@@ -36,9 +35,13 @@ def _batch_writer(store: MessageStore):
 
 
 def start_sync_stream(spark: SparkSession, store: MessageStore, root: str,
-                      checkpoint_location: str | None = None, available_now: bool = True,
+                      checkpoint_location: str, available_now: bool = True,
                       max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
+    """Start the stream; with ``available_now`` it processes what is there and stops.
+
+    ``checkpoint_location`` is where the stream remembers what it has read: one
+    shared folder for each stream, the same one at every start.
+    """
     reader = (spark.readStream.schema(LINE_SCHEMA)
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.jsonl")
@@ -51,7 +54,6 @@ def start_sync_stream(spark: SparkSession, store: MessageStore, root: str,
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("value"),
     )
-    location = checkpoint_location or ensure_checkpoint_dir(spark).rstrip("/") + "/sync-stream"
-    writer = lines.writeStream.foreachBatch(_batch_writer(store)).option("checkpointLocation", location)
+    writer = lines.writeStream.foreachBatch(_batch_writer(store)).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

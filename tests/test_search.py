@@ -62,25 +62,54 @@ def test_bm25_topk_plan_and_order(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_bm25_index_persisted_equals_in_memory(spark, workdir):
+def test_topk_when_the_index_is_ahead_of_the_table(spark):
     m = td.search_view(spark, SF_SMALL)
-    idx = bm25.build_index(m)
-    idx.write(f"{workdir}/idx")
-    loaded = bm25.TextIndex.load(spark, f"{workdir}/idx")
-    a = sorted(bm25.score(idx, ["the", "und"], "or").collect())
-    b = sorted(bm25.score(loaded, ["the", "und"], "or").collect())
-    assert a == b and len(a) > 0
+    best = {r.id for r in S.ranked_search(m, None, S.SearchQuery(keywords=["the"], limit=10)).collect()}
+    table = m.where(~F.col("id").isin(*best))
+    for limit in (5, 10, 1000):
+        got = S.ranked_search(table, bm25.build_index(m), S.SearchQuery(keywords=["the"], limit=limit)).collect()
+        assert len(got) == min(limit, S.ranked_search(table, bm25.build_index(m), S.SearchQuery(keywords=["the"], limit=None)).count())
 
 
-def test_index_update_equals_rebuild(spark):
+def test_scan_and_index_agree(spark, workdir):
     m = td.search_view(spark, SF_SMALL)
-    old = m.where(F.col("timestamp") < F.lit("2024-01-02").cast("timestamp_ntz"))
-    changed = (m.where(F.col("timestamp") >= F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
-               .withColumn("message_content", F.concat("message_content", F.lit(" rust error"))))
-    current = old.join(changed.select("id"), "id", "left_anti").unionByName(changed)
-    updated = bm25.update_index(bm25.build_index(old), changed)
-    rebuilt = bm25.build_index(current)
-    for terms in (["rust", "the"], ["error"]):
-        a = sorted((r.id, round(r.score, 9)) for r in bm25.score(updated, terms, "or").collect())
-        b = sorted((r.id, round(r.score, 9)) for r in bm25.score(rebuilt, terms, "or").collect())
-        assert a == b and a
+    bm25.write_index(m, f"{workdir}/idx")
+    for terms in (["the", "und"], ["The"], ["ein", "zzz"], ["???"]):
+        for mode in ("or", "and"):
+            a, b, c = (sorted((r.id, round(r.score, 9), r.n_terms) for r in rows.collect()) for rows in (
+                bm25.score(bm25.build_index(m), terms, mode), bm25.score(bm25.TextIndex.load(spark, f"{workdir}/idx"), terms, mode),
+                bm25.score_scan(m, terms, mode)))
+            assert a == b == c
+
+
+def test_regex_with_filters_and_limit(spark):
+    df = rows(spark, [(1, "abc", "/a", 0, True), (2, "abd", "/b", 5, False), (3, None, "/a", 1, True), (4, "abe", "/a", 2, False)])
+    ids = lambda **kw: [r.id for r in S.regex_search(df, "^ab", S.SearchQuery(**kw)).collect()]
+    assert sorted(ids(limit=None)) == [1, 2, 4] and sorted(ids(project_filter="/a")) == [1, 4]
+    assert ids(favorites_only=True) == [1] and len(ids(limit=2)) == 2 and ids(date_from="2024-01-05") == [2]
+
+
+def test_project_list_as_a_table(spark):
+    df = rows(spark, [(1, "x", "/a", 0, False), (2, "x", "/b", 0, False)])
+    wanted = spark.createDataFrame([("/b",), ("/c",)], "project_path string")
+    assert [r.id for r in S.search(df, S.SearchQuery(keywords=["x"], project_filters=wanted)).collect()] == [2]
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    """200,000 rows with long texts: dense, distinct and in order, however the plan is cut."""
+    from logscope.operators import upsert
+    n = 200_000
+    df = upsert.materialised(spark.range(n).select(
+        F.concat(F.lit("f"), F.lpad((F.col("id") % 37).cast("string"), 3, "0")).alias("file_path"), (F.col("id") % 5 * 4096).alias("block_start"),
+        F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 512).alias("text")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = upsert.materialised(upsert.number_batch(df))
+            assert tuple(got.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()) == (n, n, 1, n)
+            by = got.groupBy("file_path", "block_start").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).orderBy("file_path", "block_start").collect()
+            assert all(r.b - r.a + 1 == r.n for r in by) and [r.a for r in by] == sorted(r.a for r in by)
+            assert got.where("file_path = 'f003' AND block_start = 0").orderBy("pos").select("id").collect() == got.where("file_path = 'f003' AND block_start = 0").orderBy("id").select("id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

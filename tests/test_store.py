@@ -65,15 +65,56 @@ def test_reimport_changes_only_updated_at(spark, workdir):
         assert before[k] == after[k]
 
 
-def test_untouched_partitions_keep_their_files(spark, workdir):
-    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
-    write_file(f"{logs}/p/a.jsonl", [record("a")])
+def files(root):
+    return {f: os.path.getmtime(f) for f in glob.glob(f"{root}/messages/bkt=*/*.parquet")}
+
+
+def test_small_changes_leave_other_buckets_alone(spark, workdir):
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=8)
+    write_file(f"{logs}/p/s.jsonl", [record(f"u{i}") for i in range(100)])
     import_logs(spark, store, logs, now=T0)
-    old_part = glob.glob(f"{workdir}/table/load_date=2025-07-21/*.parquet")
-    write_file(f"{logs}/q/b.jsonl", [record("b")])
-    import_logs(spark, store, f"{logs}/q", now=T1)
-    assert glob.glob(f"{workdir}/table/load_date=2025-07-21/*.parquet") == old_part
-    assert set(rows(store)) == {"a", "b"}
+    before = files(f"{workdir}/table")
+    assert len({os.path.dirname(f) for f in before}) == 8
+    store.mark_favorite([5])
+    assert files(f"{workdir}/table") == before
+    write_file(f"{logs}/p/edit.jsonl", [record("u7", content="edited")])
+    import_logs(spark, store, logs, now=T1)
+    after = files(f"{workdir}/table")
+    changed = {os.path.basename(os.path.dirname(f)) for f in set(before) ^ set(after)}
+    bucket = store.read().where("uuid = 'u7'").first()["bkt"]
+    assert changed <= {f"bkt={b}" for b in {r["bkt"] for r in store.read().select("bkt", "updated_at").where(F.col("updated_at") == T1).collect()}}
+    assert f"bkt={bucket}" in changed
+    assert store.messages().where("is_favorite").count() == 1 and store.messages().count() == 100
+
+
+def test_bulk_import_stores_every_row(spark, workdir):
+    """Long random texts, several partitions, plan changes at run time allowed: nothing is lost, ids are dense."""
+    import random
+    rnd = random.Random(7)
+    for mode in ("upsert", "insert_only", "overwrite", "force"):
+        logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/{mode}")
+        if mode == "upsert":
+            for k in range(6):
+                write_file(f"{logs}/p{k % 2}/s{k}.jsonl", [
+                    record(f"id-{k}-{i}", content="".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))) for i in range(10_000)])
+        out = import_logs(spark, store, logs, mode=mode, now=T0)
+        got = store.messages().agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_distinct("uuid")).first()
+        assert tuple(got) == (60_000, 60_000, 1, 60_000, 60_000) and out.stats.inserted == 60_000
+
+
+def test_store_refuses_rows_that_differ_from_the_plan(spark, workdir, monkeypatch):
+    import pytest
+
+    from logscope.operators import upsert
+    from logscope.plans.store import WriteMismatch
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
+    write_file(f"{logs}/p/s.jsonl", [record(f"u{i}") for i in range(10)])
+    real = upsert.number_batch
+    monkeypatch.setattr(upsert, "number_batch", lambda batch, base=0: real(batch, base).where("id <> 3"))
+    for mode in ("upsert", "insert_only", "overwrite", "force"):
+        with pytest.raises(WriteMismatch):
+            import_logs(spark, store, logs, mode=mode, now=T0)
+    assert store.messages().count() == 0
 
 
 def test_force_reports_duplicates(spark, workdir):
@@ -84,6 +125,10 @@ def test_force_reports_duplicates(spark, workdir):
     out = import_logs(spark, store, logs, mode="force", now=T1)
     assert (out.stats.inserted, out.stats.errors) == (1, 2)
     assert set(rows(store)) == {"a", "b"}
+    bad = sorted(out.quarantine.collect(), key=lambda r: r.line_no)
+    assert [(r.line_no, r.error) for r in bad] == [(1, "duplicate uuid"), (3, "duplicate uuid")]
+    assert all('"uuid": "' in r.raw for r in bad)
+    assert store.quarantine().count() == 2
 
 
 def test_overwrite_replaces_everything(spark, workdir):
@@ -103,12 +148,40 @@ def test_sync_adds_only_new_and_is_idempotent(spark, workdir):
     write_file(f"{logs}/p/s.jsonl", [record("a", content="changed"), record("b")])
     sync(spark, store, logs, now=dt.datetime(2020, 1, 2))
     r = rows(store)
-    assert set(r) == {"a", "b"} and r["a"].message_content == '"First message"'
+    assert set(r) == {"a", "b"} and r["a"].message_content == '"An opening line"'
     n = store.messages().count()
     sync(spark, store, logs, now=dt.datetime(2020, 1, 3))
     assert store.messages().count() == n
 
 
+def test_sync_after_importing_one_project(spark, workdir):
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
+    write_file(f"{logs}/p/s.jsonl", [record("a")])
+    write_file(f"{logs}/q/s.jsonl", [record("b")])
+    os.utime(f"{logs}/q/s.jsonl", (1_000_000_000, 1_000_000_000))  # an old modification time
+    import_logs(spark, store, logs, project="p", now=T0)
+    assert set(rows(store)) == {"a"}
+    assert sync(spark, store, logs, now=T1).stats.inserted == 1
+    assert set(rows(store)) == {"a", "b"}
+    write_file(f"{logs}/r/s.jsonl", [record("c")])
+    os.utime(f"{logs}/r/s.jsonl", (1_000_000_000, 1_000_000_000))
+    sync(spark, store, logs, now=T1)
+    assert set(rows(store)) == {"a", "b", "c"} and sync(spark, store, logs, now=T1).stats.total_processed == 0
+
+
+def test_import_in_another_time_zone(spark, workdir):
+    logs = f"{workdir}/logs"
+    write_file(f"{logs}/p/s.jsonl", [record("a", ts="2025-11-02T05:30:00.283Z"), record("b", ts="2025-11-02T06:30:00Z")])
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        store = MessageStore(spark, f"{workdir}/table")
+        import_logs(spark, store, logs, now=T0)
+        got = {u: r.timestamp for u, r in rows(store).items()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {"a": dt.datetime(2025, 11, 2, 5, 30, 0, 283000), "b": dt.datetime(2025, 11, 2, 6, 30)}
+
+
 def test_quarantine_written_with_line_numbers(spark, workdir):
     logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
     write_file(f"{logs}/p/s.jsonl", [record("a"), "{oops", "", record("b")])
@@ -116,6 +189,8 @@ def test_quarantine_written_with_line_numbers(spark, workdir):
     assert out.stats.errors == 1
     q = store.quarantine().collect()
     assert [(os.path.basename(x.file_path), x.line_no, x.error) for x in q] == [("s.jsonl", 2, "invalid JSON")]
+    import_logs(spark, store, logs, now=T1)
+    assert store.quarantine().count() == 1  # a repeated import adds nothing
     rep = {(r.project_path, r.level): (r.imported, r.errors) for r in out.report.collect()}
     assert rep[("p", 1)] == (2, 1) and rep[(None, 3)] == (2, 1)
 
@@ -142,20 +217,35 @@ def test_catalog_table_roundtrip(spark, workdir):
     store.drop_table("msgs_test")
 
 
+def same_as_rebuild(spark, store, path, again):
+    from logscope.operators import bm25
+    store.build_index(again)
+    got, want = bm25.TextIndex.load(spark, path), bm25.TextIndex.load(spark, again)
+    for terms in (["rust"], ["python", "go"], ["error", "rust"]):
+        a, b = (sorted((r.id, round(r.score, 9)) for r in bm25.score(i, terms, "or").collect()) for i in (got, want))
+        assert a == b
+    assert got.corpus().first() == want.corpus().first()
+    assert sorted(bm25.term_stats(got).collect()) == sorted(bm25.term_stats(want).collect())
+    return got
+
+
 def test_persisted_index_refresh(spark, workdir):
     from logscope.operators import bm25
     logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
     write_file(f"{logs}/p/s.jsonl", [record("a", content="rust error"), record("b", content="python")])
-    import_logs(spark, store, logs, now=T0)
+    import_logs(spark, store, logs, now=T1)
     store.build_index(f"{workdir}/idx")
     write_file(f"{logs}/p/s.jsonl", [record("b", content="rust rust"), record("c", content="go")])
-    import_logs(spark, store, logs, now=T1)
-    store.refresh_index(f"{workdir}/idx", T1)
-    idx = bm25.TextIndex.load(spark, f"{workdir}/idx")
+    import_logs(spark, store, logs, now=T0)  # an older time than the first load's
+    store.refresh_index(f"{workdir}/idx")
+    idx = same_as_rebuild(spark, store, f"{workdir}/idx", f"{workdir}/idx2")
     ids = {r.uuid: r.id for r in store.messages().collect()}
-    got = {r.id for r in bm25.score(idx, ["rust"], "or").collect()}
-    assert got == {ids["a"], ids["b"]}
-    assert idx.corpus.first().n_docs == 3
+    assert {r.id for r in bm25.score(idx, ["rust"], "or").collect()} == {ids["a"], ids["b"]}
+    write_file(f"{logs}/p/s.jsonl", [record("z", content="go rust")])
+    import_logs(spark, store, logs, mode="overwrite", now=T1)
+    store.refresh_index(f"{workdir}/idx")
+    idx = same_as_rebuild(spark, store, f"{workdir}/idx", f"{workdir}/idx3")
+    assert idx.corpus().first().n_docs == 1
 
 
 def test_fail_fast_import_writes_nothing(spark, workdir):

@@ -18,3 +18,6 @@ def test_stream_sync_adds_new_files_once(spark, workdir):
     got = sorted(r.uuid for r in store.messages().collect())
     assert got == ["a", "b", "c"]
     assert [(os.path.basename(r.file_path), r.line_no) for r in store.quarantine().collect()] == [("a.jsonl", 2)]
+    q = start_sync_stream(spark, MessageStore(spark, f"{workdir}/table"), logs, checkpoint_location=f"{workdir}/other-ckpt")
+    q.awaitTermination(300)  # a second stream that reads everything again adds nothing
+    assert store.messages().count() == 3 and store.quarantine().count() == 1

@@ -21,7 +21,7 @@ def test_three_line_session(spark, workdir):
     assert [r.uuid for r in rows] == ["uuid1", "uuid2", "uuid3"]
     assert [r.parent_uuid for r in rows] == [None, "uuid1", "uuid2"]
     assert rows[0].project_path == "p"
-    assert rows[0].message_content == '"First message"'
+    assert rows[0].message_content == '"An opening line"'
 
 
 def test_broken_line_skip_and_fail_fast(spark, workdir):
