@@ -62,6 +62,8 @@ def record_error(v: Column, raw: Column) -> Column:
         (v.isNull(), "invalid JSON"),
         (F.try_variant_get(v, "$", "map<string,variant>").isNull(), "expected a JSON object"),
     ]
+    twice = _repeated_field(raw)
+    repeated = F.when(twice.isNotNull(), F.concat(F.lit("duplicate field `"), twice, F.lit("`")))
     for name, kind, required in RECORD_FIELDS:
         path = f"$.{name}"
         present, ok = _type_ok(v, path, kind, required)
@@ -77,7 +79,8 @@ def record_error(v: Column, raw: Column) -> Column:
             checks.append((present & ~ok, f"invalid type for `message.{name}`: expected string or null"))
     ts = F.try_variant_get(v, "$.timestamp", "string")
     checks.append((~ts.rlike(TIMESTAMP_PATTERN) | _utc_timestamp(ts).isNull(), "invalid timestamp"))
-    return F.coalesce(*[F.when(bad, F.lit(msg)) for bad, msg in checks])
+    first, rest = checks[:3], checks[3:]
+    return F.coalesce(*[F.when(bad, F.lit(msg)) for bad, msg in first], repeated, *[F.when(bad, F.lit(msg)) for bad, msg in rest])
 
 
 def _utc_timestamp(ts_text: Column) -> Column:
@@ -112,6 +115,14 @@ def project_from_path(file_path: Column) -> Column:
     return F.coalesce(F.when(parent != "", parent), F.lit("unknown"))
 
 
+def _repeated_field(raw: Column) -> Column:
+    """The first record field that a line gives twice, or NULL; other fields may repeat, they are ignored."""
+    known = F.array(*[F.lit(name) for name, _, _ in RECORD_FIELDS])
+    keys = F.filter(F.json_object_keys(raw), lambda k: F.array_contains(known, k))
+    twice = F.filter(keys, lambda k: F.size(F.filter(keys, lambda other: other == k)) > 1)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.try_element_at(twice, F.lit(1)))
+
+
 def _shape_pattern(fields) -> str:
     """Regex over ``schema_of_variant`` of the checked fields (keys come sorted)."""
     want = {"string": "STRING", "boolean": "BOOLEAN"}
@@ -151,6 +162,7 @@ def quick_error(v: Column, raw: Column) -> Column:
         F.when(raw.contains(REPLACEMENT_CHAR), F.lit("invalid UTF-8")),
         F.when(v.isNull(), F.lit("invalid JSON")),
         F.when(top.isNull(), F.lit("expected a JSON object")),
+        F.when(_repeated_field(raw).isNotNull(), F.lit("invalid record")),
         F.when(~top.rlike(TOP_SHAPE), F.lit("invalid record")),
         F.when(msg.isNull() | ~msg.rlike(MESSAGE_SHAPE), F.lit("invalid record")),
         F.when(~ts.rlike(TIMESTAMP_PATTERN) | _utc_timestamp(ts).isNull(), F.lit("invalid timestamp")),
@@ -165,6 +177,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     when valid), ``raw`` (the trimmed line) and the record columns, which are
     NULL for invalid lines.
     """
+    # A repeated key must not fail the parse: unknown fields are ignored, and record fields are checked by name.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = trim_line(lines).where(F.col("raw") != "").drop("value")
     v = F.try_parse_json(F.col("raw"))
     # One parse per line. The checked record is produced by a generator

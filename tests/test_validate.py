@@ -50,7 +50,8 @@ def test_blank_lines_are_counted(spark, workdir):
     (record(ts="2025-07-21"), "invalid timestamp"),
     (record(message="text"), "invalid type for `message`: expected object"),
     (record(gitBranch=3), "invalid type for `gitBranch`: expected string or null"),
-    ('{"uuid": "a", "uuid": "b"}', "invalid JSON"),
+    ('{"uuid": "a", "uuid": "b"}', "duplicate field `uuid`"),
+    (record()[:-1] + ', "cwd": "/x"}', "duplicate field `cwd`"),
     ("[1, 2]", "expected a JSON object"),
 ])
 def test_strictness(spark, workdir, line, reason):
@@ -95,3 +96,10 @@ def test_content_text(spark):
     df = spark.createDataFrame([('"a b"',), ('[{"type":"text","text":"x"},{"type":"tool_use"},{"type":"text","text":"y"}]',), (None,)], "c string")
     got = [r[0] for r in df.select(validate.content_text(F.col("c"))).collect()]
     assert got == ["a b", "x\ny", None]
+
+
+def test_repeated_unknown_and_content_keys_are_accepted(spark, workdir):
+    line = record("a", content={"k": 1})[:-1] + ', "extra": 1, "extra": 2}'
+    write_file(f"{workdir}/p/s.jsonl", [line.replace('"k": 1', '"k": 1, "k": 2')])
+    _, parsed = parse(spark, workdir)
+    assert [(r.uuid, r.message_content) for r in validate.valid_records(parsed).collect()] == [("a", '{"k":2}')]
