@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from logscope.llm.common import id_and_text, partitions
 
 CHUNK_BYTES = 8 << 20
+GROWTH = 25  # chunks grow with the root of the data (256 MB at 100 TB), or lists of chunk x bucket would get too short
+MOST_CUTS = 5000  # chunk borders taken from the ids; between two of them ids are cut evenly
 PACK = "chunk int, bucket int, data binary, marks binary"
 REPLY = "chunk int, data binary, hot boolean"
 
@@ -37,12 +39,13 @@ class Chunked:
         self.buckets = partitions(spark)
         total = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
         self.bytes = total["bytes"] or 0
+        chunk_bytes = max(chunk_bytes, int(GROWTH * self.bytes ** 0.5))
         n = max(1, min(total["n"], max(self.buckets, -(-self.bytes // chunk_bytes))))
-        cuts = []
+        cuts, parts = [], -(-n // MOST_CUTS)
         if n > 1:
-            at = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+            at = docs.agg(F.percentile_approx("doc_id", [k * parts / n for k in range(-(-n // parts) + 1) if k * parts <= n] + [1.0], 100 * min(n, MOST_CUTS))).first()[0] or []
             cuts = sorted(set(at))
-        self.df = docs.mapInArrow(packer(np.array(cuts, np.int64)), "chunk int, blob binary").repartition("chunk")
+        self.df = docs.mapInArrow(packer(np.array(cuts, np.int64), parts), "chunk int, blob binary").repartition("chunk")
 
     def send(self, fn, schema: str = PACK) -> DataFrame:
         """fn(chunk, ids, texts) -> pa.Table for each chunk."""
@@ -57,13 +60,18 @@ class Chunked:
         return self.df.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def packer(cuts: np.ndarray):
+def packer(cuts: np.ndarray, parts: int):
+    """cuts: sorted ids, the smallest and the largest among them; each range between two is cut into ``parts`` chunks."""
     def pack(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            chunk = np.searchsorted(cuts, ids, side="left")  # ids up to and with a cut are before it
+            chunk = np.searchsorted(cuts, ids, side="left") * parts  # ids up to and with a cut are before it
+            if parts > 1:
+                high = np.clip(chunk // parts, 1, len(cuts) - 1)
+                inside = (ids - cuts[high - 1]) / np.maximum(1, cuts[high] - cuts[high - 1])
+                chunk += np.clip((inside * parts).astype(np.int64), 0, parts - 1) * ((chunk > 0) & (chunk < len(cuts) * parts))
             order = np.argsort(chunk, kind="stable")
             firsts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
             blobs, options = [], pa.ipc.IpcWriteOptions(compression="zstd")

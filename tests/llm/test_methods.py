@@ -196,3 +196,35 @@ def test_language_of_hard_texts(spark, sf_dir):
         letter = any(c.isalpha() for c in r["text"] or "")
         assert (rows[r["doc_id"]]["lang_pred"] == "und") == (not letter)
         assert rows[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_chunks_are_in_the_order_of_ids():
+    import pyarrow as pa
+
+    from logscope.llm import chunks
+    rnd = np.random.default_rng(1)
+    ids = np.unique(rnd.integers(-10**12, 10**12, 2000))
+    rnd.shuffle(ids)
+    cuts = np.sort(ids)[[0, 100, 500, 1500, len(ids) - 1]]
+    for parts in (1, 7):
+        batch = pa.RecordBatch.from_arrays([pa.array([None, *ids.tolist()]), pa.array(["t"] * (len(ids) + 1))], ["doc_id", "text"])
+        found = {}
+        for out in chunks.packer(cuts, parts)([batch]):
+            for c, blob in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                for i in chunks.unpacked(pa.table({"blob": [blob]}))[0]:
+                    found[i] = c
+        assert len(found) == len(ids) + 1 and found[None] == 0
+        order = [found[i] for i in sorted(ids.tolist())]
+        assert order == sorted(order) and len(set(order)) > 3 * parts
+
+
+def test_lists_survive_the_exchange():
+    from logscope.llm import chunks
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 1000):
+        values = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (chunks.decode(chunks.encode(values)) == values).all()
+        assert (chunks.decode(chunks.encode(values, 20), 20) == values >> np.uint64(20) << np.uint64(20)).all()
+        table = chunks.packs(3, values, 11)
+        assert (np.concatenate([chunks.decode(x) for x in table["data"].to_pylist()]) == values).all()
+        assert (chunks.among(values, values[::2]) == (np.arange(len(values)) % 2 == 0)).all()
