@@ -33,3 +33,8 @@ def count_by_project_sql(spark: SparkSession, messages: DataFrame, role: str) ->
     return spark.sql(
         "SELECT project_path, COUNT(*) AS n FROM {m} WHERE message_role = :role GROUP BY project_path",
         args={"role": role}, m=messages)
+
+
+def run_in_order(spark: SparkSession, statements: list[str]) -> list[DataFrame]:
+    """Run SQL statements one after the other; the first error stops the rest (and is raised)."""
+    return [spark.sql(statement) for statement in statements]

@@ -220,6 +220,13 @@ UNION ALL
             f"SELECT {NEW_ROW.format(id='row_number() OVER (ORDER BY file_path, turn)', content=cj('message_content'))} "
             "FROM messages WHERE message_role <> 'system'"),
         "ingest_project": ingest_valid + f" AND project_path = '{R.PROJECT}'",
+        "ingest_files": _with(MESSAGES) + (
+            "SELECT 'project=' || project_path AS project_path, count_if(message_role <> 'system') AS imported, count_if(message_role = 'system') AS errors, "
+            f"sum(CASE WHEN message_role <> 'system' THEN length({cj('message_content')}) END) AS content_length, "
+            "max(CASE WHEN message_role <> 'system' THEN timestamp END) AS last_update FROM messages GROUP BY project_path"),
+        "ingest_files_one_project": _with(MESSAGES) + (
+            f"SELECT uuid, 'project=' || project_path AS project_path, {cj('message_content')} AS message_content, timestamp "
+            f"FROM messages WHERE message_role <> 'system' AND project_path = '{R.PROJECT}'"),
         "list_projects": _with(MESSAGES) + "SELECT DISTINCT project_path FROM messages WHERE message_role <> 'system'",
         "import_overwrite": _with(MESSAGES, INCOMING) + _new_rows("true", "0"),
         "import_insert_only": _with(MESSAGES, INCOMING) + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base),

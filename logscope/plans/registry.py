@@ -19,6 +19,7 @@ from logscope.operators import bm25, favorites, lines as line_ops, reports, sear
 from logscope.schema import RECORD_COLUMNS
 from logscope.session import ensure_checkpoint_dir
 from logscope.sources import testdata as td
+from logscope.sources.jsonl import read_lines
 
 # The query parameters of the registered queries.
 KW_AND = ["the", "that"]
@@ -204,6 +205,30 @@ def q_ingest_roundtrip(spark, sf):
     return upsert.plan_overwrite(batch, _now())
 
 
+def _log_files(spark, sf):
+    """The derived lines written as ``*.jsonl`` files, a folder per project, in the shared folder."""
+    import uuid
+    root = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = td.source_lines(spark, sf).withColumn("project", validate.project_from_path(F.col("file_path")))
+    (lines.select("value", "project").repartition("project").write.partitionBy("project")
+     .format("csv").options(extension="jsonl", quote="", escape="", sep="\u0001", compression="none").save(root))
+    return root
+
+
+def q_ingest_files(spark, sf):
+    """Recursive scan of real files: strict parsing, project from the folder, quarantined lines counted per project."""
+    parsed = validate.parse_lines(read_lines(spark, _log_files(spark, sf)))
+    return parsed.groupBy("project_path").agg(
+        F.count_if(F.col("error").isNull()).alias("imported"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.sum(F.length("message_content")).alias("content_length"), F.max("timestamp").alias("last_update"))
+
+
+def q_ingest_files_one_project(spark, sf):
+    """The same scan limited to one project: other files are not opened."""
+    lines = read_lines(spark, _log_files(spark, sf), project=f"project={PROJECT}")
+    return validate.valid_records(validate.parse_lines(lines)).select("uuid", "project_path", "message_content", "timestamp")
+
+
 def q_ingest_project(spark, sf):
     lines = td.source_lines(spark, sf).where(validate.project_from_path(F.col("file_path")) == PROJECT)
     return validate.valid_records(validate.parse_lines(lines)).select(*RECORD_COLUMNS)
@@ -332,6 +357,8 @@ QUERIES: dict[str, Query] = {
     "content_json": q_content_json,
     "ingest_roundtrip": q_ingest_roundtrip,
     "ingest_project": q_ingest_project,
+    "ingest_files": q_ingest_files,
+    "ingest_files_one_project": q_ingest_files_one_project,
     "list_projects": q_list_projects,
     "import_overwrite": q_import_overwrite,
     "import_insert_only": q_import_insert_only,

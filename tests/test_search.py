@@ -113,3 +113,13 @@ def test_numbers_do_not_depend_on_partitions(spark):
             assert got.where("file_path = 'f003' AND block_start = 0").orderBy("pos").select("id").collect() == got.where("file_path = 'f003' AND block_start = 0").orderBy("id").select("id").collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_statements_run_in_order_and_stop_at_an_error(spark):
+    import pytest
+
+    from logscope.operators.reports import run_in_order
+    with pytest.raises(Exception):
+        run_in_order(spark, ["CREATE OR REPLACE TEMP VIEW in_order AS SELECT 1 AS x", "SELECT nothing FROM nowhere",
+                             "CREATE OR REPLACE TEMP VIEW in_order AS SELECT 2 AS x"])
+    assert run_in_order(spark, ["SELECT x FROM in_order"])[0].first()["x"] == 1
