@@ -19,6 +19,7 @@ never cut; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -37,22 +38,29 @@ SPECIAL = "\0"  # before a special token in the list of words; no word of the pa
 LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
 LATIN1 = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 WIDE = re.compile("[^\0-\xff]")
+ENCODED_AT_ONCE = 5000  # words
 
 
 class Splitter:
     """Text -> the words that the tokenizer encodes one by one."""
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in config["added_tokens"]) + ")")
         self.marks = tuple(t["content"] for t in config["added_tokens"])
 
+    def tokenizer(self) -> tuple:
+        """The tokenizer and its split step, loaded when first needed; one thread, as the task has one core."""
+        if self.loaded is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            self.loaded = Tokenizer.from_file(self.path), pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+        return self.loaded
+
     def words(self, text: str) -> list:
         if any(m in text for m in self.marks):
             out = []
@@ -64,12 +72,27 @@ class Splitter:
     def plain(self, text: str) -> list:
         if text.isascii() or not WIDE.search(text):
             return LATIN1.findall(text.lower())
-        return [w for w, _ in self.split.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        tokenizer, split = self.tokenizer()
+        return [w for w, _ in split.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
 
     def encode(self, words: list) -> list:
         raw = [w[1:] if w[0] == SPECIAL and w[1:] in self.marks else w for w in words]
-        found = self.tokenizer.encode_batch(raw, add_special_tokens=False)
-        return [e.ids for e in found]
+        out, (tokenizer, _) = [], self.tokenizer()
+        for k in range(0, len(raw), ENCODED_AT_ONCE):
+            out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(raw[k:k + ENCODED_AT_ONCE], add_special_tokens=False)]
+        return out
+
+
+def once(make):
+    """make() at the first call; for a function that is sent to tasks, once in each task."""
+    made: list = []
+
+    def get():
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return get
 
 
 def distinct_words(splitter: Splitter, texts: list) -> tuple:
@@ -102,19 +125,19 @@ def buckets_of(words: list, buckets: int) -> list:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every document."""
     chunked = Chunked(docs, id_col, text_col)
-    buckets = chunked.buckets
+    buckets = 4 * chunked.buckets  # words are larger than hashes
+    splitter = once(lambda: Splitter(path))
 
     def ask(chunk, ids, texts):
-        words, _ = distinct_words(Splitter(path), texts)
+        words, _ = distinct_words(splitter(), texts)
         rows = [(b, squeezed([words[k] for k in at])) for b, at in buckets_of(words, buckets)]
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()),
                          "data": pa.array([r[1] for r in rows], pa.binary())})
 
     def look_up(rows: pa.Table) -> pa.Table:
-        splitter = Splitter(path)
         lists = [spread(x) for x in rows.column("data").to_pylist()]
         table = list(dict.fromkeys(w for words in lists for w in words))  # each distinct word of the corpus is in one bucket
-        ids = dict(zip(table, map(np.array, splitter.encode(table))))
+        ids = dict(zip(table, splitter().encode(table)))
         out = []
         for words in lists:
             found = [ids[w] for w in words]
@@ -123,7 +146,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     def join_back(chunk, ids, texts, replies):
-        words, docs = distinct_words(Splitter(path), texts)
+        words, docs = distinct_words(splitter(), texts)
         answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()))
         count = np.zeros(len(words), np.int64)
         parts, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
