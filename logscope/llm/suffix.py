@@ -23,6 +23,9 @@ doc_id are separate documents; very long texts are never cut; extra columns are
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -33,7 +36,7 @@ from logscope.llm.common import mix
 
 LENGTH = 400
 GRAM = 32  # bytes of an anchor
-HOT_CHUNKS = 256
+HOT_CHUNKS = 128
 BLOCK = 1 << 16  # positions worked on at a time, to stay in cache
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number per byte, by a rule
@@ -89,7 +92,7 @@ class Bytes:
                 np.zeros(span - 1 - before, np.uint64), least, np.zeros(high - low + before - len(least), np.uint64)]), span, np.maximum)
             hit = np.flatnonzero((most == own) & (own != NEVER))
             at.append(hit + low)
-            hashes.append(own[hit])
+            hashes.append(mix(own[hit] + np.uint64(0x9E3779B97F4A7C15)))  # anchors are small hashes: spread them again, one to one
         return np.concatenate(at), np.concatenate(hashes)
 
 
@@ -201,22 +204,21 @@ def packed_surroundings(chunk: int, rows: dict, buckets: int) -> pa.Table:
 
 
 def unpacked_surroundings(rows: pa.Table):
-    for chunk, blob in zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist()):
-        part = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
-        for anchor, left, data, positions in zip(*[part.column(c).to_pylist() for c in ("anchor", "lefts", "data", "positions")]):
-            yield anchor, left, data, chunk, np.array(positions, np.int64)
-
-
-def surroundings(rows: list, length: int):
-    """rows: (anchor, left length, bytes, chunk, positions) of a bucket -> (chunk, starts, ends) to remove."""
-    rows.sort(key=lambda r: r[0])
-    a = 0
-    while a < len(rows):
-        b = a
-        while b < len(rows) and rows[b][0] == rows[a][0]:
-            b += 1
+    """(anchor, left length, bytes, chunk, positions) of all chunks, merged by anchor; only one anchor's rows become objects at a time."""
+    def of(chunk, blob):
+        part = pa.ipc.open_stream(zstandard.decompress(blob)).read_all().combine_chunks()
+        anchors = part.column("anchor").to_numpy()
+        for k in range(len(part)):
+            yield int(anchors[k]), part["lefts"][k].as_py(), part["data"][k].as_py(), chunk, np.array(part["positions"][k].as_py(), np.int64)
+
+    return heapq.merge(*map(of, rows.column("chunk").to_pylist(), rows.column("data").to_pylist()), key=lambda r: r[0])
+
+
+def surroundings(rows, length: int):
+    """rows: (anchor, left length, bytes, chunk, positions), by anchor -> (chunk, starts, ends) to remove."""
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
         same: dict = {}
-        for _, left, data, chunk, positions in rows[a:b]:
+        for _, left, data, chunk, positions in group:
             same.setdefault((left, data), []).append((chunk, positions))
         keys = list(same)
         # All strings of a member hold its anchor, so together they are one run of bytes.
@@ -231,7 +233,6 @@ def surroundings(rows: list, length: int):
         for k in np.flatnonzero(right >= 0):
             for chunk, positions in same[keys[k]]:
                 yield chunk, positions - left[k], positions + right[k]
-        a = b
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
@@ -240,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} bytes or more")
     chunked = Chunked(docs, id_col, text_col)
-    buckets = chunked.buckets
+    buckets = 4 * chunked.buckets  # surroundings are larger than hashes
 
     def send_anchors(chunk, ids, texts):
         values, count = np.unique(Bytes(texts).anchors(length)[1], return_counts=True)
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         kinds = np.array(rows.column("kind").to_pylist(), object)
         near = rows.take(np.flatnonzero(kinds == "near"))
         found: dict = {}
-        for chunk, starts, ends in surroundings(list(unpacked_surroundings(near)), length):
+        for chunk, starts, ends in surroundings(unpacked_surroundings(near), length):
             found.setdefault(chunk, ([], []))
             found[chunk][0].append(starts)
             found[chunk][1].append(ends)
