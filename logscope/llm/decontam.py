@@ -31,7 +31,7 @@ from logscope.llm.common import id_and_text, id_type
 
 Q = 8
 ERRORS = 0.08
-SEGMENT = 160
+SEGMENT = 100
 SHORTEST = 32
 SLICE_BYTES = 16 << 20
 TABLE_BITS = 22
