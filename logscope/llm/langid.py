@@ -45,10 +45,14 @@ def held_out(id_col) -> F.Column:
 def sample(docs: DataFrame, per_language: int, languages: int) -> DataFrame:
     """(lang, text) of the documents to learn from."""
     own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (own.select("doc_id", "lang").join(F.broadcast(top), "lang")
-              .withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= per_language).select("doc_id"))
+    top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # Hashes are even, so about twice the wanted number lies below this bound, and the smallest surely do:
+    # a task ranks a few thousand ids, however many a language has.
+    share = (F.xxhash64("doc_id").bitwiseAND((1 << 62) - 1) / F.lit(float(1 << 62))).alias("share")
+    few = (own.select("doc_id", "lang", share).join(F.broadcast(top), "lang")
+           .where(F.col("share") * F.col("n") <= 2 * per_language + 200))
+    chosen = (few.withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy("share", "doc_id")))
+              .where(F.col("_k") <= per_language).select("doc_id"))
     chosen = kept(chosen.distinct())  # per_language x languages ids at most
     return own.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
