@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logscope.llm.chunks import Chunked, bucket_of
-from logscope.llm.common import id_type
+from logscope.llm.common import free, id_type, parts
 
 SPECIAL = "\0"  # before a special token in the list of words; no word of the pattern looks like that
 # The tokenizer's pattern for characters up to U+00FF, after lower-casing.
 LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\x09-\x0d\x20\x85\xa0"
 LATIN1 = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 WIDE = re.compile("[^\0-\xff]")
-ENCODED_AT_ONCE = 5000  # words
+ENCODED_AT_ONCE = 2000  # words
 
 
 class Splitter:
@@ -101,7 +101,7 @@ def distinct_words(splitter: Splitter, texts: list) -> tuple:
     docs = []
     for t in texts:
         words = splitter.words(t.decode("utf-8", "replace")) if t else []
-        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
     return list(number), docs
 
 
@@ -143,12 +143,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             found = [ids[w] for w in words]
             flat = np.concatenate([[len(found)], [len(f) for f in found], *found]).astype(np.int32)
             out.append(zstandard.compress(flat.tobytes(), 3))
+        free()
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     def join_back(chunk, ids, texts, replies):
         words, docs = distinct_words(splitter(), texts)
         answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()))
-        count = np.zeros(len(words), np.int64)
+        count = np.zeros(len(words), np.int32)
         parts, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for bucket, at in buckets_of(words, buckets):
             flat = np.frombuffer(zstandard.decompress(answer[bucket]), np.int32)
@@ -156,16 +157,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             parts.append(flat[1 + flat[0]:])
             order.append(at)
         flat, order = np.concatenate(parts), np.concatenate(order)
-        first = np.zeros(len(words), np.int64)
-        first[order] = np.cumsum(count[order]) - count[order]
-        every = np.concatenate([np.zeros(0, np.int64), *docs])  # a word number for each position
-        n = count[every]
-        ends = np.cumsum(n)
-        at = np.repeat(first[every] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        words_before = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-        offsets = np.concatenate([[0], ends])[words_before]
+        first = np.zeros(len(words), np.int32)
+        first[order] = np.cumsum(count[order], dtype=np.int32) - count[order]
+        found, offsets = [np.zeros(0, np.int32)], [0]
+        for numbers in docs:  # the ids of each word, by position
+            n = count[numbers]
+            ends = np.cumsum(n, dtype=np.int32)
+            total = int(ends[-1]) if len(ends) else 0
+            found.append(flat[np.repeat(first[numbers] - (ends - n), n) + np.arange(total, dtype=np.int32)])
+            offsets.append(offsets[-1] + total)
         return pa.table({"doc_id": pa.array(ids, pa.int64()),
-                         "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()))})
+                         "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))})
 
     found = chunked.send(ask, "chunk int, bucket int, data binary").groupBy("bucket").applyInArrow(
         look_up, "chunk int, bucket int, ids binary")
@@ -187,13 +189,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """(doc_id, ids, decoded): each id joined with its piece, pieces joined by a space as the file has no decoder."""
     def run(batches):
         table = pa.array(pieces(path))
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                ids = batch.column(1)
-                ids = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten())
-                found = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pc.binary_join(found, " ")], ["doc_id", "ids", "decoded"])
+        for batch in parts(batches, 128):
+            ids = batch.column(1)
+            ids = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten())
+            found = pa.ListArray.from_arrays(ids.offsets, table.take(ids.values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pc.binary_join(found, " ")], ["doc_id", "ids", "decoded"])
 
     two = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return two.mapInArrow(run, f"doc_id {id_type(two)}, ids array<int>, decoded string")

@@ -21,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.common import id_and_text, partitions
+from logscope.llm.common import free, id_and_text, partitions
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 GROWTH = 25  # chunks grow with the root of the data (256 MB at 100 TB), or lists of chunk x bucket would get too short
 MOST_CUTS = 5000  # chunk borders taken from the ids; between two of them ids are cut evenly
 PACK = "chunk int, bucket int, data binary, marks binary"
@@ -45,18 +45,23 @@ class Chunked:
         if n > 1:
             at = docs.agg(F.percentile_approx("doc_id", [k * parts / n for k in range(-(-n // parts) + 1) if k * parts <= n] + [1.0], 100 * min(n, MOST_CUTS))).first()[0] or []
             cuts = sorted(set(at))
+            parts = parts if len(cuts) > 1 else 1
         self.df = docs.mapInArrow(packer(np.array(cuts, np.int64), parts), "chunk int, blob binary").repartition("chunk")
 
     def send(self, fn, schema: str = PACK) -> DataFrame:
         """fn(chunk, ids, texts) -> pa.Table for each chunk."""
         def run(key, rows):
-            return fn(key[0].as_py(), *unpacked(rows))
+            out = fn(key[0].as_py(), *unpacked(rows))
+            free()
+            return out
         return self.df.groupBy("chunk").applyInArrow(run, schema)
 
     def receive(self, replies: DataFrame, fn, schema: str) -> DataFrame:
         """fn(chunk, ids, texts, replies as a pa.Table) -> pa.Table for each chunk."""
         def run(key, rows, answers):
-            return fn(key[0].as_py(), *unpacked(rows), answers)
+            out = fn(key[0].as_py(), *unpacked(rows), answers)
+            free()
+            return out
         return self.df.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -82,6 +87,7 @@ def packer(cuts: np.ndarray, parts: int):
                     out.write_batch(part)
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(chunk[order][firsts], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+        free()
     return pack
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,10 +46,27 @@ def raw_bytes(column) -> list:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def parts(batches, rows: int = 512):
+    """The batches in slices, so that few texts at a time become Python objects; at the end memory goes back to the system."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    free()
+
+
+def free() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once for each distinct word seen."""
 
-    MOST = 2_000_000
+    MOST = 1 << 17  # distinct words held; the rest are hashed again
 
     def __missing__(self, word):
         if len(self) >= self.MOST:

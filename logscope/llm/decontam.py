@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from logscope.llm.common import id_and_text, id_type
+from logscope.llm.common import id_and_text, id_type, parts
 
 Q = 8
 ERRORS = 0.08
@@ -197,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def finder(index, kind):
     def run(batches):
         own = index.value
-        for batch in batches:
+        for batch in parts(batches):
             rows = [(j, *leak) for j, text in enumerate(batch.column(1).to_pylist()) for leak in own.find(normal(text))] if own.items else []
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[k] for r in rows], kind if k == 1 else pa.int64()) for k in (1, 2, 3, 4)]], ["doc_id", "item_id", "start", "end", "edits"])
@@ -211,7 +211,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", sl
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in parts(batches):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not index.value.find(normal(t)) for t in texts], pa.bool_()))
 

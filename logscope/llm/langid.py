@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logscope.llm.common import id_type, kept, raw_bytes
+from logscope.llm.common import id_type, kept, parts, raw_bytes
 
 ORDER = 3
 SAMPLE = 1500
@@ -182,19 +182,17 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = raw_bytes(part.column(1))
-                names, scores, per_byte = [UNDEFINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                if m is not None:
-                    bits = m.bits(texts)
-                    for j, raw in enumerate(texts):
-                        if has_letter(raw):
-                            best = int(np.argmin(bits[j]))
-                            weight = np.exp2(-(bits[j] - bits[j, best]) * min(1.0, 64 / len(raw)))
-                            names[j], scores[j], per_byte[j] = m.names[best], float(1 / weight.sum()), float(bits[j, best] / len(raw))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                                                  pa.array(per_byte, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+        for part in parts(batches):
+            texts = raw_bytes(part.column(1))
+            names, scores, per_byte = [UNDEFINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            if m is not None:
+                bits = m.bits(texts)
+                for j, raw in enumerate(texts):
+                    if has_letter(raw):
+                        best = int(np.argmin(bits[j]))
+                        weight = np.exp2(-(bits[j] - bits[j, best]) * min(1.0, 64 / len(raw)))
+                        names[j], scores[j], per_byte[j] = m.names[best], float(1 / weight.sum()), float(bits[j, best] / len(raw))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                                              pa.array(per_byte, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     return two.mapInArrow(run, f"doc_id {id_type(two)}, held_out boolean, lang_pred string, score double, bits_per_byte double")

@@ -20,7 +20,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logscope.llm.common import Mapped, id_and_text, id_type, raw_bytes
+from logscope.llm.common import Mapped, id_and_text, id_type, parts, raw_bytes
 from logscope.llm.secrets import span_array
 
 # The kinds and their patterns, in the order in which spans tie.
@@ -139,7 +139,7 @@ def find_in(raw) -> list:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, spans array<struct<kind,start,end,base>>). Map only."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), span_array([find_in(raw) for raw in raw_bytes(batch.column(1))])], ["doc_id", "spans"])
 
@@ -168,7 +168,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     kind = dict(docs.dtypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index(text_col)
             texts = [masked(raw) for raw in raw_bytes(batch.column(at))]
             cols = list(batch.columns)

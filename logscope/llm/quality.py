@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logscope.llm.common import kept, raw_bytes
+from logscope.llm.common import kept, parts, raw_bytes
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SYMBOLS = b"#*$%&|<>"  # fixed values
 ALPHA, DELTA = 0.05, 0.05
+SMALL_TABLE = 100_000  # rows of cutoffs that are broadcast
 PRICE = 20  # how many shares of bad documents a share of good ones is worth
 
 # score: (expression over the measures, bins per unit); a high bin is bad. Each score has BINS bins.
@@ -84,7 +85,7 @@ def measured(docs: DataFrame, text_col: str = "text", into: str = "_quality", dr
     schema = T.StructType([*fields, T.StructField(into, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index(text_col)
             rows = [measure(raw) for raw in raw_bytes(batch.column(at))]
             arrays = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
@@ -165,22 +166,21 @@ def marks(lang_col: str, into: str) -> list:
 
 
 def verdict(rows: DataFrame, limits: DataFrame, lang_col: str, into: str) -> DataFrame:
-    """``rows`` (with measures) plus columns _base_failed, _rejected_by, _kept and _stratum."""
+    """``rows`` (with measures) plus columns <into>_stratum, _rejected_by (array), _base_failed and _kept."""
     m = F.col(into)
-    lim = limits.select(F.col("stratum").alias("_stratum"), F.struct(*SCORES).alias("_limits"))
-    out = rows.withColumn("_stratum", stratum(F.col(lang_col))).join(F.broadcast(lim), "_stratum", "left")
-    over = F.filter(F.array(*[F.when(b > F.col("_limits")[name], name) for name, b in bins(m).items()]), lambda x: x.isNotNull())
-    out = out.withColumn("_rejected_by", over).withColumn("_base_failed", base_failed(m))
-    return out.withColumn("_kept", ~F.col("_base_failed") & (F.size("_rejected_by") == 0)).drop("_limits")
+    lim = limits.select(F.col("stratum").alias(f"{into}_stratum"), F.struct(*SCORES).alias(f"{into}_limits"))
+    out = rows.withColumn(f"{into}_stratum", stratum(F.col(lang_col))).join(lim, f"{into}_stratum", "left")
+    over = F.filter(F.array(*[F.when(b > F.col(f"{into}_limits")[name], name) for name, b in bins(m).items()]), lambda x: x.isNotNull())
+    out = out.withColumn(f"{into}_rejected_by", over).withColumn(f"{into}_base_failed", base_failed(m))
+    good = ~F.col(f"{into}_base_failed") & (F.size(f"{into}_rejected_by") == 0)
+    return out.withColumn(f"{into}_kept", good).drop(f"{into}_limits")
 
 
 def learn(rows: DataFrame, labels: DataFrame, lang_col: str, into: str, **levels) -> DataFrame:
-    """Cutoffs of all strata, as a small checkpointed table; its size is checked before it is broadcast."""
+    """Cutoffs of all strata, as a checkpointed table; it is broadcast if its size, which is checked, allows."""
     passing = rows.where(~base_failed(F.col(into)))
     limits = kept(cutoffs(passing.select("doc_id", *marks(lang_col, into)), labels, **levels))
-    if limits.count() > 100_000:
-        raise ValueError("more than 100,000 strata: choose a coarser lang_col")
-    return limits
+    return F.broadcast(limits) if limits.count() <= SMALL_TABLE else limits
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **levels) -> DataFrame:
@@ -189,6 +189,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_c
     Measures are taken twice - for learning, and for the verdict - so no text is shuffled.
     """
     into = "_quality"
+    while any(c.startswith(into) for c in docs.columns):
+        into = "_" + into
     small = kept(measured(docs.select("doc_id", text_col, lang_col), text_col, into, drop_text=True))  # numbers only
     limits = learn(small, labels, lang_col, into, **levels)
-    return verdict(measured(docs, text_col, into), limits, lang_col, into).where("_kept").select(*docs.columns)
+    return verdict(measured(docs, text_col, into), limits, lang_col, into).where(F.col(f"{into}_kept")).select(*docs.columns)

@@ -42,8 +42,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = quality.learn(rows, table(spark, sf_dir, "labels"), "lang", "_quality")
     out = quality.verdict(rows, limits, "lang", "_quality")
     return out.select("doc_id", "_quality.n_words", "_quality.word_chars", "_quality.n_symbols", "_quality.n_dup_lines",
-                      "_quality.n_repeat_words", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
-                      F.col("_stratum").alias("stratum"), F.concat_ws(",", "_rejected_by").alias("rejected_by"))
+                      "_quality.n_repeat_words", F.col("_quality_base_failed").alias("base_failed"), F.col("_quality_kept").alias("kept"),
+                      F.col("_quality_stratum").alias("stratum"), F.concat_ws(",", "_quality_rejected_by").alias("rejected_by"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

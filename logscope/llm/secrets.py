@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from logscope.llm.common import Mapped, id_and_text, id_type, raw_bytes
+from logscope.llm.common import Mapped, id_and_text, id_type, parts, raw_bytes
 
 # The kinds and their patterns, in the order in which spans tie.
 KINDS = ("assign", "access", "hex")
@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Map only: no shuffle, and a lost task is simply run again.
     """
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = [scan_document(raw, max_layer_bytes) for raw in raw_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), span_array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int64())],
