@@ -56,7 +56,7 @@ def test_suffix_hot_anchors(spark, sf_dir):
             got = suffix.remove_repeats(table(spark, sf_dir, "documents"), hot_chunks=2).select(
                 "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"), F.size("spans")).collect()
         finally:
-            suffix.Chunked.__init__.__defaults__ = ("doc_id", "text", 8 << 20)
+            suffix.Chunked.__init__.__defaults__ = ("doc_id", "text", 4 << 20)
         assert sorted(map(tuple, got)) == want
 
 
@@ -70,3 +70,23 @@ def test_shards_are_even(spark):
     biggest = max(r["size"] for r in rows)
     assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= 2 * biggest
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_null_and_repeated_ids(spark, workdir):
+    """Every row comes back once, whatever its id; equal rows get equal results where order plays no part."""
+    long = " ".join(f"word{k}" for k in range(300))
+    rows = [(None, long), (None, None), (7, long), (7, long), (7, long + " other"), (7, None), (8, "short"), (8, "short"), (9, long[:900])]
+    spark.createDataFrame([(d, t, None, "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{workdir}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{workdir}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, long[:200])], "item_id long, text string").write.parquet(f"{workdir}/benchmark.parquet")
+    key = lambda d: (d is not None, d or 0)
+    for name, query in Q.QUERIES.items():
+        got = query(spark, workdir).collect()
+        if name == "op4_decontamination":
+            assert sorted((r["doc_id"] for r in got), key=key) == [None, 7, 7, 7, 9] and {r["item_id"] for r in got} == {1}
+            continue
+        assert sorted((r["doc_id"] for r in got), key=key) == sorted((d for d, _ in rows), key=key), name
+        if name in BRUTE and name not in ("op1_substring_dedup", "op3_suffix_dedup", "op7_superminhash"):
+            want = BRUTE[name](rows)
+            assert sorted((tuple(r)[:len(want[0])] for r in got), key=repr) == sorted(want, key=repr), name
+    assert {(r["doc_id"], r["component_id"]) for r in Q.QUERIES["op7_superminhash"](spark, workdir).collect()} == {(None, None), (7, 7), (8, 8), (9, 9)}

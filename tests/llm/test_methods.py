@@ -228,3 +228,22 @@ def test_lists_survive_the_exchange():
         table = chunks.packs(3, values, 11)
         assert (np.concatenate([chunks.decode(x) for x in table["data"].to_pylist()]) == values).all()
         assert (chunks.among(values, values[::2]) == (np.arange(len(values)) % 2 == 0)).all()
+
+
+def test_near_copies_at_all_distances(spark):
+    """One text with 0 to 12 changed words, in many copies: groups equal those of all pairs."""
+    import brute
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base, rows = [rnd.choice(words) for _ in range(120)], []
+    for d in range(220):
+        w = list(base)
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 6, 9, 12))):
+            k = rnd.randrange(len(w))
+            rnd.choice((lambda: w.__setitem__(k, rnd.choice(words)), lambda: w.insert(k, rnd.choice(words)), lambda: w.pop(k)))()
+        rows.append((d * 7 % 220, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 80):
+        want = {r[0]: r[2] for r in brute.op7(rows, percent)}
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent).collect()}
+        assert got == want and 3 < len(set(want.values())) < 220

@@ -78,6 +78,14 @@ def test_hard_and_empty_tables(spark, sf_dir, workdir):
             assert k == 4 or out.schema.names == docs.columns
 
 
+def test_clashing_columns_stay(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("*", "1 AS _quality", "2 AS _quality_kept", "3 AS _gone", "4 AS packed", "5 AS node", "6 AS key")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert out.select("_quality", "_quality_kept", "_gone", "packed", "node", "key", "bucket").distinct().collect() == [(1, 2, 3, 4, 5, 6, 2)]
+
+
 def test_thresholds_keep_their_promise():
     for n, rate, level in ((100, 0.05, 0.01), (1000, 0.01, 0.001), (50, 0.01, 0.05)):
         from math import comb
