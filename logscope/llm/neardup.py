@@ -12,12 +12,15 @@ leader, never all pairs. Every candidate is confirmed on the full shingle
 sets. Confirmed links are grouped by a distributed union-find (hooking to the
 smallest neighbour and pointer jumping, on checkpointed tables). Members of a
 bucket that are still in different groups are then compared with each other,
-so no link depends on the choice of a leader.
+so no link depends on the choice of a leader - but for pairs that exact bounds
+rule out, from the shingles that only one document has and from what is known of
+their difference to the leader; these leave few pairs.
 
 Defined results: lower-casing is A-Z only; fewer words than a shingle form one
 shingle; null, empty and blank texts have an empty set and are groups of one;
-rows that share a doc_id take part under that id, and it is one group; very long
-texts are never cut; extra columns are ignored.
+rows that share a doc_id are one document and get one group, its links are
+judged on one of the texts (always the same); rows without doc_id are linked with
+nothing; very long texts are never cut; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.common import WordHashes, id_and_text, id_type, kept, mix, raw_bytes, window_hashes, word_hashes
+from logscope.llm.chunks import Chunked, among, answers, packs, repeated
+from logscope.llm.common import WordHashes, id_and_text, id_type, kept, mix, parts, raw_bytes, window_hashes, word_hashes
 
 WIDTH, PERCENT = 5, 85
 SLOTS = 127  # a prime: rank -> (a * rank + b) mod SLOTS is then a permutation, and uniform on pairs of slots
@@ -37,6 +41,7 @@ BANDS, ROWS = 31, 4  # two sets with similarity 0.85 agree on no band once in 10
 FRACTION_BITS = 48
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 BATCH_SHINGLES = 1 << 18
+CLASS_BITS = 5
 
 
 def shingles(raw, memo: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -83,7 +88,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, set_a, set_b, bands array<long>): size, 128-bit digest and band keys of each set."""
     def run(batches):
         memo = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             texts = raw_bytes(batch.column(1))
             k = 0
             while k < len(texts):
@@ -111,8 +116,14 @@ def fits(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; texts: (doc_id, packed)."""
+def by_class(shingles: np.ndarray) -> np.ndarray:
+    """How many of the shingles fall into each of 2 ** CLASS_BITS classes by hash."""
+    return np.bincount((shingles >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS).astype(np.int32)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """pairs (a, b) -> (a, b, apart, linked): how many shingles only one of the full sets has, counted by
+    class, and whether the similarity is reached; texts: (doc_id, packed)."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b"))
 
@@ -126,15 +137,70 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
                 recent[key] = shingles(zstandard.decompress(packed), memo, width)
             return recent[key]
 
-        for batch in batches:
-            good = []
+        for batch in parts(batches):
+            apart, linked = [], []
             for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]):
                 p, q = own(a, x), own(b, y)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                different = np.setxor1d(p, q, assume_unique=True)
+                shared = (len(p) + len(q) - len(different)) // 2
+                apart.append(by_class(different))
+                linked.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.list_(pa.int32())), pa.array(linked, pa.bool_())],
+                                             ["a", "b", "apart", "linked"])
+
+    kind = id_type(pairs, "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, apart array<int>, linked boolean")
+
+
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(node, own): how many shingles of a document no other one of ``texts`` has, counted by class."""
+    def unpacked(batches):
+        for batch in parts(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([zstandard.decompress(p).decode("utf-8", "replace") for p in batch.column(1).to_pylist()], pa.string())],
+                ["doc_id", "text"])
+
+    chunked = Chunked(texts.select("doc_id", "packed").mapInArrow(unpacked, f"doc_id {id_type(texts)}, text string"))
+    buckets, memo = chunked.buckets, WordHashes()
+
+    def send(chunk, ids, raws):
+        values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *[shingles(r, memo, width) for r in raws]]), return_counts=True)
+        return packs(chunk, values, buckets, 0, (count > 1).reshape(-1, 1))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.schema)
+    def count(chunk, ids, raws, replies):
+        found = answers(replies)
+        sets = [shingles(r, memo, width) for r in raws]
+        return pa.table({"node": pa.array(ids, pa.int64()), "own": pa.array([by_class(s[~among(s, found)]) for s in sets], pa.list_(pa.int32()))})
+
+    return kept(chunked.receive(repeated(chunked.send(send)), count, "node long, own array<int>"))
+
+
+def total(counts: F.Column) -> F.Column:
+    return F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+
+
+def across_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: (key, node, n, own, apart, group) -> pairs (a, b) of one bucket and different groups that may be linked.
+
+    own: shingles that no other document here has; apart: the symmetric difference to the bucket's leader (null: not
+    known); both counted by class. Two sets reach the similarity p if their symmetric difference is at most
+    (n + m) (1 - p) / (1 + p). It is at least the sum of both differences to the leader less twice what these have in
+    common: in each class at most the smaller number, and ``own`` shingles take no part. It is also at least what the
+    sizes and ``own`` shingles say. Both bounds are exact. Near copies too far from each other fail the first one,
+    as their edits lie in different classes.
+    """
+    most = lambda apart, size: (100 + percent) * apart <= (100 - percent) * size
+    n, own = F.col("n"), F.col("n_own")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    rows = (rows.withColumn("n_own", total(F.col("own"))).withColumn("n_apart", total(F.col("apart")))
+            .withColumn("open", F.zip_with("apart", "own", lambda a, o: F.greatest(F.lit(0), a - o))).join(least, "key")
+            .where(most(own + F.greatest(F.lit(0), own + F.col("least") - n), n + F.col("least"))))
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "n_own", "n_apart", "open", "group")]) for s in "xy")
+    size = F.col("n_x") + F.col("n_y")
+    by_size = size - 2 * F.least(F.col("n_x") - F.col("n_own_x"), F.col("n_y") - F.col("n_own_y"))
+    by_leader = F.col("n_apart_x") + F.col("n_apart_y") - 2 * total(F.zip_with("open_x", "open_y", lambda a, b: F.least(a, b)))
+    return (x.join(y, "key").where((F.col("group_x") < F.col("group_y")) & most(by_size, size) & F.coalesce(most(by_leader, size), F.lit(True)))
+            .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
 
 def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     """
     docs = id_and_text(docs, id_col, text_col)
     sketches = kept(sketched(docs, width))
-    full = sketches.where("n > 0")
+    full = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = kept(full.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     rows = classes.select("node", "n", F.explode("bands").alias("key"))
@@ -177,25 +243,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
                 .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     held = members.select(F.col("node").alias("doc_id")).distinct()
     texts = kept(packed(docs.join(held, "doc_id", "left_semi")))
-    links = kept(confirmed(star, texts, percent, width))
-    nodes = classes.select("node")
+    checked = kept(compared(star, texts, percent, width))
+    links = checked.where("linked").select("a", "b")
+    nodes = classes.select("node").distinct()
     group = grouped(nodes, links)
 
-    # Members of a bucket in different groups: compare them across groups, but for what has been compared.
-    now = members.select("key", "node", "n").join(group, "node")
+    # Members of a bucket in different groups: compare them across groups, where a link is possible at all.
+    now = members.select("key", "node", "n", "leader").join(group, "node")
     mixed = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     open_rows = kept(now.join(mixed, "key"))
-    x, y = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "group")]) for s in "xy")
-    across = (x.join(y, "key").where((F.col("group_x") < F.col("group_y")) & fits("n_x", "n_y", percent))
-              .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-              .join(star, ["a", "b"], "left_anti"))
-    more = kept(confirmed(across, texts, percent, width))
-    if not more.isEmpty():
-        group = grouped(nodes, links.union(more))
+    if not open_rows.isEmpty():
+        own = own_shingles(texts.join(open_rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        open_rows = (open_rows.join(own, "node")
+                     .withColumn("a", F.least("node", "leader")).withColumn("b", F.greatest("node", "leader"))
+                     .join(checked.select("a", "b", "apart"), ["a", "b"], "left")
+                     .withColumn("apart", F.when(F.col("node") == F.col("leader"), F.transform("own", lambda o: F.lit(0))).otherwise(F.col("apart"))))
+        pairs = across_groups(open_rows.select("key", "node", "n", "own", "apart", "group"), percent).join(star, ["a", "b"], "left_anti")
+        more = kept(compared(pairs, texts, percent, width).where("linked").select("a", "b"))
+        if not more.isEmpty():
+            group = grouped(nodes, links.union(more))
 
     found = full.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).join(group, "node").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.col("group").alias("component_id"))
-    alone = sketches.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    alone = sketches.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return found.union(alone)
 
 
@@ -203,15 +273,15 @@ def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, packed): texts, compressed."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([pack.compress(t or b"") for t in raw_bytes(batch.column(1))], pa.binary())], ["doc_id", "packed"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, packed binary").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, packed binary").groupBy("doc_id").agg(F.min("packed").alias("packed"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group - the one with the smallest id - with all columns of ``docs``."""
     found = near_duplicates(docs, percent, width, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
