@@ -36,7 +36,7 @@ from logscope.llm.common import mix
 
 LENGTH = 400
 GRAM = 32  # bytes of an anchor
-HOT_CHUNKS = 128
+HOT_CHUNKS = 512
 BLOCK = 1 << 16  # positions worked on at a time, to stay in cache
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number per byte, by a rule
@@ -77,6 +77,14 @@ class Bytes:
             out[max(0, e - width + 1 - low):max(0, e - low)] = NEVER
         return out
 
+    def windows(self, width: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """``rolling`` block by block; blocks without a wanted position stay NEVER."""
+        out = np.full(max(0, len(self.all) - width + 1), NEVER)
+        for low in range(0, len(out), BLOCK):
+            if wanted is None or wanted[low:low + BLOCK].any():
+                out[low:low + BLOCK] = self.rolling(width, low, low + BLOCK)
+        return out
+
     def anchors(self, length: int) -> tuple:
         """(positions, hashes) of the anchors for repeats of ``length``; worked out block by block."""
         span, n = length - GRAM + 1, len(self.all) - GRAM + 1  # grams in a window; grams
@@ -265,9 +273,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         table = packed_surroundings(chunk, rows, buckets)
         hot = at[among(h, everywhere)]
         if len(hot):
-            windows = own.rolling(length)
-            near = covered(hot - (length - GRAM), hot + 1, len(windows)) & (windows != NEVER)
-            distinct, count = np.unique(windows[near], return_counts=True)
+            near = covered(hot - (length - GRAM), hot + 1, max(0, len(own.all) - length + 1))
+            windows = own.windows(length, near)
+            distinct, count = np.unique(windows[near & (windows != NEVER)], return_counts=True)
             sent = packs(chunk, distinct, buckets, 0, (count > 1).reshape(-1, 1))
             table = pa.concat_tables([table, sent.append_column("kind", pa.array(["window"] * len(sent), pa.string())).select(table.column_names)])
         return table
@@ -306,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             else:
                 windows.append(decode(data))
         if windows:
-            at = np.flatnonzero(among(own.rolling(length), sorted_union(windows)))
+            at = np.flatnonzero(among(own.windows(length), sorted_union(windows)))
             starts.append(at)
             ends.append(at + length)
         gone = covered(np.concatenate(starts), np.concatenate(ends), len(own.data))
