@@ -187,14 +187,16 @@ def across_groups(rows: DataFrame, percent: int) -> DataFrame:
     (n + m) (1 - p) / (1 + p). It is at least the sum of both differences to the leader less twice what these have in
     common: in each class at most the smaller number, and ``own`` shingles take no part. It is also at least what the
     sizes and ``own`` shingles say. Both bounds are exact. Near copies too far from each other fail the first one,
-    as their edits lie in different classes.
+    as their edits lie in different classes. Before the rows meet, a row is judged at the partner size that allows
+    most: all of its shingles but its ``own`` ones, or the bucket's least size if that is larger.
     """
     most = lambda apart, size: (100 + percent) * apart <= (100 - percent) * size
     n, own = F.col("n"), F.col("n_own")
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     rows = (rows.withColumn("n_own", total(F.col("own"))).withColumn("n_apart", total(F.col("apart")))
             .withColumn("open", F.zip_with("apart", "own", lambda a, o: F.greatest(F.lit(0), a - o))).join(least, "key")
-            .where(most(own + F.greatest(F.lit(0), own + F.col("least") - n), n + F.col("least"))))
+            .withColumn("best", F.greatest(F.col("least"), n - own))
+            .where(most(own + F.greatest(F.lit(0), own + F.col("best") - n), n + F.col("best"))))
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "n_own", "n_apart", "open", "group")]) for s in "xy")
     size = F.col("n_x") + F.col("n_y")
     by_size = size - 2 * F.least(F.col("n_x") - F.col("n_own_x"), F.col("n_y") - F.col("n_own_y"))

@@ -247,3 +247,25 @@ def test_near_copies_at_all_distances(spark):
         want = {r[0]: r[2] for r in brute.op7(rows, percent)}
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent).collect()}
         assert got == want and 3 < len(set(want.values())) < 220
+
+
+def test_bucket_with_a_small_member_keeps_links(spark):
+    """x: 100 shingles, 15 its own; y: the other 85, so exactly 0.85; z: 50 of them. x and y must be compared."""
+    classes = lambda k: [k] + [0] * 31
+    rows = [(1, 10, 100, classes(15), None, 10), (1, 20, 85, classes(0), None, 20), (1, 30, 50, classes(0), None, 30)]
+    rows = spark.createDataFrame(rows, "key long, node long, n int, own array<int>, apart array<int>, group long")
+    assert (10, 20) in {(r["a"], r["b"]) for r in neardup.across_groups(rows, 85).collect()}
+
+
+def test_truncated_copies_and_unique_tails(spark):
+    """Short parts of a core and copies with tails of their own in one bucket: no linked pair is ruled out."""
+    rnd, sets = random.Random(23), []
+    for k in range(80):
+        a = rnd.randint(0, 30)
+        part = range(a, a + rnd.randint(40, 85 - a)) if k % 2 else range(rnd.randint(75, 85))
+        sets.append(set(part) | {1000 * (k + 1) + j for j in range(rnd.randint(0, 18))})
+    own = [len(s - set().union(*(t for t in sets if t is not s))) for s in sets]
+    rows = [(1, k, len(s), [own[k]] + [0] * 31, None, k) for k, s in enumerate(sets)]
+    rows = spark.createDataFrame(rows, "key long, node long, n int, own array<int>, apart array<int>, group long")
+    want = {(a, b) for b in range(80) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert want and want <= {(r["a"], r["b"]) for r in neardup.across_groups(rows, 85).collect()}
