@@ -45,9 +45,20 @@ BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|punto|point|arroba)\s*[
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|dev|app|eu|uk|us|ca|au|de|at|ch|fr|be|nl|it|es|pt|mx|br|ar|se|dk|pl|ru|jp|cn|in"
 SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
 SPOKEN_PART = re.compile(r"\s+(at|dot)\s+", re.I)
+HOST = r"[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*(?:\.|\s+dot\s+)(?P<ending>[A-Za-z]{2,})(?![A-Za-z0-9-])"
+MIXED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+)(?:@|(?P<at>\s+at\s+))(?P<host>{HOST})", re.I)
+MAY_MIX = re.compile(r"(?:@|\sat\s+)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\s+dot\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
+# A spoken `at` after one of these words, with a host written out, is prose ("visit us at x.org"); so is
+# a spoken `dot` after one of these, with an ending outside the list above ("at one dot on the map").
+NOT_NAMES = frozenset("""i me you he him she her it we us they them this that these those here there who which what is are was were be been
+being am and or but not as so than then now only also just even still out up down off over look looks looked looking see seen found find
+available hosted located based live lives lived work works worked working stay stayed meet met start starts started stop stopped arrive
+arrived visit visited online stored published posted listed defined called read reading stands sits aimed one two all both each""".split())
+NOT_HOSTS = frozenset("""a an the this that these those each every any some no one two three four five six seven eight nine ten another
+his her its my our your their which what red blue green black white yellow polka single small big tiny""".split())
 WORD = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 SPELLED = re.compile(rf"(?:plus\s+)?\b(?:{WORD}|[0-9]+)(?:(?:\s*(?:-|\.|,|\bdot\b|\bdash\b)\s*|\s+)(?:{WORD}|[0-9]+)\b)+", re.I)
-SPELLED_RUN = re.compile(rf"(?:\b(?:{WORD})\b[\s.,-]*(?:dot|dash)?[\s.,-]*){{4}}", re.I)
+SPELLED_DIGIT = re.compile(rf"\b(?:{WORD})\b", re.I)
 SPELLED_PART = re.compile(rf"plus\s+|\b(?:{WORD})\b|\s*\bdot\b\s*|\s*\bdash\b\s*|\s+", re.I)
 
 
@@ -93,19 +104,40 @@ def letters(layer: Mapped) -> Mapped:
 
 
 def marks(layer: Mapped) -> Mapped:
-    """(at), [dot] and spoken `name at host dot org`."""
+    """(at), [dot] and spoken `name at host dot org`, in any mixture."""
     edits = [(m.start(), m.end(), MARKS[m[1].lower()]) for m in BRACKETED.finditer(layer.text)]
     layer = layer.rewrite(edits) if edits else layer
     edits = [(p.start(), p.end(), MARKS[p[1].lower()])
              for m in SPOKEN.finditer(layer.text) for p in SPOKEN_PART.finditer(layer.text, m.start(), m.end())]
+    layer = layer.rewrite(edits) if edits else layer
+    edits = [(p.start(), p.end(), MARKS[p[1].lower()]) for m in MIXED.finditer(layer.text) if address(layer, m)
+             for p in SPOKEN_PART.finditer(layer.text, m.start(), m.end())]
     return layer.rewrite(edits) if edits else layer
 
 
+def address(layer: Mapped, m) -> bool:
+    """Whether a match of MIXED is an address: `at` and `dot` each literal, bracketed (rewritten before) or spoken."""
+    if not m["at"]:
+        return True
+    a, b = m.span("host")
+    if any(c == "." and layer.end[k] - layer.start[k] > 1 for k, c in enumerate(m["host"], a)):
+        return True
+    labels = re.split(r"\.|\s+dot\s+", m["host"], flags=re.I)
+    if len(m["host"].split()) > 1:  # a spoken dot
+        return labels[0].lower() not in NOT_HOSTS
+    new_sentence = m["ending"][0].isupper() and labels[-2].islower()
+    return not (m["name"].lower() in NOT_NAMES or labels[0].lower() == "www" or new_sentence or layer.text[b:b + 1] == "/")
+
+
+def spelled(text: str) -> bool:
+    return len(SPELLED_DIGIT.findall(text)) >= 4
+
+
 def digits(layer: Mapped) -> Mapped:
     """`plus one five five five ...` as digits; runs with fewer than four spelled digits stay."""
     edits = []
     for m in SPELLED.finditer(layer.text):
-        if not SPELLED_RUN.search(m[0]):
+        if not spelled(m[0]):
             continue
         for p in SPELLED_PART.finditer(layer.text, m.start(), m.end()):
             word = p[0].strip().lower()
@@ -118,8 +150,8 @@ def disguised(text: str) -> bool:
     if not text.isascii() and ODD.search(text):
         return True
     low = text.lower()
-    return bool((("at" in low or "@" in low) and BRACKETED.search(text)) or (" dot " in low and SPOKEN.search(text))
-                or SPELLED_RUN.search(text))
+    return bool((("at" in low or "@" in low) and BRACKETED.search(text)) or ("dot" in low and SPOKEN.search(text)) or MAY_MIX.search(text)
+                or (spelled(text) and any(spelled(m[0]) for m in SPELLED.finditer(text))))
 
 
 def find_in(raw) -> list:

@@ -269,3 +269,24 @@ def test_truncated_copies_and_unique_tails(spark):
     rows = spark.createDataFrame(rows, "key long, node long, n int, own array<int>, apart array<int>, group long")
     want = {(a, b) for b in range(80) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
     assert want and want <= {(r["a"], r["b"]) for r in neardup.across_groups(rows, 85).collect()}
+
+
+@pytest.mark.parametrize("piece", [
+    "john at mail.com", "john@mail dot com", "john at mail dot co", "john at mail dot no", "john at first dot last dot nz",
+    "john [at] mail dot com", "john at mail [dot] com", "john (at) mail.com", "john at mail dot co.uk", "john@mail (dot) first dot museum",
+])
+def test_marks_in_any_mixture(piece):
+    text = f"write to {piece}, please"
+    assert ("email", 9, 9 + len(piece)) in {s[:3] for s in pii.find_in(text.encode())}
+    assert pii.masked(text.encode()) == "write to [EMAIL], please"
+
+
+def test_spelled_digits_are_counted_over_the_run():
+    piece = "plus 1 five 5 five 0 one 9 nine 2 three 4"
+    assert pii.masked(f"call {piece} today".encode()) == "call [PHONE] today"
+
+
+def test_prose_with_at_and_dots_stays():
+    for text in ("visit us at www.example.com", "We looked at example.org today", "we met at home.Then we left", "put it at every dot on the line",
+                 "see the page at site.org/page", "look at polka dot dresses", "one 2 two 3 three"):
+        assert pii.masked(text.encode()) == text
