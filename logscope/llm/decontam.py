@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are normalised (lower case, white space to one
-space). Items are cut into segments of at most ``SEGMENT`` characters that overlap by half.
+space). Items are cut into segments of at most ``SEGMENT`` characters that start at most ``STEP`` apart, so that
+every verbatim part of at least ``SEGMENT`` characters holds a segment but for ``2 k`` characters at its ends, and is found.
 A segment of m characters may occur in a document with up to k = ``ERRORS`` x m
 edits; by the q-gram lemma such an occurrence shares at least m + 1 - q - k q
 character q-grams with it, all on k + 1 neighbouring diagonals. So the
@@ -13,14 +14,19 @@ are looked at. Every remaining band is verified by banded alignment.
 The benchmark is sent to every task in slices of at most ``SLICE_BYTES`` of text
 (a slice for each pass over the documents); documents are not shuffled.
 
-Defined results: null and empty texts and items match nothing; items shorter than
-``SHORTEST`` characters are left out, as ordinary text holds them; the best
+Items shorter than ``SHORTEST`` characters have too few q-grams; they are found by exact match on word borders, and
+marked, as ordinary text may hold them by chance.
+
+Defined results: null and empty texts and items match nothing; ``keep_clean`` takes a document out for a short item
+only if the item is at least half of its text; the best
 segment of an item counts, and the first of equals; repeated rows give rows each; very long texts
 are searched whole; an empty benchmark gives no rows; extra columns are ignored (``keep_clean`` keeps them).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +38,9 @@ from logscope.llm.common import id_and_text, id_type, parts
 Q = 8
 ERRORS = 0.08
 SEGMENT = 100
+STEP = 16  # 2 k edits: what a part of SEGMENT characters may lack of the nearest segment at both ends
 SHORTEST = 32
+TOKEN = re.compile(r"\w+|[^\w\s]")
 SLICE_BYTES = 16 << 20
 TABLE_BITS = 22
 
@@ -60,7 +68,7 @@ def segments(text: str) -> list:
     """(first, last) of the segments of an item."""
     if len(text) <= SEGMENT:
         return [(0, len(text))]
-    count = -(-2 * (len(text) - SEGMENT) // SEGMENT) + 1
+    count = -(-(len(text) - SEGMENT) // STEP) + 1
     step = (len(text) - SEGMENT) / (count - 1)
     return [(a := round(k * step), a + SEGMENT) for k in range(count)]
 
@@ -69,20 +77,28 @@ class Index:
     """The q-grams of all segments of a slice of the benchmark."""
 
     def __init__(self, items: list):
-        self.items = [(i, t) for i, text in items if len(t := normal(text)) >= SHORTEST]
+        items = [(i, t) for i, text in items if (t := normal(text))]
+        self.items = [x for x in items if len(x[1]) >= SHORTEST]
+        self.short: dict = {}  # first token -> length -> text -> item ids
+        for i, t in items:
+            if len(t) < SHORTEST:
+                self.short.setdefault(TOKEN.match(t)[0], {}).setdefault(len(t), {}).setdefault(t, []).append(i)
         self.segments = [(k, a, b) for k, (_, t) in enumerate(self.items) for a, b in segments(t)]
         self.size = np.array([b - a for _, a, b in self.segments], np.int64)
         self.edits = np.floor(ERRORS * self.size).astype(np.int64)
         self.needed = np.maximum(1, self.size + 1 - Q - self.edits * Q)
-        keys, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, (k, a, b) in enumerate(self.segments):
-            g = grams(letters(self.items[k][1][a:b]))
+        # Each q-gram of an item is held once; places are those in all items one after the other.
+        first = np.concatenate([[0], np.cumsum([len(t) for _, t in self.items])]).astype(np.int64)
+        self.starts = np.array([first[k] + a for k, a, _ in self.segments], np.int64)
+        self.ends = self.starts + self.size
+        keys, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, (_, t) in enumerate(self.items):
+            g = grams(letters(t))
             keys.append(g)
-            owner.append(np.full(len(g), s))
-            place.append(np.arange(len(g)))
+            place.append(first[k] + np.arange(len(g)))
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+        self.keys, self.place = keys[order], np.concatenate(place)[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.slot(self.keys)] = True
         self.fewest = int(self.needed.min()) if len(self.needed) else 0
@@ -118,7 +134,11 @@ class Index:
         if not total:
             return
         rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
-        owner, diagonal = self.owner[rows], np.repeat(at, n) - self.place[rows]
+        place, at = self.place[rows], np.repeat(at, n)
+        low = np.searchsorted(self.ends, place + Q, "left")  # the segments that hold the q-gram follow one another
+        n = np.searchsorted(self.starts, place, "right") - low
+        owner = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        diagonal = np.repeat(at - place, n) + self.starts[owner]
         width = self.edits[owner] + 1
         half = (diagonal + (1 << 20)) // width
         for shift in (0, 1):  # bands of two halves, overlapping by one
@@ -143,6 +163,21 @@ class Index:
                 best[k] = found
         return [(self.items[k][0], start, end, edits) for k, (edits, start, end) in sorted(best.items())]
 
+    def find_short(self, text: str) -> list:
+        """(item, start, end, 0) of the first occurrence on word borders of each short item."""
+        found: dict = {}
+        for m in TOKEN.finditer(text) if self.short else ():
+            for n, texts in self.short.get(m[0], {}).items():
+                end = m.start() + n
+                part = text[m.start():end]
+                if part in texts and part not in found and not (end < len(text) and re.match(r"\w\w", text[end - 1:end + 1])):
+                    found[part] = (m.start(), end, texts[part])
+        return [(i, a, b, 0) for a, b, ids in found.values() for i in ids]
+
+    def holds_item(self, text: str) -> bool:
+        """Whether the text holds an item, or a short one is at least half of it."""
+        return bool(self.find(text)) or any(2 * (b - a) >= len(text) for _, a, b, _ in self.find_short(text))
+
 
 def align(segment: str, text: str, low: int, high: int, most: int):
     """(edits, start, end) of the best occurrence of ``segment`` that starts on a diagonal of [low, high]; None over ``most``.
@@ -183,13 +218,16 @@ def slices(benchmark: DataFrame, slice_bytes: int) -> list:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): places in the normalised text where a document holds a benchmark item."""
+    """(doc_id, item_id, start, end, edits, short): places in the normalised text where a document holds a benchmark item.
+
+    short: the item is below ``SHORTEST`` characters and was found by exact match on word borders.
+    """
     docs = id_and_text(docs, id_col, text_col)
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     out, kind = None, to_arrow_type(benchmark.schema["item_id"].dataType)
     for part in slices(benchmark, slice_bytes):
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
-        one = docs.mapInArrow(finder(index, kind), f"doc_id {id_type(docs)}, item_id {id_type(benchmark, 'item_id')}, start long, end long, edits long")
+        one = docs.mapInArrow(finder(index, kind), f"doc_id {id_type(docs)}, item_id {id_type(benchmark, 'item_id')}, start long, end long, edits long, short boolean")
         out = one if out is None else out.union(one)
     return out
 
@@ -198,14 +236,18 @@ def finder(index, kind):
     def run(batches):
         own = index.value
         for batch in parts(batches):
-            rows = [(j, *leak) for j, text in enumerate(batch.column(1).to_pylist()) for leak in own.find(normal(text))] if own.items else []
+            texts = [normal(text) for text in batch.column(1).to_pylist()]
+            rows = [(j, *leak, short) for j, text in enumerate(texts)
+                    for short, found in ((False, own.find(text) if own.items else []), (True, own.find_short(text))) for leak in found]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[k] for r in rows], kind if k == 1 else pa.int64()) for k in (1, 2, 3, 4)]], ["doc_id", "item_id", "start", "end", "edits"])
+            kinds = (kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1)]],
+                                             ["doc_id", "item_id", "start", "end", "edits", "short"])
     return run
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; a pass for each slice, no shuffle."""
+    """The rows of ``docs`` that hold no benchmark item (a short one: less than half of the text), with all their columns; a pass for each slice, no shuffle."""
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     for part in slices(benchmark, slice_bytes):
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
@@ -213,7 +255,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", sl
         def run(batches, index=index):
             for batch in parts(batches):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not index.value.find(normal(t)) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not index.value.holds_item(normal(t)) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

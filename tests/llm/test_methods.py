@@ -290,3 +290,20 @@ def test_prose_with_at_and_dots_stays():
     for text in ("visit us at www.example.com", "We looked at example.org today", "we met at home.Then we left", "put it at every dot on the line",
                  "see the page at site.org/page", "look at polka dot dresses", "one 2 two 3 three"):
         assert pii.masked(text.encode()) == text
+
+
+def test_any_part_of_100_characters_is_found():
+    rnd = random.Random(31)
+    item = "".join(rnd.choice("abcdefghijklmnop") for _ in range(394))
+    index = decontam.Index([(7, item), (8, "".join(rnd.choice("abcdefghijklmnop") for _ in range(230)))])
+    for k in range(len(item) - 99):
+        assert [r[0] for r in index.find(f"zz yy {item[k:k + 100]} xx ww")] == [7]
+
+
+def test_short_items_on_word_borders(spark):
+    items = [(1, "What is the capital of France?"), (2, "x = 4"), (3, "What is the capital of  france?"), (4, ""), (5, None)]
+    docs = [(10, "what is the capital of FRANCE?"), (11, "x = 42"), (12, "Solve: x = 4, please, and explain in full sentences"), (13, "wax = 4"), (14, None)]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in decontam.find_leaks(docs, items).collect()}
+    assert got == {(10, 1, 0, 30, 0, True), (10, 3, 0, 30, 0, True), (12, 2, 7, 12, 0, True)}
+    assert {r["doc_id"] for r in decontam.keep_clean(docs, items).collect()} == {11, 12, 13, 14}
