@@ -10,8 +10,10 @@ there.
 
 Defined results: null text counts as empty; an empty text has no spans; a very
 long text is one layer like any other; repeated rows give one row each; other
-columns of the table are ignored. Decompression stops at ``max_layer_bytes`` of
-output for one layer, against compression bombs; what was decoded up to there is scanned.
+columns of the table are ignored. Decoded bytes that are not text are scanned too, with replacement of bad
+bytes, and once more without the NUL bytes between characters (UTF-16, UTF-32). Base64 goes on over line breaks.
+Decompression stops at ``max_layer_bytes`` of output for one layer, against compression bombs; what was decoded up
+to there is scanned.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -46,7 +49,11 @@ ESCAPE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f
 ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 TOKEN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 LONG_TOKEN64 = re.compile(rb"[A-Za-z0-9+/_-]{12}")
+WRAPPED64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
+WIDE = re.compile(rb"[\t\r\n\x20-\x7e](?:\x00{1,3}[\t\r\n\x20-\x7e]){5,}")
 MAX_LAYER_BYTES = 64 << 20
+SPACES = str.maketrans("\t\r\n", "   ")
 
 
 def scan(text: str) -> list:
@@ -102,34 +109,60 @@ def inflate(data: bytes, most: int) -> bytes:
     return data
 
 
+def decoded(body: str, most: int):
+    """The texts of a base64 string that may hold a secret or a layer, or are plain text."""
+    body = body.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    for block in [inflate(data, most)]:
+        wide = b"\n".join(m[0].replace(b"\0", b"") for m in WIDE.finditer(block)) if b"\0" in block else b""
+        for raw in (block, wide):
+            text = None
+            if may_hold_secret(raw) or may_hold_layer(raw):
+                text = raw.decode("utf-8", "replace")
+            elif (plain := raw.decode("utf-8", "replace")).translate(SPACES).isprintable() and "\ufffd" not in plain:
+                text = plain
+            if text:
+                yield text
+
+
 def base64_layers(layer: Mapped, most: int):
-    for m in TOKEN64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = inflate(base64.b64decode(body + "=" * (-len(body) % 4), validate=True), most)
-            text = data.decode("utf-8")
-        except (binascii.Error, UnicodeDecodeError, ValueError):
-            continue
-        if text and all(c.isprintable() or c in "\t\r\n" for c in text):
-            a, b = layer.source(m.start(), m.end())
-            yield Mapped(text, np.full(len(text), a), np.full(len(text), b))
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN64.finditer(layer.text)]
+    tokens += [(m.start(), m.end(), BREAK.sub("", m[0])) for m in WRAPPED64.finditer(layer.text)]
+    for start, end, body in tokens:
+        place = None
+        for text in decoded(body, most):
+            a, b = place = place or layer.source(start, end)
+            yield Mapped(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+
+
+def sublayers(layer: Mapped, most: int):
+    for make in (url_layer, escape_layer):
+        if (new := make(layer)) is not None:
+            yield new
+    yield from base64_layers(layer, most)
 
 
 def scan_layers(text: str, most: int = MAX_LAYER_BYTES) -> tuple:
     """Spans (kind, start, end) found only in decoded layers, and the number of layers."""
-    work, seen, found = [Mapped(text)], set(), set()
-    while work:
-        layer = work.pop()
-        key = (layer.text, int(layer.start[0]) if len(layer.text) else 0, int(layer.end[-1]) if len(layer.text) else 0)
+    work, seen, found = [iter([Mapped(text)])], set(), set()
+    while work:  # layers are made one by one, so few are held at a time
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = (xxhash.xxh3_128_intdigest(layer.text.encode("utf-8", "surrogatepass")),
+               int(layer.start[0]) if len(layer.text) else 0, int(layer.end[-1]) if len(layer.text) else 0)
         if key in seen:
             continue
         seen.add(key)
         if len(seen) > 1:
             found.update((kind, *layer.source(a, b)) for kind, a, b in scan(layer.text))
-        work += [x for x in (url_layer(layer), escape_layer(layer)) if x is not None]
-        work += base64_layers(layer, most)
+        work.append(sublayers(layer, most))
     return found, len(seen) - 1
 
 

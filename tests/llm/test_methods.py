@@ -307,3 +307,27 @@ def test_short_items_on_word_borders(spark):
     got = {tuple(r) for r in decontam.find_leaks(docs, items).collect()}
     assert got == {(10, 1, 0, 30, 0, True), (10, 3, 0, 30, 0, True), (12, 2, 7, 12, 0, True)}
     assert {r["doc_id"] for r in decontam.keep_clean(docs, items).collect()} == {11, 12, 13, 14}
+
+
+SECRET = "password = hunter22hunter"
+
+
+@pytest.mark.parametrize("data", [
+    SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), ("é " + SECRET).encode("utf-16-le"), SECRET.encode("utf-32"), ("\ufeff" + SECRET).encode(),
+    ("\x1b[31m" + SECRET).encode(), b"\x00\xff\x0c" + SECRET.encode(), ("a\u00a0b " + SECRET).encode(), gzip.compress(b"\x00\xfe" * 300 + SECRET.encode()),
+    base64.b64encode(SECRET.encode("utf-16")),
+])
+def test_secrets_in_layers_that_are_not_plain_text(data):
+    text = "before " + base64.b64encode(data).decode() + " after"
+    assert ("assign", 7, len(text) - 6) in secrets.scan_layers(text)[0]
+
+
+@pytest.mark.parametrize("wrap, columns", [(w, c) for w in ("\n", "\r\n", "\n  ", "\n> ", "\\n") for c in (16, 64, 76)])
+def test_secrets_in_wrapped_base64(wrap, columns):
+    rnd = random.Random(9)
+    noise = " ".join(rnd.choice("abcdefghijk") * rnd.randint(3, 9) + str(rnd.random()) for _ in range(20))
+    for data in ((noise + SECRET + noise).encode(), gzip.compress((noise + SECRET).encode())):
+        for shift in range(0, columns, 5):
+            body = base64.b64encode(b"x" * shift + data if data[:1] != b"\x1f" else data).decode()
+            text = "key: " + wrap.join(body[k:k + columns] for k in range(0, len(body), columns)) + " end"
+            assert ("assign", 5, len(text) - 4) in secrets.scan_layers(text)[0]
