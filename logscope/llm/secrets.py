@@ -12,8 +12,8 @@ Defined results: null text counts as empty; an empty text has no spans; a very
 long text is one layer like any other; repeated rows give one row each; other
 columns of the table are ignored. Decoded bytes that are not text are scanned too, with replacement of bad
 bytes, and once more without the NUL bytes between characters (UTF-16, UTF-32). Base64 goes on over line breaks.
-Decompression stops at ``max_layer_bytes`` of output for one layer, against compression bombs; what was decoded up
-to there is scanned.
+Compressed data is decompressed to its end, member after member; more than ``max_layer_bytes`` of output are scanned in
+blocks of that size that overlap by a quarter, so memory is bounded and output is not.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ import bz2
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
@@ -53,6 +55,7 @@ WRAPPED64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}(?:[ \t]*(?:\r?
 BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
 WIDE = re.compile(rb"[\t\r\n\x20-\x7e](?:\x00{1,3}[\t\r\n\x20-\x7e]){5,}")
 MAX_LAYER_BYTES = 64 << 20
+PIECE = 1 << 20
 SPACES = str.maketrans("\t\r\n", "   ")
 
 
@@ -88,28 +91,91 @@ def escape_layer(layer: Mapped):
     return layer.rewrite(edits) if edits else None
 
 
-def inflate(data: bytes, most: int) -> bytes:
-    """``data`` decompressed, if it is compressed; layers inside are unwrapped too."""
-    seen = set()
-    while data not in seen:
-        seen.add(data)
+def opener(head: bytes):
+    """The decompressor of the format that ``head`` starts with, if any."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def pull(tool, data: bytes) -> tuple:
+    """Some output for ``data``, and what of it is still to be given."""
+    if hasattr(tool, "needs_input"):  # bz2 and lzma hold their input
+        return tool.decompress(data, PIECE), b""
+    if hasattr(tool, "copy"):  # zlib
+        return tool.decompress(data, PIECE), tool.unconsumed_tail
+    return tool.decompress(data[:256]), data[256:]  # zstd has no limit on output, so little input at a time
+
+
+def members(pieces: Iterator) -> Iterator:
+    """Decompressed pieces of compressed members that follow one another; what is not compressed as it is."""
+    data = next(pieces, b"")
+    while data:
+        while len(data) < 6 and (more := next(pieces, b"")):
+            data += more
+        tool, whole, any_output = opener(data), data, False
+        if tool is None:
+            yield data
+            yield from pieces
+            return
         try:
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompressobj(31).decompress(data, most)
-            elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-                data = zlib.decompressobj().decompress(data, most)
-            elif data[:3] == b"BZh":
-                data = bz2.BZ2Decompressor().decompress(data, most)
-            elif data[:6] == b"\xfd7zXZ\x00":
-                data = lzma.LZMADecompressor().decompress(data, most)
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                data = zstandard.ZstdDecompressor().stream_reader(data).read(most)
+            while not tool.eof:
+                out, data = pull(tool, data)
+                if out:
+                    any_output = True
+                    yield out
+                elif not data and not (data := next(pieces, b"")):
+                    return  # cut off: what there was has been given
+            data = tool.unused_data + data
         except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            if not any_output:
+                yield whole
+                yield from pieces
+                return
+            following = whole.find(whole[:3], 3)  # a damaged member: the next one of its kind goes on
+            data = whole[following:] if following > 0 else b""
+        if not data:
+            data = next(pieces, b"")
+
+
+def unpacked(data: bytes, most: int) -> Iterator:
+    """``data`` in overlapping blocks, decompressed as long as it is compressed."""
+    pieces, seen = iter([data]), set()
+    while True:
+        head, size = [], 0
+        for p in pieces:
+            head.append(p)
+            size += len(p)
+            if size >= most:
+                break
+        head = b"".join(head)
+        if opener(head) is None or (digest := xxhash.xxh3_128_intdigest(head)) in seen:
             break
-    return data
-
-
-def decoded(body: str, most: int):
+        seen.add(digest)
+        pieces = members(chain([head], pieces))
+    block = bytearray()
+    new = False
+    for p in chain([head], pieces):
+        for k in range(0, len(p), most):
+            block += p[k:k + most]
+            new = True
+            if len(block) > most:
+                yield bytes(block)
+                del block[:-(most // 4 + 1)]
+                new = False
+    if new:
+        yield bytes(block)
+
+
+def decoded(body: str, most: int) -> Iterator:
     """The texts of a base64 string that may hold a secret or a layer, or are plain text."""
     body = body.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -118,7 +184,7 @@ def decoded(body: str, most: int):
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return
-    for block in [inflate(data, most)]:
+    for block in unpacked(data, most):
         wide = b"\n".join(m[0].replace(b"\0", b"") for m in WIDE.finditer(block)) if b"\0" in block else b""
         for raw in (block, wide):
             text = None

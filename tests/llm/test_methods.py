@@ -331,3 +331,23 @@ def test_secrets_in_wrapped_base64(wrap, columns):
             body = base64.b64encode(b"x" * shift + data if data[:1] != b"\x1f" else data).decode()
             text = "key: " + wrap.join(body[k:k + columns] for k in range(0, len(body), columns)) + " end"
             assert ("assign", 5, len(text) - 4) in secrets.scan_layers(text)[0]
+
+
+def test_secrets_in_later_members_and_beyond_the_block():
+    import bz2
+    import lzma
+
+    import zstandard
+    pack = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    b64 = lambda data: base64.b64encode(data).decode()
+    found = lambda text, *most: any(k == "assign" for k, _, _ in secrets.scan_layers(text, *most)[0])
+    for one in pack:
+        assert found(b64(one(b"first\n") + one(SECRET.encode())))
+        assert found(b64(one(one(b"first\n") + one(SECRET.encode()))))
+        for before in (0, 990, 2000, 5000, 3 << 20):
+            for sign in (b"-", "é".encode()):
+                assert found(b64(one(sign * before + b" " + SECRET.encode() + b" " + b"+" * 3000)), 2000 if before < 10000 else 1 << 19)
+        assert not found(b64(one(b"nothing") + one(b"here")))
+    for one in pack[:2]:
+        assert found(b64(one(SECRET.encode() * 50 + random.Random(1).randbytes(90000))[:80000]))  # cut off
+    assert found(b64(gzip.compress(b"first\n") + bz2.compress(SECRET.encode())))
