@@ -4,12 +4,11 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from logscope.session import ensure_checkpoint_dir, get_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,18 +21,3 @@ def spark():
 @pytest.fixture()
 def workdir():
     return tempfile.mkdtemp(prefix="logscope-test-", dir="/tmp")
-
-
-def record(uuid="m-1", parent=None, content="An opening line", ts="2031-03-05T04:06:07.089Z", role="user", **over):
-    import json
-    r = {"parentUuid": parent, "isSidechain": False, "userType": "tester", "cwd": "/home/t",
-         "sessionId": "s-9", "version": "7.8.9", "gitBranch": "trunk", "type": role,
-         "message": {"role": role, "content": content}, "uuid": uuid, "timestamp": ts}
-    r.update(over)
-    return json.dumps(r, ensure_ascii=False)
-
-
-def write_file(path, lines, newline="\n"):
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(newline.join(lines) + newline)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL, record, write_file
+from helpers import SF_SMALL, record, write_file
 from logscope.operators import search as S
 from logscope.operators import upsert, validate
 from logscope.plans import registry

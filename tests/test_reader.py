@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from conftest import record, write_file
+from helpers import record, write_file
 from logscope.operators.reports import list_projects
 from logscope.operators import validate
 from logscope.sources.jsonl import read_lines

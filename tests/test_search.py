@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from logscope.operators import bm25
 from logscope.operators import search as S
 from logscope.schema import RESULT_SCHEMA

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import record, write_file
+from helpers import record, write_file
 from logscope.plans.importer import import_logs, sync
 from logscope.plans.store import MessageStore
 

@@ -1,6 +1,6 @@
 import os
 
-from conftest import record, write_file
+from helpers import record, write_file
 from logscope.plans.store import MessageStore
 from logscope.streaming.sync_stream import start_sync_stream
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import record, write_file
+from helpers import record, write_file
 from logscope.operators import lines as line_ops
 from logscope.operators import validate
 from logscope.sources.jsonl import read_lines
