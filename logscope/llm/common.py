@@ -54,6 +54,16 @@ def parts(batches, rows: int = 512):
     free()
 
 
+def cut_at_spaces(text: bytes, size: int = 1 << 20):
+    """``text`` in pieces of about ``size`` that end at spaces, so that few words at a time become objects."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 def free() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task, beside others."""
     pa.default_memory_pool().release_unused()
