@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,38 @@ def free() -> None:
         pass
 
 
+def whole_groups(batches, keys: list, rows: int):
+    """Batches sorted by ``keys`` -> tables of about ``rows`` rows that hold whole groups."""
+    held: list = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table.column(c) for c in keys]
+        last = [c[table.num_rows - 1] for c in columns]
+        k = bisect_left(range(table.num_rows), True, key=lambda i: [c[i] for c in columns] == last)
+        if k:
+            yield table.slice(0, k)
+        held, count = table.slice(k).to_batches(), table.num_rows - k
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_starts(table: pa.Table, keys: list) -> np.ndarray:
+    """Whether a row differs from the one before it in ``keys`` (no nulls)."""
+    new = np.ones(table.num_rows, bool)
+    for c in keys if table.num_rows else ():
+        column = table.column(c).combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+        differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = differs if c == keys[0] else new[1:] | differs
+    return new
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once for each distinct word seen."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import bpe, decontam, langid, neardup, pii, quality, secrets, sharding, spelling, substring, suffix
+from logscope.llm import bpe, decontam, divergence, langid, neardup, oracle, pii, quality, secrets, sharding, spelling, substring, suffix
 from logscope.llm.common import kept, span_digest, table
 
 
@@ -78,11 +78,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_decontamination, op5_quality_rules, op6_sharding,
-    op7_superminhash, op8_pii, op9_language_id, op10_bpe, op13_spelling_variants)}
-ORACLE: dict = {}
+    op7_superminhash, op8_pii, op9_language_id, op10_bpe, op11_source_divergence, op13_spelling_variants)}
+ORACLE = {"op11_source_divergence": oracle.OP11}

@@ -24,7 +24,6 @@ taken in pieces, words may have any length. Ties go to the smallest word.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscope.llm.common import cut_at_spaces, free, id_and_text, kept, parts
+from logscope.llm.common import cut_at_spaces, free, group_starts, id_and_text, kept, parts, whole_groups
 
 # Fixed values of the contract: Latin-1 letters U+00C0 to U+00FF count, only A-Z are lower-cased.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -184,10 +183,7 @@ def _search(rows: pa.Table) -> pa.Table:
     side, f, kind, lo = (rows.column(c).to_numpy() for c in ("side", "f", "class", "lo"))
     n = rows.column("n").to_numpy()
     words, lists = rows.column("word").to_pylist(), [s.encode("latin-1") for s in rows.column("s").to_pylist()]
-    heads, tails = rows.column("head").to_pylist(), rows.column("tail").to_pylist()
-    new = np.ones(len(words), bool)
-    new[1:] = [side[k] != side[k - 1] or f[k] != f[k - 1] or kind[k] != kind[k - 1] or lo[k] != lo[k - 1]
-               or heads[k] != heads[k - 1] or tails[k] != tails[k - 1] for k in range(1, len(words))]
+    new = group_starts(rows, BLOCK)
     listed = _List(lists, np.cumsum(new))
     runs = np.flatnonzero(new & np.concatenate(([True], lo[1:] != lo[:-1])))
     found = [listed.near(a, b, int(lo[a])) for a, b in zip(runs, [*runs[1:], len(words)])]
@@ -221,27 +217,9 @@ BLOCK = ["side", "f", "class", "lo", "head", "tail"]
 
 
 def _searched(batches):
-    """Blocks come in sorted order; all but the last of what has arrived are whole."""
-    held: list = []
-    count = 0
-
-    def done(rows: pa.Table):
+    """Blocks come in sorted order and are searched whole."""
+    for rows in whole_groups(batches, BLOCK, RUN):
         yield from _search(rows).to_batches()
-
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count < RUN:
-            continue
-        rows = pa.Table.from_batches(held).combine_chunks()
-        keys = [rows.column(c) for c in BLOCK]
-        last = [c[rows.num_rows - 1] for c in keys]
-        k = bisect_left(range(rows.num_rows), True, key=lambda i: [c[i] for c in keys] == last)
-        if k:
-            yield from done(rows.slice(0, k))
-        held, count = rows.slice(k).to_batches(), rows.num_rows - k
-    if count:
-        yield from done(pa.Table.from_batches(held).combine_chunks())
     free()
 
 
