@@ -36,3 +36,38 @@ ranked AS (
          row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+# Chat formatting: the digests from the turns themselves, the sizes from the windows laid out again
+# (budget 1024, history 128 tokens and 8 turns, stretches of 320 tokens, blocks of 512 turn numbers).
+OP12 = r"""
+WITH c AS (
+  SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (
+  SELECT *, turn // 512 AS block, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+         len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}{1,3}|[^\x{09}-\x{0D}\x{20}\p{L}\p{M}\p{N}]')) + 4 AS tokens,
+         12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11 AS chars
+  FROM c),
+r AS (
+  SELECT *, block AS b, false AS carried FROM t
+  UNION ALL SELECT *, block + 1 AS b, true AS carried FROM t WHERE turn % 512 >= 504),
+s AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id, b ORDER BY k ROWS UNBOUNDED PRECEDING) - tokens AS start FROM r),
+p AS (SELECT *, CASE WHEN NOT carried THEN (start // 320) * 2 + (tokens > 320)::INTEGER END AS place FROM s),
+w AS (SELECT conv_id, b, place, min(start) AS begins, min(turn) AS since FROM p WHERE place IS NOT NULL GROUP BY ALL),
+m AS (
+  SELECT w.conv_id, w.b, w.place, sum(p.chars) AS chars, min(p.k) AS k
+  FROM w JOIN p ON p.conv_id = w.conv_id AND p.b = w.b
+  WHERE p.place = w.place OR (p.start < w.begins AND w.begins <= p.start + 128 AND p.turn >= w.since - 8)
+  GROUP BY ALL),
+sized AS (
+  SELECT m.conv_id, count(*) AS n_windows, sum(m.chars + CASE WHEN m.k > 1 THEN coalesce(t.chars, 0) ELSE 0 END) AS formatted_chars
+  FROM m LEFT JOIN t ON t.conv_id = m.conv_id AND t.k = 1 AND t.role = 'system' GROUP BY ALL)
+SELECT t.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       any_value(formatted_chars)::BIGINT AS formatted_chars, any_value(n_windows) AS n_windows
+FROM t JOIN sized USING (conv_id) GROUP BY t.conv_id
+"""
