@@ -142,3 +142,52 @@ def op10(rows, path):
         ids = t.encode(text or "", add_special_tokens=False).ids
         out.append((d, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
     return out
+
+
+def op13_counts(rows, least_length=7):
+    counts = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= least_length:
+                counts[run] += 1
+    return counts
+
+
+def variants(words):
+    """(word, form, root, n, n_near, form_n) by deleting every character once."""
+    by_rest, near = defaultdict(set), defaultdict(set)
+    for w in words:
+        for k in range(len(w)) if len(w) < 1000 else ():
+            rest = w[:k] + w[k + 1:]
+            by_rest[k, rest].add(w)
+            if rest in words:
+                near[w].add(rest)
+                near[rest].add(w)
+    long = [w for w in words if len(w) >= 1000]
+    for a in long:  # few: a common prefix and suffix that leave one character
+        for b in long:
+            if a != b and abs(len(a) - len(b)) <= 1:
+                p = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                if a[p + (len(a) >= len(b)):] == b[p + (len(b) >= len(a)):]:
+                    near[a].add(b)
+    for group in by_rest.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+    return sorted((w, form[w], root(w), n, len(near[w]), words[form[w]] if form[w] else None) for w, n in words.items())
+
+
+def op13(rows):
+    return variants({w: n for w, n in op13_counts(rows).items() if n >= 2})

@@ -28,5 +28,6 @@ def sf_dir(spark, rows, workdir):
 def empty_dir(spark, workdir):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{workdir}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{workdir}/labels.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{workdir}/conversations.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{workdir}/benchmark.parquet")
     return workdir
