@@ -38,37 +38,46 @@ def new_rows(batch: DataFrame, table: DataFrame) -> DataFrame:
     return batch.join(table.select("uuid"), "uuid", "left_anti")
 
 
-def number_rows(df: DataFrame, order: list[str], coarse: list[Column], fine: list[Column],
-                base: Column | int = 0, name: str = "id") -> DataFrame:
+def range_offsets(sizes: DataFrame, keys: list[str], size: str = "_n", out: str = "_before", ranges: int | None = None) -> DataFrame:
+    """``sizes`` (one row per key, ``size`` rows each) with ``out``: the rows of all smaller keys, by a two-level prefix sum.
+
+    The keys are dealt into ``ranges`` (default: the shuffle partitions) of neighbouring keys, which a
+    checkpoint fixes. Sums run inside each range, in a task of its own; the totals of the ranges, one
+    number each, become the offsets of the ranges. No task sees more than one range.
+    """
+    spark = sizes.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialised(sizes.select(*keys, size).repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.sum(size).alias("n"))
+    listed = totals.agg(F.sort_array(F.collect_list(F.struct("_range", "n"))).alias("t"))  # a number per range
+    earlier = lambda r: F.aggregate(F.filter("t", lambda x: x["_range"] < r), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    starts = listed.select(F.map_from_entries(F.transform("t", lambda x: F.struct(x["_range"], earlier(x["_range"]))))).scalar()
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inside", inside).withColumn(out, F.col("_inside") + starts[F.col("_range")]).drop("_range", "_inside")
+
+
+def number_rows(df: DataFrame, order: list[str], keys: list[Column],
+                base: Column | int = 0, name: str = "id", ranges: int | None = None) -> DataFrame:
     """Dense 1-based numbers in ``order``, offset by ``base``, without a single-partition window.
 
-    ``coarse`` and ``fine`` are keys computed from the data that never decrease
-    along ``order``; a (coarse, fine) group must be small enough for one task,
-    and the number of coarse keys small enough for one task as well (one row
-    each). Rows are counted per group, the counts become offsets - within a
-    coarse key by a window over its groups, across coarse keys by one window
-    over a row per key - and rows are numbered inside their group. Nothing
-    depends on how rows happen to be partitioned, so plan changes at run time
-    cannot change a number. ``df`` is read twice; pass a materialised frame.
+    ``keys`` are computed from the data, never decrease along ``order`` (compared one after the other), and group
+    few enough rows for one task. Rows are counted per group, the counts become offsets
+    (see :func:`range_offsets`), and rows are numbered inside their group. Numbers follow from the data
+    alone: neither ranges nor plan changes at run time can change one. ``df`` is read twice; pass a materialised frame.
     """
-    c_names, f_names = [f"_c{k}" for k in range(len(coarse))], [f"_f{k}" for k in range(len(fine))]
-    keyed = df.withColumns(dict(zip([*c_names, *f_names], [*coarse, *fine])))
-    sizes = keyed.groupBy(*c_names, *f_names).agg(F.count(F.lit(1)).alias("_n"))
-    inside = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*c_names).orderBy(*f_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = sizes.groupBy(*c_names).agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(
-        Window.orderBy(*c_names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    offsets = inside.drop("_n").join(before, c_names)
+    names = [f"_k{k}" for k in range(len(keys))]
+    keyed = df.withColumns(dict(zip(names, keys)))
+    offsets = range_offsets(keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), names, ranges=ranges).drop("_n")
     base_col = base if isinstance(base, Column) else F.lit(base)
-    rank = F.row_number().over(Window.partitionBy(*c_names, *f_names).orderBy(*order))
-    return (keyed.withColumn("_rank", rank).join(offsets, [*c_names, *f_names])
-            .withColumn(name, (base_col + F.col("_before") + F.col("_in") + F.col("_rank")).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return (keyed.withColumn("_rank", rank).join(offsets, names)
+            .withColumn(name, (base_col + F.col("_before") + F.col("_rank")).cast("long"))
             .select(*df.columns, name))
 
 
 def number_batch(batch: DataFrame, base: Column | int = 0) -> DataFrame:
     """Ids in source order: by file, then split, then position; a split is bounded by the reader."""
-    return number_rows(batch, ORDER_COLUMNS, [F.col("file_path")], [F.col("block_start")], base)
+    return number_rows(batch, ORDER_COLUMNS, [F.col("file_path"), F.col("block_start")], base)
 
 
 def materialised(df: DataFrame) -> DataFrame:

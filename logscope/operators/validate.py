@@ -2,7 +2,7 @@
 
 A line is valid when it is a JSON object whose required fields are present
 with the exact JSON type, optional fields are a string or null, ``message`` is
-an object, and ``timestamp`` is an RFC 3339 date-time with an offset. Unknown
+an object, its bytes are valid UTF-8 (the reader keeps bytes as they are; U+FFFD itself is a character like any other), and ``timestamp`` is an RFC 3339 date-time with an offset. Unknown
 fields are ignored. ``from_json`` is not used: it casts numbers to strings and
 fills missing fields with NULL, which would let invalid records through.
 
@@ -23,7 +23,6 @@ from logscope.schema import MESSAGE_FIELDS, RECORD_COLUMNS, RECORD_FIELDS
 # or a space, optional fraction.
 ASCII_WS = " \t\n\r\x0b\x0c"
 TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-REPLACEMENT_CHAR = "\ufffd"
 
 
 def trim_line(df: DataFrame, value: str = "value", out: str = "raw") -> DataFrame:
@@ -58,7 +57,7 @@ def record_error(v: Column, raw: Column) -> Column:
     """Detailed reason a line is rejected, or NULL for a valid record (first
     failing check in field order wins)."""
     checks: list[tuple[Column, str]] = [
-        (raw.contains(REPLACEMENT_CHAR), "invalid UTF-8"),
+        (~F.is_valid_utf8(raw), "invalid UTF-8"),
         (v.isNull(), "invalid JSON"),
         (F.try_variant_get(v, "$", "map<string,variant>").isNull(), "expected a JSON object"),
     ]
@@ -159,7 +158,7 @@ def quick_error(v: Column, raw: Column) -> Column:
     msg = _shape(v, "$.message", _MSG_VARIANTS)
     ts = F.try_variant_get(v, "$.timestamp", "string")
     return F.coalesce(
-        F.when(raw.contains(REPLACEMENT_CHAR), F.lit("invalid UTF-8")),
+        F.when(~F.is_valid_utf8(raw), F.lit("invalid UTF-8")),
         F.when(v.isNull(), F.lit("invalid JSON")),
         F.when(top.isNull(), F.lit("expected a JSON object")),
         F.when(_repeated_field(raw).isNotNull(), F.lit("invalid record")),
@@ -175,7 +174,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Input columns: ``file_path``, ``block_start``, ``pos``, ``value`` (plus any
     others, kept). Blank lines are dropped here. Output adds ``error`` (NULL
     when valid), ``raw`` (the trimmed line) and the record columns, which are
-    NULL for invalid lines.
+    NULL for invalid lines. Sets ``spark.sql.variant.allowDuplicateKeys`` on the session
+    (``get_session`` sets it as well), since a repeated key must not fail the parse.
     """
     # A repeated key must not fail the parse: unknown fields are ignored, and record fields are checked by name.
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -221,9 +221,13 @@ def valid_records(parsed: DataFrame) -> DataFrame:
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
-    """Rejected lines with the reason spelled out per field (evaluated for these rows only)."""
+    """Rejected lines with the reason spelled out per field (evaluated for these rows only).
+
+    Bytes that are not UTF-8 are shown as U+FFFD in ``raw``.
+    """
     bad = parsed.where(F.col("error").isNotNull())
-    return bad.withColumn("error", F.coalesce(record_error(F.try_parse_json(F.col("raw")), F.col("raw")), F.col("error")))
+    reason = F.coalesce(record_error(F.try_parse_json(F.col("raw")), F.col("raw")), F.col("error"))
+    return bad.withColumns({"error": reason, "raw": F.make_valid_utf8("raw")})
 
 
 def fail_fast(parsed: DataFrame) -> DataFrame:

@@ -256,6 +256,9 @@ UNION ALL
         "favorite_unmark": _with(MESSAGES) + (
             f"SELECT {fav_cols}, CASE WHEN message_role = 'assistant' THEN false ELSE is_favorite END AS is_favorite FROM messages"),
         "sync_new_only": _with(MESSAGES, INCOMING) + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base),
+        "sync_appended": _with(MESSAGES) + (
+            "SELECT file_path, turn + 1 AS line_no, CASE WHEN message_role <> 'system' THEN uuid END AS uuid FROM messages "
+            f"WHERE conv_id % {R.REWRITTEN} = 0 OR turn >= 3"),
         "import_force_inserted": _with(MESSAGES, INCOMING, "firsts AS (SELECT * FROM valid_in QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path, pos) = 1)")
             + _new_rows("uuid NOT IN (SELECT uuid FROM existing)", base).replace("FROM batch", "FROM firsts"),
         "bm25_persisted_index": _ranked(R.BM25_OR, "or"),

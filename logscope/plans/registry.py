@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logscope.functions.dates import resolve_date
 from logscope.functions.text import split_keywords
 from logscope.operators import bm25, favorites, lines as line_ops, reports, search as S, upsert, validate
+from logscope.plans.sync import appended_lines, plan_sync
 from logscope.schema import RECORD_COLUMNS
 from logscope.session import ensure_checkpoint_dir
 from logscope.sources import testdata as td
@@ -51,6 +52,7 @@ PHRASES = [
     "7 days", "abc days ago", "-5 days ago", "", "tomorrow", "invalid date",
 ]
 ROLE_PARAM = "user"
+REWRITTEN = 3   # sessions divisible by it had other first lines when they were loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,9 +113,9 @@ def _ranked(terms, mode, limit=None):
 
 def q_rank_desc(spark, sf):
     ranked = upsert.materialised(_ranked(RANK_TERMS, "or")(spark, sf).withColumn("_neg_rank", -F.col("rank")))
-    # A rank rounded to six decimals has at most 1,000 values for each thousandth; ids come in ranges.
-    return upsert.number_rows(ranked, ["_neg_rank", "id"], [F.floor(F.col("_neg_rank") * 1000)],
-                              [F.col("_neg_rank"), F.floor(F.col("id") / F.lit(1 << 20))], name="position").drop("_neg_rank")
+    # Rows of one rank are cut by ranges of ids.
+    return upsert.number_rows(ranked, ["_neg_rank", "id"], [F.col("_neg_rank"), F.floor(F.col("id") / F.lit(1 << 20))],
+                              name="position").drop("_neg_rank")
 
 
 def q_result_preview(spark, sf):
@@ -302,11 +304,18 @@ def q_favorite_unmark(spark, sf):
 
 def q_sync_new_only(spark, sf):
     """Sync against the manifest of the earlier load, when each session had its first turns."""
-    from logscope.plans.sync import plan_sync
     return plan_sync(td.existing_table(spark, sf), td.incoming_lines(spark, sf), td.listing(spark, sf),
                      td.listing(spark, sf, td.EXISTING_TURNS), _now())
 
 
+def q_sync_appended(spark, sf):
+    """Lines that session files gained since each had its first turns; every third file was rewritten instead, and is read whole."""
+    numbered = td.source_lines(spark, sf).withColumn("line_no", F.col("pos") + 1)
+    loaded = td.loaded_lines(spark, sf, REWRITTEN).groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(line_ops.line_hash()).alias("checksum"))
+    return validate.parse_lines(appended_lines(numbered, loaded)).select("file_path", "line_no", "uuid")
+
+
 def q_list_favorites(spark, sf):
     return S.list_favorites(_msgs(spark, sf))
 
@@ -374,4 +383,5 @@ QUERIES: dict[str, Query] = {
     "favorite_mark": q_favorite_mark,
     "favorite_unmark": q_favorite_unmark,
     "sync_new_only": q_sync_new_only,
+    "sync_appended": q_sync_appended,
 }

@@ -2,16 +2,20 @@
 
 Layout, below one root folder:
 
-* ``messages/bkt=N/`` - the rows, by a hash of the uuid into a number of
+* ``messages/bkt=N/`` (after a full re-import ``messages-<sequence>/bkt=N/``) - the rows, by a hash of the uuid into a number of
   buckets fixed when the store is made. An edited message touches its bucket
   and no other; new messages are appended to their buckets. Inside a bucket
   rows are sorted by (``project_path``, ``timestamp``), so project and date
   filters skip row groups by their statistics;
 * ``favorites/`` - changes of favourite flags (uuid, flag, sequence), appended
   and joined at read: the newest change of a uuid counts. No message is rewritten;
-* ``log/`` - a row per write: buckets, the largest id handed out, rows written. Ids are
+* ``log/`` - a row per write: buckets, the largest id handed out, rows written, generation. Ids are
   reserved here before rows are written, so a failed write leaves a gap, never a repeated id;
-* ``files/`` - the manifest of loaded files (path, modification time, length).
+* ``files/`` - the manifest of loaded files (path, modification time, length, finished lines and their checksum).
+
+A full re-import writes a new generation of the rows and then one row of the log, which switches all
+readers over: favourites and loaded files from before its sequence count no more, and a failure on the
+way leaves everything as it was.
 
 There is no transactional table format: one writer at a time, and every job is
 safe to repeat (keys are uuids). Each write is staged once in a reliable
@@ -39,9 +43,9 @@ PARTITION = "bkt"
 BUCKETS = 64
 LAYOUT = [PARTITION, "project_path", "timestamp"]
 STORED_SCHEMA = T.StructType(list(MESSAGE_SCHEMA.fields) + [T.StructField(PARTITION, T.IntegerType())])
-LOG_SCHEMA = "seq long, kind string, buckets int, max_id long, rows long"
+LOG_SCHEMA = "seq long, kind string, buckets int, max_id long, rows long, gen long"
 FAVORITE_SCHEMA = "uuid string, fav boolean, seq long"
-FILE_SCHEMA = "file_path string, file_mtime timestamp, length long, seq long"
+FILE_SCHEMA = "file_path string, file_mtime timestamp, length long, lines long, checksum decimal(38,0), seq long"
 QUARANTINE_SCHEMA = "file_path string, line_no long, error string, raw string, load_date date"
 
 
@@ -69,13 +73,21 @@ class MessageStore:
     def __init__(self, spark: SparkSession, root: str, quarantine_root: str | None = None, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.table_root = f"{self.root}/messages"
         self.quarantine_root = quarantine_root or self.root + "_quarantine"
         self._buckets = buckets
 
     # -- schema --------------------------------------------------------------
+    @property
+    def table_root(self) -> str:
+        """The folder of the current generation of rows."""
+        return self._folder(self._state()["gen"])
+
+    def _folder(self, gen: int) -> str:
+        return f"{self.root}/messages-{gen}" if gen else f"{self.root}/messages"
+
     def create_table(self, name: str) -> None:
-        """Register the table in the catalog (idempotent)."""
+        """Register the table in the catalog (idempotent; call it again after a full re-import)."""
+        self.drop_table(name)
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_SCHEMA.fields)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
                        f"PARTITIONED BY ({PARTITION}) LOCATION '{self.table_root}'")
@@ -100,7 +112,7 @@ class MessageStore:
 
     def favorites(self) -> DataFrame:
         """(uuid, fav): the newest change of each uuid."""
-        return (self._read(f"{self.root}/favorites", FAVORITE_SCHEMA).groupBy("uuid")
+        return (self._read(f"{self.root}/favorites", FAVORITE_SCHEMA).where(F.col("seq") > self._state()["gen"]).groupBy("uuid")
                 .agg(F.max_by("fav", F.struct("seq", "fav")).alias("fav")))
 
     def messages(self) -> DataFrame:
@@ -113,20 +125,25 @@ class MessageStore:
         return self._read(self.quarantine_root, QUARANTINE_SCHEMA)
 
     def loaded_files(self) -> DataFrame:
-        """(file_path, file_mtime, length) of the newest load of each file."""
-        return (self._read(f"{self.root}/files", FILE_SCHEMA).groupBy("file_path")
-                .agg(F.max_by(F.struct("file_mtime", "length"), "seq").alias("_f")).select("file_path", "_f.*"))
+        """(file_path, file_mtime, length, lines, checksum) of the newest load of each file."""
+        return (self._read(f"{self.root}/files", FILE_SCHEMA).where(F.col("seq") > self._state()["gen"]).groupBy("file_path")
+                .agg(F.max_by(F.struct("file_mtime", "length", "lines", "checksum"), "seq").alias("_f")).select("file_path", "_f.*"))
 
     def _log(self) -> DataFrame:
         return self._read(f"{self.root}/log", LOG_SCHEMA)
 
+    def _state(self) -> dict:
+        """Buckets, largest id handed out and current generation: one row per write is read, not the table."""
+        r = self._log().agg(F.max("buckets").alias("buckets"), F.max_by("max_id", "seq").alias("max_id"), F.max("gen").alias("gen")).first()
+        return {"buckets": r["buckets"] or self._buckets, "max_id": r["max_id"] or 0, "gen": r["gen"] or 0}
+
     def buckets(self) -> int:
         """The bucket count that the stored rows were laid out with."""
-        return self._log().agg(F.max("buckets")).first()[0] or self._buckets
+        return self._state()["buckets"]
 
     def max_id(self) -> int:
-        """The largest id handed out since the last overwrite (one row per write is read, not the table)."""
-        return self._log().agg(F.max_by("max_id", "seq")).first()[0] or 0
+        """The largest id handed out since the last overwrite."""
+        return self._state()["max_id"]
 
     # -- writes --------------------------------------------------------------
     def _stable(self, df: DataFrame) -> DataFrame:
@@ -135,18 +152,20 @@ class MessageStore:
     def _append(self, folder: str, rows: DataFrame) -> None:
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{folder}")
 
-    def _reserve(self, kind: str, max_id: int, rows: int, buckets: int) -> None:
-        self._append("log", self.spark.createDataFrame([(time.time_ns(), kind, buckets, max_id, rows)], LOG_SCHEMA))
+    def _reserve(self, kind: str, max_id: int, rows: int, buckets: int, gen: int | None = None) -> None:
+        """One row of the log; ``gen``: switch to that generation (its number is the sequence of the switch)."""
+        row = (gen or time.time_ns(), kind, buckets, max_id, rows, gen)
+        self._append("log", self.spark.createDataFrame([row], LOG_SCHEMA))
 
     def _bucketed(self, rows: DataFrame, buckets: int) -> DataFrame:
         return rows.withColumn(PARTITION, F.pmod(F.xxhash64("uuid"), F.lit(buckets)).cast("int"))
 
-    def _write(self, staged: DataFrame, mode: str, dynamic: bool) -> None:
+    def _write(self, staged: DataFrame, mode: str, dynamic: bool, folder: str | None = None) -> None:
         (staged.select(*TABLE_COLUMNS, PARTITION)
          .repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
          .write.mode(mode)
          .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-         .partitionBy(PARTITION).parquet(self.table_root))
+         .partitionBy(PARTITION).parquet(folder or self.table_root))
 
     def _checked(self, rows: DataFrame, expected: int, new_ids: tuple[int, int]) -> DataFrame:
         """Stage ``rows`` and compare them with the plan: how many, ids without repeats, new ids without gaps."""
@@ -227,14 +246,25 @@ class MessageStore:
         n = batch.count()
         rows = U.plan_new(batch, F.lit(now).cast("timestamp_ntz"), 0)
         staged = self._checked(self._bucketed(rows, buckets), n, (0, n))
-        self.spark.createDataFrame([], FAVORITE_SCHEMA).write.mode("overwrite").parquet(f"{self.root}/favorites")
-        self._write(staged, "overwrite", dynamic=False)
-        self._reserve("overwrite", n, n, buckets)
+        gen = time.time_ns()
+        self._write(staged, "overwrite", dynamic=False, folder=self._folder(gen))
+        self._reserve("overwrite", n, n, buckets, gen)  # readers see the new rows from here on
         return ImportResult(n, 0, 0, 0)
 
+    def vacuum(self) -> list[str]:
+        """Delete the rows of earlier generations; returns their folders. No reader may be using them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        current = self.table_root.rsplit("/", 1)[1]
+        old = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()
+               and s.getPath().getName().split("-")[0] == "messages" and s.getPath().getName() != current]
+        for p in old:
+            fs.delete(p, True)
+        return [p.getName() for p in old]
+
     def record_files(self, files: DataFrame) -> None:
-        """Add loaded files (file_path, file_mtime, length) to the manifest."""
-        rows = files.select("file_path", "file_mtime", "length", F.lit(time.time_ns()).alias("seq"))
+        """Add loaded files (file_path, file_mtime, length, lines, checksum) to the manifest."""
+        rows = files.select("file_path", "file_mtime", "length", "lines", "checksum", F.lit(time.time_ns()).alias("seq"))
         rows.write.mode("append").parquet(f"{self.root}/files")
 
     def set_favorites(self, changes: DataFrame) -> None:

@@ -110,6 +110,13 @@ def incoming_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(_lines(later, F.col("turn") + LATER_POS)))
 
 
+def loaded_lines(spark: SparkSession, sf_dir: str, rewritten: int) -> DataFrame:
+    """The lines that had been loaded: the first turns of each session; sessions divisible by ``rewritten`` had other texts then."""
+    m = messages(spark, sf_dir).where(F.col("turn") < EXISTING_TURNS)
+    other = F.when(F.col("conv_id") % rewritten == 0, F.concat("message_content", F.lit(EDIT_SUFFIX))).otherwise(F.col("message_content"))
+    return _lines(m.withColumn("message_content", other), F.col("turn"))
+
+
 def listing(spark: SparkSession, sf_dir: str, turns: int | None = None) -> DataFrame:
     """The session files as a file listing: last modified at the last turn, as long as their texts;
     with ``turns``, as they were when a session had that many turns."""

@@ -46,3 +46,49 @@ def test_files_at_root_and_empty_root(spark, workdir):
     write_file(f"{workdir}/top/p/y.jsonl", [record("b")])
     got = sorted((r.file_path.rsplit("/", 1)[1], r.project_path) for r in read_lines(spark, f"{workdir}/top").collect())
     assert got == [("x.jsonl", "top"), ("y.jsonl", "p")]
+
+
+def files_opened(df):
+    """The numFiles metric of the text scan of a plan that has run."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and "value#" in node.toString():
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        for inner in ("AdaptiveSparkPlanExec", "QueryStage"):
+            if inner in node.getClass().getSimpleName():
+                walk(node.executedPlan() if inner.startswith("Adaptive") else node.plan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_listed_files_alone_are_opened(spark, workdir):
+    """The wanted files stay a DataFrame; the scan opens these and no others, also names a glob would misread."""
+    from pyspark.sql import functions as F
+
+    from logscope.sources.jsonl import list_files
+    for k in range(40):
+        write_file(f"{workdir}/p{k % 5}/f[{k}]*{{a}}.jsonl", [record(f"u{k}")])
+    files = list_files(spark, workdir).where(F.col("file_path").rlike(r"f\[(7|23|31)\]"))
+    lines = read_lines(spark, workdir, files=files)
+    assert sorted(r.uuid for r in validate.valid_records(validate.parse_lines(lines)).select("uuid").collect()) == ["u23", "u31", "u7"]
+    lines = read_lines(spark, workdir, files=files)
+    lines.collect()
+    assert files_opened(lines) == [3]
+    assert read_lines(spark, workdir, files=files.limit(0)).count() == 0
+
+
+def test_shared_bits_let_no_line_through(spark, workdir):
+    """With a bitmap of 8 bits most files share a bit with a wanted one; their lines are dropped."""
+    from logscope.sources import jsonl
+    for k in range(30):
+        write_file(f"{workdir}/p/f{k}.jsonl", [record(f"u{k}")])
+    files = jsonl.list_files(spark, workdir).where("file_path like '%f3.jsonl'")
+    keep = jsonl.path_filter(files, bits=8)
+    listed = jsonl.list_files(spark, workdir)
+    assert 1 <= listed.where(keep(listed["file_path"])).count() < 30
+    assert read_lines(spark, workdir, files=files).count() == 1

@@ -255,3 +255,41 @@ def test_fail_fast_import_writes_nothing(spark, workdir):
     with pytest.raises(Exception):
         import_logs(spark, store, logs, skip_errors=False, now=T0)
     assert store.messages().count() == 0
+
+
+def test_failed_overwrite_leaves_rows_and_flags(spark, workdir, monkeypatch):
+    """Until the log's row is written the old rows and favourites stand; after it, neither counts; vacuum removes the files."""
+    import pytest
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table")
+    write_file(f"{logs}/p/s.jsonl", [record("a"), record("b")])
+    import_logs(spark, store, logs, now=T0)
+    store.mark_favorite([1])
+    real = store._reserve
+    monkeypatch.setattr(store, "_reserve", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    write_file(f"{logs}/p/s.jsonl", [record("a", content="new")])
+    with pytest.raises(OSError):
+        import_logs(spark, store, logs, mode="overwrite", now=T1)
+    assert {u: (r.is_favorite, r.message_content) for u, r in rows(store).items()} == {"a": (True, '"An opening line"'), "b": (False, '"An opening line"')}
+    monkeypatch.setattr(store, "_reserve", real)
+    import_logs(spark, store, logs, mode="overwrite", now=T1)
+    assert {u: (r.is_favorite, r.message_content) for u, r in rows(store).items()} == {"a": (False, '"new"')}
+    assert store.loaded_files().count() == 1
+    assert len(store.vacuum()) == 2 and set(rows(store)) == {"a"} and store.vacuum() == []
+
+
+def test_numbers_need_no_single_task(spark):
+    """Ids of many files by a two-level prefix sum: equal to a global row number, and no window without a partition key."""
+    from pyspark.sql import Window
+
+    from logscope.operators import upsert
+    n = 200_000
+    rows_ = spark.range(n).select(F.concat(F.lit("/f"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("string"), 6, "0")).alias("file_path"),
+                                  F.lit(0).alias("block_start"), F.col("id").alias("pos"))
+    batch = upsert.materialised(rows_)
+    got = upsert.number_batch(batch, base=7)
+    want = batch.withColumn("w", F.row_number().over(Window.orderBy("file_path", "block_start", "pos")) + 7)
+    assert got.join(want, ["file_path", "pos"]).where("id = w").count() == n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line or line.startswith("Window [")]
+    assert windows and all("], [" in line and not line.rstrip().endswith("], []") for line in windows)
+    assert all(line.split("], [")[1].strip("] ") for line in windows)

@@ -103,3 +103,20 @@ def test_repeated_unknown_and_content_keys_are_accepted(spark, workdir):
     write_file(f"{workdir}/p/s.jsonl", [line.replace('"k": 1', '"k": 1, "k": 2')])
     _, parsed = parse(spark, workdir)
     assert [(r.uuid, r.message_content) for r in validate.valid_records(parsed).collect()] == [("a", '{"k":2}')]
+
+
+def test_utf8_is_checked_on_bytes(spark, workdir):
+    """U+FFFD is a character like any other; bytes that are not UTF-8 are rejected, and nothing is stored with replacements."""
+    import os
+    from logscope.sources.jsonl import read_lines
+    os.makedirs(f"{workdir}/p")
+    good, bad = record("a", content="abc\ufffddef"), record("b", content="abc#def")
+    with open(f"{workdir}/p/x.jsonl", "wb") as f:
+        f.write(good.encode() + b"\n")
+        for raw in (b"\xff", b"\xed\xa0\x80", b"\xc3", b"\xf8\x88\x80\x80\x80"):
+            f.write(bad.encode().replace(b"#", raw) + b"\n")
+        f.write(record("c", content="é中").encode() + b"\n")
+    parsed = validate.parse_lines(read_lines(spark, workdir)).cache()
+    assert {r.uuid: r.message_content for r in validate.valid_records(parsed).collect()} == {"a": '"abc\ufffddef"', "c": '"é中"'}
+    rejected = validate.quarantine(parsed).collect()
+    assert [r.error for r in rejected] == ["invalid UTF-8"] * 4 and all("\ufffd" in r.raw for r in rejected)
