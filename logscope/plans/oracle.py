@@ -185,6 +185,9 @@ UNION ALL
         "filter_favorites": _search(_kw_pred(["the"]) + " AND is_favorite"),
         "list_favorites": _search("is_favorite") + " ORDER BY timestamp DESC, id",
         "regex_search": _search(f"regexp_matches(message_content, '{R.REGEX}')"),
+        "kw_and_indexed": _search(_kw_pred(R.KW_RARE)),
+        "kw_or_indexed": _search(_kw_pred(R.KW_RARE_OR, "or")),
+        "regex_indexed": _search(f"regexp_matches(message_content, '{R.REGEX_RARE}')"),
         "bm25_single": _ranked(R.BM25_SINGLE, "and"),
         "bm25_and": _ranked(R.BM25_AND, "and"),
         "bm25_or": _ranked(R.BM25_OR, "or"),

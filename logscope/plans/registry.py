@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logscope.functions.dates import resolve_date
 from logscope.functions.text import split_keywords
-from logscope.operators import bm25, favorites, lines as line_ops, reports, search as S, upsert, validate
+from logscope.operators import bm25, favorites, lines as line_ops, reports, search as S, trigram, upsert, validate
 from logscope.plans.sync import appended_lines, plan_sync
 from logscope.schema import RECORD_COLUMNS
 from logscope.session import ensure_checkpoint_dir
@@ -26,6 +26,9 @@ from logscope.sources.jsonl import read_lines
 KW_AND = ["the", "that"]
 KW_OR = ["the", "und", "les"]
 KW_SINGLE = ["ein"]
+KW_RARE = ["thatth", "The"]
+KW_RARE_OR = ["mentouoi", "ERENTION"]
+REGEX_RARE = "(eauaux|[Tt]hatth|mentouoi)[a-z]*"
 DATE_FROM = "2024-01-05"
 DATE_TO = "2024-01-20"
 PROJECT = "proj-3"
@@ -136,6 +139,25 @@ def q_bm25_persisted_index(spark, sf):
     return S.ranked_search(m, _persisted(spark, m), S.SearchQuery(keywords=BM25_OR, mode="or", limit=None))
 
 
+def _message_files(spark, rows, files=32):
+    """``rows`` as a table of Parquet files by project and time, in the shared folder, and a trigram index of them."""
+    import uuid
+    folder = f"{ensure_checkpoint_dir(spark)}/messages-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, "project_path", "timestamp", "id").write.parquet(folder)
+    index = trigram.TrigramIndex(spark, folder + "-trigrams", folder)
+    index.refresh()
+    return spark.read.parquet(folder), index
+
+
+def _kw_indexed(keywords=(), mode="and", regex=None):
+    """The same search as without index; files that cannot match are not opened."""
+    def run(spark, sf):
+        rows, index = _message_files(spark, _msgs(spark, sf))
+        q = S.SearchQuery(keywords=keywords, mode=mode, regex=regex, limit=None)
+        return S.search(trigram.read_files(rows, index.files(keywords, mode, regex)), q)
+    return run
+
+
 def q_bm25_documents(spark, sf):
     """Ranked search in the larger text table, with a project filter and a limit."""
     docs = _documents(spark, sf)
@@ -346,6 +368,9 @@ QUERIES: dict[str, Query] = {
     "filter_favorites": _kw(["the"], favorites_only=True),
     "list_favorites": q_list_favorites,
     "regex_search": q_regex_search,
+    "kw_and_indexed": _kw_indexed(KW_RARE),
+    "kw_or_indexed": _kw_indexed(KW_RARE_OR, "or"),
+    "regex_indexed": _kw_indexed(regex=REGEX_RARE),
     "bm25_single": _ranked(BM25_SINGLE, "and"),
     "bm25_and": _ranked(BM25_AND, "and"),
     "bm25_or": _ranked(BM25_OR, "or"),

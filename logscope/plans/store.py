@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logscope.operators import bm25, trigram, validate
 from logscope.operators import favorites as fav_ops
+from logscope.operators import search as search_ops
 from logscope.operators import upsert as U
-from logscope.operators import validate
 from logscope.schema import MESSAGE_SCHEMA, TABLE_COLUMNS
 
 PARTITION = "bkt"
@@ -106,19 +107,19 @@ class MessageStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
-    def read(self) -> DataFrame:
-        """All stored rows as written (with the bucket, without favourite changes)."""
-        return self._read(self.table_root, STORED_SCHEMA)
+    def read(self, files: DataFrame | None = None) -> DataFrame:
+        """All stored rows as written (with the bucket, without favourite changes); of ``files`` alone, nearly, if given."""
+        return trigram.read_files(self._read(self.table_root, STORED_SCHEMA), files)
 
     def favorites(self) -> DataFrame:
         """(uuid, fav): the newest change of each uuid."""
         return (self._read(f"{self.root}/favorites", FAVORITE_SCHEMA).where(F.col("seq") > self._state()["gen"]).groupBy("uuid")
                 .agg(F.max_by("fav", F.struct("seq", "fav")).alias("fav")))
 
-    def messages(self) -> DataFrame:
-        """The messages with their current favourite flags."""
+    def messages(self, files: DataFrame | None = None) -> DataFrame:
+        """The messages with their current favourite flags (``files``: see :meth:`read`)."""
         changes = self.favorites().select(F.col("uuid").alias("_fu"), F.col("fav").alias("_fav"))
-        rows = self.read().join(changes, F.col("uuid") == F.col("_fu"), "left")
+        rows = self.read(files).join(changes, F.col("uuid") == F.col("_fu"), "left")
         return rows.select(*[F.coalesce(F.col("_fav"), F.col(c)).alias(c) if c == "is_favorite" else c for c in TABLE_COLUMNS])
 
     def quarantine(self) -> DataFrame:
@@ -276,7 +277,17 @@ class MessageStore:
     def mark_favorite(self, ids, flag: bool = True) -> None:
         self.set_favorites(fav_ops.change_set(self.spark, ids, flag))
 
-    # -- text index ----------------------------------------------------------
+    # -- indexes -------------------------------------------------------------
+    def trigrams(self, path: str) -> trigram.TrigramIndex:
+        """The trigram index at ``path``; ``refresh()`` it after writes (a search is right at any time)."""
+        return trigram.TrigramIndex(self.spark, path, self.table_root)
+
+    def search(self, q: search_ops.SearchQuery, trigrams: str | None = None, index: bm25.TextIndex | None = None,
+               anchor: dt.datetime | None = None) -> DataFrame:
+        """:func:`search.search` over the stored messages; with a trigram index only files that may match are opened."""
+        files = None if trigrams is None else self.trigrams(trigrams).files(q.keywords, q.mode, q.regex)
+        return search_ops.search(self.messages(files), q, index=index, anchor=anchor)
+
     def _documents(self) -> DataFrame:
         """Texts to index; a message is indexed again when its uuid or load time changes."""
         version = F.concat_ws("@", F.col("uuid"), F.col("updated_at").cast("string"))
@@ -284,12 +295,10 @@ class MessageStore:
 
     def build_index(self, path: str) -> None:
         """Build and persist the full-text index over the stored messages' text."""
-        from logscope.operators import bm25
         bm25.write_index(self._documents(), path)
 
     def refresh_index(self, path: str) -> None:
         """Bring a persisted index up to the table: new, changed and removed messages."""
-        from logscope.operators import bm25
         bm25.refresh_index(self.spark, self._documents(), path)
 
     def import_stats(self, parsed: DataFrame) -> ImportResult:

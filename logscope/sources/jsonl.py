@@ -23,7 +23,7 @@ MOST_BITS = 1 << 23   # 1 MB: beyond 131,072 files more of the other files share
 LINE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
-def _decoded_path(c):
+def decoded_path(c):
     """File URI → plain path; ``+`` is kept (url_decode would make it a space)."""
     p = F.regexp_replace(c, "^file:(//)?", "")
     return F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
@@ -47,7 +47,7 @@ def list_files(spark: SparkSession, root: str, project: str | None = None) -> Da
     """(file_path, file_mtime, length) of every ``*.jsonl`` file under ``root``; no file is opened."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     files = _scan(reader, root, "binaryFile").select(
-        _decoded_path(F.col("path")).alias("file_path"), F.col("modificationTime").alias("file_mtime"), "length")
+        decoded_path(F.col("path")).alias("file_path"), F.col("modificationTime").alias("file_mtime"), "length")
     return files if project is None else files.where(project_from_path(F.col("file_path")) == F.lit(project))
 
 
@@ -101,7 +101,7 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None, files
     if modified_after is not None:
         when = modified_after if isinstance(modified_after, str) else modified_after.strftime("%Y-%m-%dT%H:%M:%S")
         reader = reader.option("modifiedAfter", when).option("timeZone", "UTC")
-    path = _decoded_path(F.col("_metadata.file_path"))
+    path = decoded_path(F.col("_metadata.file_path"))
     df = _scan(reader, root)
     if files is not None:
         df = df.where(path_filter(files)(path))

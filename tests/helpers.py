@@ -18,3 +18,21 @@ def write_file(path, lines, newline="\n"):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8", newline="") as f:
         f.write(newline.join(lines) + newline)
+
+
+def files_opened(df, column):
+    """The numFiles metric of the scans of ``column`` in a plan that has run."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "FileSourceScanExec" and column in node.toString():
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        for inner in ("AdaptiveSparkPlanExec", "QueryStage"):
+            if inner in node.getClass().getSimpleName():
+                walk(node.executedPlan() if inner.startswith("Adaptive") else node.plan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found

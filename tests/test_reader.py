@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from helpers import record, write_file
+from helpers import files_opened, record, write_file
 from logscope.operators.reports import list_projects
 from logscope.operators import validate
 from logscope.sources.jsonl import read_lines
@@ -48,24 +48,6 @@ def test_files_at_root_and_empty_root(spark, workdir):
     assert got == [("x.jsonl", "top"), ("y.jsonl", "p")]
 
 
-def files_opened(df):
-    """The numFiles metric of the text scan of a plan that has run."""
-    found = []
-
-    def walk(node):
-        if node.getClass().getSimpleName() == "FileSourceScanExec" and "value#" in node.toString():
-            found.append(node.metrics().apply("numFiles").value())
-        children = node.children()
-        for k in range(children.size()):
-            walk(children.apply(k))
-        for inner in ("AdaptiveSparkPlanExec", "QueryStage"):
-            if inner in node.getClass().getSimpleName():
-                walk(node.executedPlan() if inner.startswith("Adaptive") else node.plan())
-
-    walk(df._jdf.queryExecution().executedPlan())
-    return found
-
-
 def test_listed_files_alone_are_opened(spark, workdir):
     """The wanted files stay a DataFrame; the scan opens these and no others, also names a glob would misread."""
     from pyspark.sql import functions as F
@@ -78,7 +60,7 @@ def test_listed_files_alone_are_opened(spark, workdir):
     assert sorted(r.uuid for r in validate.valid_records(validate.parse_lines(lines)).select("uuid").collect()) == ["u23", "u31", "u7"]
     lines = read_lines(spark, workdir, files=files)
     lines.collect()
-    assert files_opened(lines) == [3]
+    assert files_opened(lines, "value#") == [3]
     assert read_lines(spark, workdir, files=files.limit(0)).count() == 0
 
 
