@@ -41,8 +41,8 @@ SEGMENT = 100
 STEP = 16  # 2 k edits: what a part of SEGMENT characters may lack of the nearest segment at both ends
 SHORTEST = 32
 TOKEN = re.compile(r"\w+|[^\w\s]")
-SLICE_BYTES = 16 << 20
-TABLE_BITS = 22
+SLICE_BYTES = 8 << 20
+SLOTS = 16  # of the filter, for each q-gram of a slice: 128 MB for a slice of 8 MB
 
 
 def normal(text) -> str:
@@ -91,6 +91,9 @@ class Index:
         first = np.concatenate([[0], np.cumsum([len(t) for _, t in self.items])]).astype(np.int64)
         self.starts = np.array([first[k] + a for k, a, _ in self.segments], np.int64)
         self.ends = self.starts + self.size
+        # Segments of one item have one size.
+        of = np.unique([k for k, _, _ in self.segments], return_index=True)[1]
+        self.first, self.width, self.least = first[:-1], 2 * (self.edits[of] + 1), self.needed[of]
         keys, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for k, (_, t) in enumerate(self.items):
             g = grams(letters(t))
@@ -99,14 +102,14 @@ class Index:
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         self.keys, self.place = keys[order], np.concatenate(place)[order]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.bits = max(16, (SLOTS * len(keys)).bit_length())  # so that a slice of any size leaves most slots free
+        self.table = np.zeros(1 << self.bits, bool)
         self.table[self.slot(self.keys)] = True
         self.fewest = int(self.needed.min()) if len(self.needed) else 0
         self.widest = int((self.size + 2 * self.edits).max()) if len(self.size) else 0
 
-    @staticmethod
-    def slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def dense(self, chars: np.ndarray) -> np.ndarray:
         """Places of q-grams that lie in a stretch with enough of them for some segment."""
@@ -117,14 +120,32 @@ class Index:
         before = np.concatenate([[0], np.cumsum(hit)])
         ends = np.minimum(np.arange(len(g)) + self.widest, len(g))
         enough = before[ends] - before[:-1] >= self.fewest  # the stretch that starts here
-        step = np.zeros(len(g) + 1, np.int32)
         starts = np.flatnonzero(enough)
-        np.add.at(step, starts, 1)
-        np.add.at(step, ends[starts], -1)
+        if not len(starts):
+            return starts, g
+        step = -np.bincount(ends[starts], minlength=len(g) + 1)
+        step[starts] += 1
         return np.flatnonzero(hit & (np.cumsum(step[:-1]) > 0)), g
 
+    def crowded(self, place: np.ndarray, at: np.ndarray):
+        """The shared q-grams on diagonals of their item where some band of a segment may have enough of them.
+
+        A band is twice edits + 1 diagonals wide, so it lies in two neighbouring blocks of that width, wherever its segment begins.
+        """
+        item = np.searchsorted(self.first, place, "right") - 1
+        block = (at - place + self.first[item] + (1 << 20)) // self.width[item]
+        values, where, count = np.unique(item * (1 << 40) + block, return_inverse=True, return_counts=True)
+        follows = np.append(values[1:] == values[:-1] + 1, False)
+        enough = count + np.append(count[1:], 0) * follows >= self.least[values >> 40]
+        enough |= np.append(False, (enough & follows)[:-1])
+        keep = enough[where]
+        return place[keep], at[keep]
+
     def bands(self, chars: np.ndarray):
-        """(segment, lowest diagonal, highest) of the bands that share enough q-grams; diagonal: document - segment."""
+        """(segment, lowest diagonal, highest, fewest edits) of the bands that share enough q-grams; diagonal: document - segment.
+
+        By the same lemma the number of shared q-grams bounds the edits from below.
+        """
         at, g = self.dense(chars)
         if not len(at):
             return
@@ -134,7 +155,9 @@ class Index:
         if not total:
             return
         rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
-        place, at = self.place[rows], np.repeat(at, n)
+        place, at = self.crowded(self.place[rows], np.repeat(at, n))
+        if not len(at):
+            return
         low = np.searchsorted(self.ends, place + Q, "left")  # the segments that hold the q-gram follow one another
         n = np.searchsorted(self.starts, place, "right") - low
         owner = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -145,23 +168,41 @@ class Index:
             key = owner * (1 << 40) + (half + shift) // 2
             values, where = np.unique(key, return_inverse=True)
             count = np.bincount(where)
-            for v in values[count >= self.needed[values >> 40]].tolist():
+            enough = count >= self.needed[values >> 40]
+            for v, shared in zip(values[enough].tolist(), count[enough].tolist()):
                 s, band = v >> 40, v & ((1 << 40) - 1)
                 w = int(self.edits[s]) + 1
                 first = (2 * band - shift) * w - (1 << 20)
-                yield s, first, first + 2 * w - 1
-
-    def find(self, text: str) -> list:
-        """(item, start, end, edits) in the normalised text: the best occurrence of each item."""
-        best: dict = {}
-        for s, low, high in sorted(set(self.bands(letters(text)))):
+                fewest = max(0, -((shared + Q - 1 - int(self.size[s])) // Q))  # an edit takes Q q-grams at most
+                yield s, first, first + 2 * w - 1, fewest
+
+    def find(self, text: str, any_will_do: bool = False) -> list:
+        """(item, start, end, edits) in the normalised text: the best occurrence of each item (``any_will_do``: some item's).
+
+        A segment that stands in its band as it is needs no alignment, which would give the leftmost such place
+        without edits. Other bands are aligned, those first that may have the fewest edits, until none left can be better.
+        """
+        best: dict = {}  # item -> edits, band, start, end: the fewest edits, then the first band
+        bands = sorted(set(self.bands(letters(text))))
+        for band in bands:
+            s, low, high, _ = band
+            k, a, b = self.segments[s]
+            if k not in best:
+                most = int(self.edits[s])
+                start = text.find(self.items[k][1][a:b], max(0, low - most), max(0, high + most + b - a))
+                if start >= 0:
+                    best[k] = (0, band, start, start + b - a)
+        for band in sorted(bands, key=lambda x: (x[3], x)):
+            if any_will_do and best:
+                break
+            s, low, high, fewest = band
             k, a, b = self.segments[s]
-            if k in best and best[k][0] == 0:
+            if k in best and (not best[k][0] or best[k][:2] < (fewest, band)):
                 continue
             found = align(self.items[k][1][a:b], text, low, high, int(self.edits[s]))
-            if found and (k not in best or found[0] < best[k][0]):
-                best[k] = found
-        return [(self.items[k][0], start, end, edits) for k, (edits, start, end) in sorted(best.items())]
+            if found and (k not in best or (found[0], band) < best[k][:2]):
+                best[k] = (found[0], band, *found[1:])
+        return [(self.items[k][0], start, end, edits) for k, (edits, _, start, end) in sorted(best.items())]
 
     def find_short(self, text: str) -> list:
         """(item, start, end, 0) of the first occurrence on word borders of each short item."""
@@ -176,7 +217,7 @@ class Index:
 
     def holds_item(self, text: str) -> bool:
         """Whether the text holds an item, or a short one is at least half of it."""
-        return bool(self.find(text)) or any(2 * (b - a) >= len(text) for _, a, b, _ in self.find_short(text))
+        return bool(self.find(text, any_will_do=True)) or any(2 * (b - a) >= len(text) for _, a, b, _ in self.find_short(text))
 
 
 def align(segment: str, text: str, low: int, high: int, most: int):
