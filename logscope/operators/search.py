@@ -110,14 +110,20 @@ def search(messages: DataFrame, q: SearchQuery, index: bm25.TextIndex | None = N
 
 
 def ranked_search(messages: DataFrame, index: bm25.TextIndex | None, q: SearchQuery,
-                  anchor: dt.datetime | None = None) -> DataFrame:
+                  anchor: dt.datetime | None = None, stats: dict | None = None) -> DataFrame:
     """Full-text search: rows holding the keyword terms (all for ``and``, any
     for ``or``), ranked by BM25 over all messages. Without an index the texts are scanned.
 
-    Messages are joined before the limit, so it counts rows that exist and pass the filters.
+    Messages are joined before the limit, so it counts rows that exist and pass the filters. With a
+    persisted index and a limit only blocks of postings that may hold one of the rows are read (see :func:`bm25.topk`).
     """
     if not q.keywords:
         return empty_result(messages)
+    if index is not None and index.stored and q.limit is not None:
+        def ranked(scores: DataFrame) -> DataFrame:
+            scores = scores.select("id", F.round("score", RANK_DECIMALS).alias("rank"))
+            return apply_filters(messages, q, anchor).join(scores, "id").select(*RESULT_COLUMNS)
+        return bm25.topk(index, q.keywords, q.mode, q.limit, ranked, RANK_DECIMALS, stats)
     found = bm25.score(index, q.keywords, q.mode) if index is not None else bm25.score_scan(messages, q.keywords, q.mode)
     scores = found.select("id", F.round("score", RANK_DECIMALS).alias("rank"))
     out = apply_filters(messages, q, anchor).join(scores, "id").select(*RESULT_COLUMNS)

@@ -193,6 +193,7 @@ UNION ALL
         "bm25_or": _ranked(R.BM25_OR, "or"),
         "rank_desc": f"SELECT *, row_number() OVER (ORDER BY rank DESC, id ASC) AS position FROM ({_ranked(R.RANK_TERMS, 'or')})",
         "search_topk": _ranked(R.TOPK_TERMS, "or", R.TOPK),
+        "search_topk_index": _ranked(R.TOPK_TERMS, "or", R.TOPK),
         "result_preview": (
             _with(MESSAGES, bm25_ctes(_terms(R.KW_OR)))
             + "SELECT m.id, "

@@ -139,6 +139,12 @@ def q_bm25_persisted_index(spark, sf):
     return S.ranked_search(m, _persisted(spark, m), S.SearchQuery(keywords=BM25_OR, mode="or", limit=None))
 
 
+def q_search_topk_index(spark, sf):
+    """The same search as ``search_topk``, through the index: blocks that cannot reach the last rank are not read."""
+    m = _msgs(spark, sf)
+    return S.ranked_search(m, _persisted(spark, m), S.SearchQuery(keywords=TOPK_TERMS, mode="or", limit=TOPK))
+
+
 def _message_files(spark, rows, files=32):
     """``rows`` as a table of Parquet files by project and time, in the shared folder, and a trigram index of them."""
     import uuid
@@ -381,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "regex_filtered": q_regex_filtered,
     "rank_desc": q_rank_desc,
     "search_topk": _ranked(TOPK_TERMS, "or", TOPK),
+    "search_topk_index": q_search_topk_index,
     "result_preview": q_result_preview,
     "result_count": q_result_count,
     "split_keywords": q_split_keywords,

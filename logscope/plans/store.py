@@ -11,13 +11,16 @@ Layout, below one root folder:
   and joined at read: the newest change of a uuid counts. No message is rewritten;
 * ``log/`` - a row per write: buckets, the largest id handed out, rows written, generation. Ids are
   reserved here before rows are written, so a failed write leaves a gap, never a repeated id;
+* ``changes/`` - the change feed: id and bucket of every row that a job writes anew, so that a text index is refreshed
+  without reading the table; ``states/`` - rows and newest time per bucket and project, of the rows a job wrote, so that
+  counts and maxima per project are merged from small numbers;
 * ``files/`` - the manifest of loaded files (path, modification time, length, finished lines and their checksum).
 
 A full re-import writes a new generation of the rows and then one row of the log, which switches all
 readers over: favourites and loaded files from before its sequence count no more, and a failure on the
 way leaves everything as it was.
 
-There is no transactional table format: one writer at a time, and every job is
+There is no transactional table format: one writer at a time (an index refresh counts as one), and every job is
 safe to repeat (keys are uuids). Each write is staged once in a reliable
 checkpoint (``spark.checkpoint.dir``), its rows and ids are compared with the
 plan, and only then it replaces or joins the stored files.
@@ -45,6 +48,9 @@ BUCKETS = 64
 LAYOUT = [PARTITION, "project_path", "timestamp"]
 STORED_SCHEMA = T.StructType(list(MESSAGE_SCHEMA.fields) + [T.StructField(PARTITION, T.IntegerType())])
 LOG_SCHEMA = "seq long, kind string, buckets int, max_id long, rows long, gen long"
+CHANGE_SCHEMA = "id long, bkt int, seq long"
+STATE_SCHEMA = "bkt int, project_path string, n long, last timestamp_ntz, whole boolean, seq long"
+LOOKUP = 1000   # uuids of a batch that are named in the scan's filter, for the Bloom filters of the files
 FAVORITE_SCHEMA = "uuid string, fav boolean, seq long"
 FILE_SCHEMA = "file_path string, file_mtime timestamp, length long, lines long, checksum decimal(38,0), seq long"
 QUARANTINE_SCHEMA = "file_path string, line_no long, error string, raw string, load_date date"
@@ -153,10 +159,25 @@ class MessageStore:
     def _append(self, folder: str, rows: DataFrame) -> None:
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{folder}")
 
-    def _reserve(self, kind: str, max_id: int, rows: int, buckets: int, gen: int | None = None) -> None:
-        """One row of the log; ``gen``: switch to that generation (its number is the sequence of the switch)."""
+    def _reserve(self, kind: str, max_id: int, rows: int, buckets: int, gen: int | None = None) -> int:
+        """One row of the log, returns its sequence; ``gen``: switch to that generation (its number is the sequence of the switch)."""
         row = (gen or time.time_ns(), kind, buckets, max_id, rows, gen)
         self._append("log", self.spark.createDataFrame([row], LOG_SCHEMA))
+        return row[0]
+
+    def _announce(self, seq: int, changed: DataFrame, staged: DataFrame, whole: list[int]) -> None:
+        """Before rows are written: which are new or changed, and what they add to the numbers per project.
+
+        ``whole``: buckets that ``staged`` holds all rows of, so that earlier numbers of them are void.
+        """
+        changed.select("id", PARTITION, F.lit(seq).alias("seq")).write.mode("append").parquet(f"{self.root}/changes")
+        (staged.groupBy(PARTITION, "project_path").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last"))
+         .select(PARTITION, "project_path", "n", "last", F.col(PARTITION).isin(whole).alias("whole"), F.lit(seq).alias("seq"))
+         .coalesce(1).write.mode("append").parquet(f"{self.root}/states"))
+
+    def _done(self, seq: int, max_id: int, buckets: int) -> None:
+        """The job with that sequence has written all its rows."""
+        self._append("log", self.spark.createDataFrame([(seq, "done", buckets, max_id, 0, None)], LOG_SCHEMA))
 
     def _bucketed(self, rows: DataFrame, buckets: int) -> DataFrame:
         return rows.withColumn(PARTITION, F.pmod(F.xxhash64("uuid"), F.lit(buckets)).cast("int"))
@@ -166,6 +187,7 @@ class MessageStore:
          .repartitionByRange(*LAYOUT).sortWithinPartitions(*LAYOUT)
          .write.mode(mode)
          .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+         .option("parquet.bloom.filter.enabled#uuid", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
          .partitionBy(PARTITION).parquet(folder or self.table_root))
 
     def _checked(self, rows: DataFrame, expected: int, new_ids: tuple[int, int]) -> DataFrame:
@@ -181,7 +203,19 @@ class MessageStore:
 
     def _marked(self, batch: DataFrame, buckets: int) -> DataFrame:
         columns = [*U.RECORD_COLUMNS, *U.ORDER_COLUMNS]
-        return self._stable(self._bucketed(U.marked(U.dedup_last(batch).select(*columns), self.read()), buckets))
+        last = self._stable(self._bucketed(U.dedup_last(batch).select(*columns), buckets))
+        return self._stable(U.marked(last, self.stored_uuids(last)))
+
+    def stored_uuids(self, batch: DataFrame) -> DataFrame:
+        """(uuid) of the stored rows that ``batch`` (uuid, bkt) may hold.
+
+        Only the batch's buckets are read; a batch of up to LOOKUP rows is named in the filter, so that the files'
+        Bloom filters skip row groups that hold none of them.
+        """
+        wanted = [r[0] for r in batch.select(PARTITION).distinct().collect()]  # at most the number of buckets
+        rows = self.read().where(F.col(PARTITION).isin(wanted)).select("uuid")
+        few = [r[0] for r in batch.select("uuid").limit(LOOKUP + 1).collect()]
+        return rows.where(F.col("uuid").isin(few)) if len(few) <= LOOKUP else rows
 
     def write_quarantine(self, bad: DataFrame, now: dt.datetime) -> None:
         """Append rejected lines, each once: a repeated import or stream batch adds nothing."""
@@ -208,18 +242,22 @@ class MessageStore:
         stored = current.count() if touched else 0
         rows = U.plan_upsert(current.select(*TABLE_COLUMNS), batch, F.lit(now).cast("timestamp_ntz"), base)
         staged = self._checked(self._bucketed(rows, buckets), stored + inserted, (base, base + inserted))
-        self._reserve("upsert", base + inserted, stored + inserted, buckets)
+        seq = self._reserve("upsert", base + inserted, stored + inserted, buckets)
+        self._announce(seq, staged.join(batch.select("uuid"), "uuid", "left_semi"), staged, touched)
         if touched:
             self._write(staged.where(F.col(PARTITION).isin(touched)), "overwrite", dynamic=True)
         if any(f for b, (_, f) in counts.items() if b not in touched):
             self._write(staged.where(~F.col(PARTITION).isin(touched)), "append", dynamic=False)
+        self._done(seq, base + inserted, buckets)
         return ImportResult(inserted, updated, 0, 0)
 
     def _append_new(self, rows: DataFrame, kind: str, inserted: int, base: int, buckets: int) -> None:
         staged = self._checked(self._bucketed(rows, buckets), inserted, (base, base + inserted))
-        self._reserve(kind, base + inserted, inserted, buckets)
+        seq = self._reserve(kind, base + inserted, inserted, buckets)
         if inserted:
+            self._announce(seq, staged, staged, [])
             self._write(staged, "append", dynamic=False)
+        self._done(seq, base + inserted, buckets)
 
     def insert_only(self, batch: DataFrame, now: dt.datetime | None = None) -> ImportResult:
         """Append only uuids not stored yet (sync); nothing is rewritten."""
@@ -249,7 +287,9 @@ class MessageStore:
         staged = self._checked(self._bucketed(rows, buckets), n, (0, n))
         gen = time.time_ns()
         self._write(staged, "overwrite", dynamic=False, folder=self._folder(gen))
+        self._announce(gen, staged.limit(0), staged, list(range(buckets)))
         self._reserve("overwrite", n, n, buckets, gen)  # readers see the new rows from here on
+        self._done(gen, n, buckets)
         return ImportResult(n, 0, 0, 0)
 
     def vacuum(self) -> list[str]:
@@ -288,18 +328,54 @@ class MessageStore:
         files = None if trigrams is None else self.trigrams(trigrams).files(q.keywords, q.mode, q.regex)
         return search_ops.search(self.messages(files), q, index=index, anchor=anchor)
 
-    def _documents(self) -> DataFrame:
+    def _documents(self, rows: DataFrame) -> DataFrame:
         """Texts to index; a message is indexed again when its uuid or load time changes."""
         version = F.concat_ws("@", F.col("uuid"), F.col("updated_at").cast("string"))
-        return self.read().select("id", version.alias("version"), validate.content_text(F.col("message_content")).alias("message_content"))
+        return rows.select("id", version.alias("version"), validate.content_text(F.col("message_content")).alias("message_content"))
+
+    def _changes(self) -> DataFrame:
+        return self._read(f"{self.root}/changes", CHANGE_SCHEMA)
+
+    def _last_change(self) -> int:
+        return max(self._changes().agg(F.max("seq")).first()[0] or 0, self._state()["gen"])
 
     def build_index(self, path: str) -> None:
         """Build and persist the full-text index over the stored messages' text."""
-        bm25.write_index(self._documents(), path)
+        feed = self._last_change()
+        bm25.write_index(self._documents(self.read()), path, feed=feed)
 
     def refresh_index(self, path: str) -> None:
-        """Bring a persisted index up to the table: new, changed and removed messages."""
-        bm25.refresh_index(self.spark, self._documents(), path)
+        """Bring a persisted index up to the table, from the changes since its last refresh.
+
+        Only the buckets with changed rows are read. After a full re-import all ids and versions are compared.
+        """
+        since, last = bm25.newest(self.spark, path)["feed"], self._last_change()
+        if self._state()["gen"] > since:
+            return bm25.refresh_index(self.spark, self._documents(self.read()), path, feed=last)
+        ids = self._stable(self._changes().where(F.col("seq") > since).select("id", PARTITION).distinct())
+        wanted = [r[0] for r in ids.select(PARTITION).distinct().collect()]  # at most the number of buckets
+        if wanted:
+            rows = self.read().where(F.col(PARTITION).isin(wanted)).join(ids.select("id"), "id", "left_semi")
+            bm25.apply_changes(self.spark, path, self._documents(rows), ids.select("id"), feed=last)
+
+    def project_summary(self) -> DataFrame:
+        """(project_path, n, last_update), merged from the numbers that each job left; the messages are not read.
+
+        Of a bucket the newest job that wrote it whole counts, and those that added to it since. Buckets of a job
+        that did not end are counted again.
+        """
+        gen, log = self._state()["gen"], self._log()
+        states = self._read(f"{self.root}/states", STATE_SCHEMA).where(F.col("seq") >= gen)
+        done = log.where("kind = 'done'").select("seq").distinct()
+        open_buckets = [r[0] for r in states.join(done, "seq", "left_anti").select(PARTITION).distinct().collect()]  # at most the number of buckets
+        good = states.where(~F.col(PARTITION).isin(open_buckets))
+        since = good.where("whole").groupBy(F.col(PARTITION).alias("_b")).agg(F.max("seq").alias("_since"))
+        good = (good.join(F.broadcast(since), F.col(PARTITION) == F.col("_b"), "left")  # a row per bucket
+                .where(F.col("seq") >= F.coalesce("_since", F.lit(0))).select("project_path", "n", "last"))
+        if open_buckets:
+            good = good.unionByName(self.read().where(F.col(PARTITION).isin(open_buckets)).groupBy("project_path").agg(
+                F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last")))
+        return good.groupBy("project_path").agg(F.sum("n").alias("n"), F.max("last").alias("last_update"))
 
     def import_stats(self, parsed: DataFrame) -> ImportResult:
         """Counts for a batch against the current table (call before writing it)."""
@@ -309,8 +385,8 @@ class MessageStore:
 
 def last_update_time(store: MessageStore, project: str) -> dt.datetime | None:
     """Newest message time of one project (None when it has no rows)."""
-    return (store.read().where(F.col("project_path") == project)
-            .agg(F.max("timestamp")).first()[0])
+    r = store.project_summary().where(F.col("project_path") == project).first()
+    return r["last_update"] if r else None
 
 
 __all__ = ["MessageStore", "ImportResult", "WriteMismatch", "PARTITION", "last_update_time", "validate"]

@@ -15,6 +15,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",  # uuid lists reach the Bloom filters, see MessageStore.stored_uuids
     "spark.sql.variant.allowDuplicateKeys": "true",   # see validate.parse_lines
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
