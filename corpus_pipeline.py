@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it again for the next.
+
+Defined results, for every stage: an empty table gives an empty result (empty ``labels`` or ``benchmark``: base rules
+alone, nothing taken out); very long texts are treated whole; all columns of documents stay, also extra ones
+whose names the operators use, but for the last stage. Row by row:
+
+* quality_rules: null and empty texts go (too few words); a null lang is a stratum of its own; repeated rows are judged each;
+* near_dedup: null, empty and blank texts are groups of one and stay; of a tie the smallest doc_id stays; rows
+  that share a doc_id stay or go together; rows without doc_id stay;
+* decontaminate: null and empty texts stay; repeated rows are judged each;
+* mask_pii: null stays null; overlapping spans are masked together, under the kind that starts first;
+* bpe: null text has no tokens; repeated rows give rows each.
 """
 
 from __future__ import annotations
