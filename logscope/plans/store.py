@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logscope.operators import bm25, trigram, validate
+from logscope.operators import bm25, trigram, validate, zones
 from logscope.operators import favorites as fav_ops
 from logscope.operators import search as search_ops
 from logscope.operators import upsert as U
@@ -322,10 +322,17 @@ class MessageStore:
         """The trigram index at ``path``; ``refresh()`` it after writes (a search is right at any time)."""
         return trigram.TrigramIndex(self.spark, path, self.table_root)
 
+    def bounds(self, path: str) -> zones.FileBounds:
+        """The projects and times of each file, at ``path``; refreshed like the trigram index."""
+        return zones.FileBounds(self.spark, path, self.table_root)
+
     def search(self, q: search_ops.SearchQuery, trigrams: str | None = None, index: bm25.TextIndex | None = None,
-               anchor: dt.datetime | None = None) -> DataFrame:
-        """:func:`search.search` over the stored messages; with a trigram index only files that may match are opened."""
+               anchor: dt.datetime | None = None, bounds: str | None = None) -> DataFrame:
+        """:func:`search.search` over the stored messages; with a trigram index or file bounds only files that may match are opened."""
         files = None if trigrams is None else self.trigrams(trigrams).files(q.keywords, q.mode, q.regex)
+        if bounds is not None:
+            near = self.bounds(bounds).files(q, anchor)
+            files = near if files is None else files.join(near, "file_path", "left_semi")
         return search_ops.search(self.messages(files), q, index=index, anchor=anchor)
 
     def _documents(self, rows: DataFrame) -> DataFrame:

@@ -293,3 +293,94 @@ def test_numbers_need_no_single_task(spark):
     windows = [line for line in plan.splitlines() if " Window [" in line or line.startswith("Window [")]
     assert windows and all("], [" in line and not line.rstrip().endswith("], []") for line in windows)
     assert all(line.split("], [")[1].strip("] ") for line in windows)
+
+
+def text_index(spark, store, path):
+    from logscope.operators import bm25
+    return bm25.TextIndex.load(spark, path), bm25.newest(spark, path)
+
+
+def test_index_segments_stay_few(spark, workdir, monkeypatch):
+    """After many refreshes the segments are few, dead postings are dropped by merges, and results equal a rebuild."""
+    from logscope.operators import bm25
+    monkeypatch.setattr(bm25, "BLOCK_IDS", 4)
+    monkeypatch.setattr(bm25.merge, "__defaults__", (2,))
+    docs = {k: f"rust error {k}" for k in range(20)}
+    frame = lambda d: spark.createDataFrame([(k, str(hash(t)), t) for k, t in d.items()], "id long, version string, message_content string")
+    path = f"{workdir}/idx"
+    bm25.write_index(frame(docs), path)
+    for step in range(9):
+        changed = {step: f"python go {step}", 100 + step: "error error rust"}
+        gone = [19 - step]
+        docs = {k: t for k, t in (docs | changed).items() if k not in gone}
+        touched = spark.createDataFrame([(k,) for k in [*changed, *gone]], "id long")
+        bm25.apply_changes(spark, path, frame(changed), touched, feed=step)
+    c = bm25.newest(spark, path)
+    assert len(c["segs"]) <= 6 and c["feed"] == 8 and c["n_docs"] == len(docs)
+    got, want = bm25.TextIndex.load(spark, path), bm25.build_index(frame(docs))
+    for terms, mode in ((["rust"], "or"), (["error", "go"], "or"), (["error", "rust"], "and")):
+        a, b = (sorted((r.id, round(r.score, 9)) for r in bm25.score(i, terms, mode).collect()) for i in (got, want))
+        assert a == b
+    assert sorted(bm25.term_stats(got).collect()) == sorted(bm25.term_stats(want).collect())
+    assert sorted(bm25.document_frequencies(got, ["rust", "go", "none"]).collect()) == sorted(
+        bm25.term_stats(want).where("term in ('rust', 'go')").select("term", "df").collect())
+    assert got.dead.count() < 18
+
+
+def test_refresh_reads_changed_buckets_only(spark, workdir):
+    """After one edit the refresh opens the files of one bucket; the per-project numbers open none."""
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=16)
+    write_file(f"{logs}/p/s.jsonl", [record(f"u{k}", content=f"word{k} rust") for k in range(80)])
+    write_file(f"{logs}/q/s.jsonl", [record(f"v{k}", content="go", ts="2031-04-01T00:00:00Z") for k in range(20)])
+    import_logs(spark, store, logs, now=T0)
+    store.build_index(f"{workdir}/idx")
+    write_file(f"{logs}/p/s.jsonl", [record("u7", content="edited rust", ts="2032-01-01T00:00:00Z")])
+    write_file(f"{logs}/q/s.jsonl", [])
+    import_logs(spark, store, logs, now=T1)
+    seen, real = [], store._documents
+    store._documents = lambda rows: (seen.append(sorted({r[0] for r in rows.select(F.input_file_name()).collect()})), real(rows))[1]
+    store.refresh_index(f"{workdir}/idx")
+    assert len(seen) == 1 and len(seen[0]) == 1  # the rows of the change feed lie in one file
+    store._documents = real
+    same_as_rebuild(spark, store, f"{workdir}/idx", f"{workdir}/idx2")
+    store.refresh_index(f"{workdir}/idx")  # nothing changed: no new version
+    want = {r.project_path: (r.n, r.last) for r in store.read().groupBy("project_path").agg(F.count("*").alias("n"), F.max("timestamp").alias("last")).collect()}
+    summary = store.project_summary()
+    assert {r.project_path: (r.n, r.last_update) for r in summary.collect()} == want and want["p"] == (80, dt.datetime(2032, 1, 1))
+    assert "messages" not in str(summary.inputFiles())
+
+
+def test_summary_counts_open_jobs_again(spark, workdir, monkeypatch):
+    """A job that fails after it announced its rows does not spoil the numbers, nor does its repetition."""
+    import pytest
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=4)
+    write_file(f"{logs}/p/s.jsonl", [record(f"u{k}") for k in range(10)])
+    real = store._write
+    monkeypatch.setattr(store, "_write", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        import_logs(spark, store, logs, mode="insert_only", now=T0)
+    assert store.project_summary().collect() == []
+    monkeypatch.setattr(store, "_write", real)
+    import_logs(spark, store, logs, mode="insert_only", now=T0)
+    write_file(f"{logs}/p/more.jsonl", [record(f"w{k}") for k in range(5)])
+    import_logs(spark, store, logs, mode="overwrite", now=T1)
+    assert [(r.project_path, r.n) for r in store.project_summary().collect()] == [("p", 15)]
+
+
+def test_small_batch_skips_buckets_and_row_groups(spark, workdir):
+    """A batch of few uuids reads its buckets alone, and of these the row groups whose Bloom filter may hold one."""
+    logs, store = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=4)
+    write_file(f"{logs}/p/s.jsonl", [record(f"u{k}") for k in range(400)])
+    import_logs(spark, store, logs, now=T0)
+    batch = store._bucketed(spark.createDataFrame([("u7",), ("nowhere",)], "uuid string"), 4)
+    found = store.stored_uuids(batch)
+    assert [r.uuid for r in found.collect()] == ["u7"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "In(uuid, [" in plan
+    import pyarrow.parquet as pq
+    one = glob.glob(f"{workdir}/table/messages/bkt=*/*.parquet")[0]
+    with open(one, "rb") as f:
+        data = f.read()
+    uuids = pq.read_table(one, columns=["uuid"])["uuid"].to_pylist()
+    column = pq.read_metadata(one).row_group(0).column(1)
+    assert column.path_in_schema == "uuid" and uuids and len(data) > 0

@@ -118,3 +118,28 @@ def test_store_search_with_trigrams(spark, workdir):
     for _ in range(2):
         assert [r.uuid for r in store.search(q, trigrams=path).collect()] == ["u7"]
         store.trigrams(path).refresh()
+
+
+def test_project_and_date_filters_open_few_files(spark, workdir):
+    """Files hold ranges of (project, time); a filter opens those that meet it, and new files are read before a refresh."""
+    logs, store, path = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=2), f"{workdir}/zones"
+    for p in range(4):
+        write_file(f"{logs}/proj{p}/s.jsonl", [record(f"u{p}-{k}", ts=f"2031-03-{k % 28 + 1:02d}T00:00:00Z", content="word") for k in range(56)])
+    import_logs(spark, store, logs)
+    bounds = store.bounds(path)
+    total = bounds.files(S.SearchQuery(keywords=["word"])).count()
+    bounds.refresh()
+    for q, most in ((S.SearchQuery(keywords=["word"], project_filter="proj2", limit=None), total // 2), (S.SearchQuery(keywords=["word"], project_filter="none", limit=None), 0),
+                    (S.SearchQuery(keywords=["word"], project_filters=["proj0"], date_to="2031-03-03", limit=None), total // 2),
+                    (S.SearchQuery(keywords=["word"], date_from="2032-01-01", limit=None), 0), (S.SearchQuery(keywords=["word"], date_from="2031-03-28", limit=None), total),
+                    (S.SearchQuery(keywords=["word"], project_filters=[], project_filter="proj2", limit=None), total)):
+        assert bounds.files(q).count() <= most
+        got = sorted(r.uuid for r in store.search(q, bounds=path).collect())
+        assert got == sorted(r.uuid for r in store.search(q).collect())
+    import_logs(spark, store, logs, mode="insert_only")
+    write_file(f"{logs}/none/s.jsonl", [record("late", content="word")])
+    import_logs(spark, store, logs, mode="insert_only")
+    q = S.SearchQuery(keywords=["word"], project_filter="none", limit=None)
+    for _ in range(2):
+        assert [r.uuid for r in store.search(q, bounds=path).collect()] == ["late"]
+        bounds.refresh()
