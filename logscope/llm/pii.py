@@ -8,7 +8,8 @@ range it stands for. Identifiers found in the normal form are reported at their
 source characters.
 
 Defined results: null text counts as empty and has no spans; very long texts
-are one string like any other; repeated rows give one row each; other columns
+are one string like any other, and runs of one kind take linear time; spans that start together are in the order of KINDS;
+repeated rows give one row each; an empty table gives an empty result; other columns
 are ignored by ``find_pii`` and kept by ``redact``.
 """
 
@@ -25,8 +26,11 @@ from logscope.llm.secrets import span_array
 
 # The kinds and their patterns, in the order in which spans tie.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# (Long runs take linear time: an address is matched from its @ outwards, an IP takes the digits it fails on
+# along - no match can begin inside them - and a bracket is matched before the white space in front of it.)
+NAME_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+AT_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]++(?:(\.[0-9]++)(\.[0-9]++)(\.[0-9]++))?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEPARATORS = re.compile(r"[^0-9]")
@@ -40,7 +44,7 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 MARKS = {"at": "@", "@": "@", "dot": ".", ".": ".", "punkt": ".", "punto": ".", "point": ".", "arroba": "@"}
 
 ODD = re.compile("[\u00ad\u0370-\u052f\u2000-\u206f\uff01-\uff5e\ufeff\u2460-\u24ff\U0001d400-\U0001d7ff]")
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|punto|point|arroba)\s*[\])}>]\s*", re.I)
+BRACKETED = re.compile(r"[\[({<]\s*(at|@|dot|\.|punkt|punto|point|arroba)\s*[\])}>]\s*", re.I)
 # Endings of host names that make words between `at` and `dot` an address.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|dev|app|eu|uk|us|ca|au|de|at|ch|fr|be|nl|it|es|pt|mx|br|ar|se|dk|pl|ru|jp|cn|in"
 SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
@@ -75,12 +79,24 @@ def small(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
+def emails(text: str):
+    """(start, end) of the addresses, leftmost and non-overlapping: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"""
+    free, at = 0, text.find("@")  # free: where a name may begin
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(NAME_CHARACTERS))
+        host = AT_HOST.match(text, at) if start < at else None
+        if host:
+            yield start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
 def detect(text: str) -> list:
     """(kind, start, end) of the base patterns; failing matches are dropped without a retry."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(small, m[0].split(".")))]
+        out += [("email", a, b) for a, b in emails(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if m[1] and all(map(small, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = SEPARATORS.sub("", m[0])
@@ -105,7 +121,7 @@ def letters(layer: Mapped) -> Mapped:
 
 def marks(layer: Mapped) -> Mapped:
     """(at), [dot] and spoken `name at host dot org`, in any mixture."""
-    edits = [(m.start(), m.end(), MARKS[m[1].lower()]) for m in BRACKETED.finditer(layer.text)]
+    edits = list(bracketed(layer.text))
     layer = layer.rewrite(edits) if edits else layer
     edits = [(p.start(), p.end(), MARKS[p[1].lower()])
              for m in SPOKEN.finditer(layer.text) for p in SPOKEN_PART.finditer(layer.text, m.start(), m.end())]
@@ -115,6 +131,14 @@ def marks(layer: Mapped) -> Mapped:
     return layer.rewrite(edits) if edits else layer
 
 
+def bracketed(text: str):
+    """(start, end, mark) of bracketed marks with the white space around them."""
+    free = 0
+    for m in BRACKETED.finditer(text):
+        yield free + len(text[free:m.start()].rstrip()), m.end(), MARKS[m[1].lower()]
+        free = m.end()
+
+
 def address(layer: Mapped, m) -> bool:
     """Whether a match of MIXED is an address: `at` and `dot` each literal, bracketed (rewritten before) or spoken."""
     if not m["at"]:
