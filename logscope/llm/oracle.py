@@ -71,3 +71,57 @@ SELECT t.conv_id, count(*) AS n_turns,
        any_value(formatted_chars)::BIGINT AS formatted_chars, any_value(n_windows) AS n_windows
 FROM t JOIN sized USING (conv_id) GROUP BY t.conv_id
 """
+
+# Substring dedup: every window of 20 words as a string; all but the first of equal ones cover their words.
+OP1 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS key FROM w, unnest(range(1, len(words) - 18)) AS u(i)),
+dup AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+covered AS (SELECT DISTINCT doc_id, i + o AS k FROM dup, range(0, 20) AS r(o)),
+word AS (SELECT doc_id, k, words[k] AS word FROM w, unnest(range(1, len(words) + 1)) AS u(k)),
+rest AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n
+  FROM word WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = word.doc_id AND c.k = word.k) GROUP BY word.doc_id)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN rest USING (doc_id)
+"""
+
+# Suffix dedup: every string of 400 bytes, as hexadecimal digits; all of equal ones cover their bytes.
+OP3 = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (  -- pieces in which 512 strings begin
+  SELECT doc_id, 512 * c AS base, substring(h, 1024 * c + 1, 1824) AS h, length(h) // 2 AS n FROM h, unnest(range(0, length(h) // 1024 + 1)) AS u(c)),
+s AS (SELECT doc_id, base + i AS i, md5(substring(h, 2 * i + 1, 800)) AS key FROM c, unnest(range(0, least(512, n - 399 - base))) AS u(i)),
+dup AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY key) > 1),
+edges AS (  -- the first and last of neighbouring strings
+  SELECT doc_id, i, i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM dup),
+runs AS (SELECT doc_id, i, sum((gap > 400)::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY ALL),
+per AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM spans GROUP BY doc_id),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT h.doc_id, coalesce(max(b), 0), max(length(h)) // 2 FROM h LEFT JOIN spans USING (doc_id) GROUP BY h.doc_id),
+rest AS (SELECT h.doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM gaps JOIN h USING (doc_id) GROUP BY h.doc_id)
+SELECT h.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN per USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+# Near-duplicates: a join of all shingles, and the smallest document that links reach.
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+comp AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id),
+class AS (SELECT b AS doc_id, min(a) AS a FROM l WHERE same GROUP BY b)
+SELECT comp.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, comp.doc_id = component_id AS kept,
+       least(comp.doc_id, coalesce(class.a, comp.doc_id)) AS class_id
+FROM comp LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id)
+"""

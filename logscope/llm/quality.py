@@ -13,7 +13,7 @@ that gains most: share of the bad documents rejected less ``PRICE`` times the sh
 the good ones; ties go to the most lenient. A stratum with too few labels rejects nothing.
 
 Defined results: null text counts as empty (no words, so the base rule rejects
-it); null lang is a stratum of its own; empty tables give empty results; other
+it); a very long text is measured whole; null lang is a stratum of its own; repeated rows are judged each; empty tables give empty results; other
 columns are kept, and the measures travel in one struct column of another name.
 """
 

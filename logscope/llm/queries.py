@@ -111,4 +111,5 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_suffix_dedup, op4_decontamination, op5_quality_rules, op6_sharding,
     op7_superminhash, op8_pii, op9_language_id, op10_bpe,
     op11_source_divergence, op12_chat_format, op13_spelling_variants)}
-ORACLE = {"op11_source_divergence": oracle.OP11, "op12_chat_format": oracle.OP12}
+ORACLE = {"op1_substring_dedup": oracle.OP1, "op3_suffix_dedup": oracle.OP3, "op7_superminhash": oracle.OP7,
+          "op11_source_divergence": oracle.OP11, "op12_chat_format": oracle.OP12}

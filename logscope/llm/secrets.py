@@ -9,8 +9,8 @@ character, the range of source code points it came from, and hits are reported
 there.
 
 Defined results: null text counts as empty; an empty text has no spans; a very
-long text is one layer like any other; repeated rows give one row each; other
-columns of the table are ignored. Decoded bytes that are not text are scanned too, with replacement of bad
+long text is one layer like any other; repeated rows give one row each; an empty table gives
+an empty result; other columns of the table are ignored. Decoded bytes that are not text are scanned too, with replacement of bad
 bytes, and once more without the NUL bytes between characters (UTF-16, UTF-32). Base64 goes on over line breaks.
 Compressed data is decompressed to its end, member after member; more than ``max_layer_bytes`` of output are scanned in
 blocks of that size that overlap by a quarter, so memory is bounded and output is not.

@@ -14,7 +14,7 @@ than one value from each chunk and no pairs are formed.
 
 Defined results: null and empty texts have no words and keep the empty string;
 words are compared byte for byte; rows that share a doc_id are ordered by text
-and count as separate documents; very long texts are never cut; extra columns are ignored.
+and count as separate documents; an empty table gives an empty result; very long texts are never cut; extra columns are ignored.
 Windows are compared by 64-bit hashes.
 """
 

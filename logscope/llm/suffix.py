@@ -18,7 +18,7 @@ wanted length, one value per chunk, with the same result.
 
 Defined results: null and empty texts have no bytes; matches never cross
 documents; every occurrence is removed, judged on the input; rows that share a
-doc_id are separate documents; very long texts are never cut; extra columns are ignored.
+doc_id are separate documents; an empty table gives an empty result; very long texts are never cut; extra columns are ignored.
 """
 
 from __future__ import annotations
