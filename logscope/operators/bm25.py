@@ -139,12 +139,17 @@ def _write_segment(path: str, segment: int, postings: DataFrame, docs: DataFrame
     return r["n"], r["len"]
 
 
-def _write_version(spark: SparkSession, path: str, v: int, segs: list, dead: DataFrame, docs: DataFrame, n_docs: int, total_len: int, feed: int) -> None:
+def _term_counts(index: TextIndex, docs: DataFrame, gone: DataFrame, sign: int) -> DataFrame:
+    """The dead documents' terms with those of ``gone`` (id, seg), which are among ``docs``, added or taken away."""
+    more = (docs.select("id", "seg", "terms").join(gone.select("id", "seg"), ["id", "seg"], "left_semi").select(F.explode("terms").alias("term"))
+            .groupBy("term").agg((F.count(F.lit(1)) * sign).alias("n")))
+    return index.dead_terms.unionByName(more).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def _write_version(spark: SparkSession, path: str, v: int, segs: list, dead: DataFrame, dead_terms: DataFrame, n_docs: int, total_len: int, feed: int) -> None:
     """Dead documents, their terms, and last the pointer: readers see this version from here on."""
     dead.select("id", "seg").write.mode("overwrite").parquet(f"{path}/dead/v={v}")
-    gone = spark.read.schema(DEAD_SCHEMA).parquet(f"{path}/dead/v={v}")
-    (docs.join(gone, ["id", "seg"], "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-     .write.mode("overwrite").parquet(f"{path}/dead_terms/v={v}"))
+    dead_terms.select("term", "n").write.mode("overwrite").parquet(f"{path}/dead_terms/v={v}")
     row = spark.createDataFrame([(n_docs, total_len, segs, feed)], CORPUS_SCHEMA.replace(", v int", ""))
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/v={v}")
 
@@ -153,7 +158,7 @@ def write_index(docs: DataFrame, path: str, text_col: str = "message_content", i
     """Build an index in an empty folder, as segment 0. ``feed``: the last change of the table that ``docs`` holds."""
     index = build_index(docs, text_col, id_col)
     n, total = _write_segment(path, 0, index.postings, index.docs)
-    _write_version(docs.sparkSession, path, 0, [(0, n)], index.dead, index.docs.limit(0), n, total, feed)
+    _write_version(docs.sparkSession, path, 0, [(0, n)], index.dead, index.dead_terms, n, total, feed)
 
 
 def apply_changes(spark: SparkSession, path: str, changed: DataFrame, touched: DataFrame, feed: int = 0,
@@ -174,27 +179,34 @@ def apply_changes(spark: SparkSession, path: str, changed: DataFrame, touched: D
     fresh = build_index(changed, text_col, id_col, segment)
     n, total = _write_segment(path, segment, fresh.postings, fresh.docs)
     segs = [(r["seg"], r["docs"]) for r in c["segs"]] + [(segment, n)]
-    _write_version(spark, path, v, segs, index.dead.unionByName(dying.select("id", "seg")), near,
+    _write_version(spark, path, v, segs, index.dead.unionByName(dying.select("id", "seg")), _term_counts(index, near, dying, 1),
                    c["n_docs"] - lost["n"] + n, c["total_len"] - lost["len"] + total, feed)
     merge(spark, path)
 
 
 def merge(spark: SparkSession, path: str, fan_in: int = MERGE) -> None:
-    """Merge segments of like size (powers of ``fan_in``) while ``fan_in`` of them are there; dead postings stay behind."""
+    """Merge segments of like size (powers of ``fan_in``) while ``fan_in`` of them are there, and write a segment anew
+    when more than half of it is dead; dead postings stay behind."""
     while True:
         c = newest(spark, path)
         tiers: dict = {}
         for r in c["segs"]:
             tiers.setdefault(max(0, (max(1, r["docs"]) - 1).bit_length() // max(1, (fan_in - 1).bit_length())), []).append(r["seg"])
         full = next((t for t in sorted(tiers) if len(tiers[t]) >= fan_in), None)
-        if full is None:
+        index = TextIndex.load(spark, path)
+        if full is not None:
+            old = tiers[full]
+        else:
+            gone = {r["seg"]: r["count"] for r in index.dead.groupBy("seg").count().collect()}  # a row per segment
+            old = [r["seg"] for r in c["segs"] if 2 * gone.get(r["seg"], 0) > r["docs"]][:1]
+        if not old:
             return
-        index, old = TextIndex.load(spark, path), tiers[full]
         mine = F.col("seg").isin(old)
         segment = max(r["seg"] for r in c["segs"]) + 1
         n, _ = _write_segment(path, segment, index.live(index.postings.where(mine)), index.live(index.docs.where(mine)))
         segs = [(r["seg"], r["docs"]) for r in c["segs"] if r["seg"] not in old] + [(segment, n)]
-        _write_version(spark, path, c["v"] + 1, segs, index.dead.where(~mine), index.docs.where(~mine), c["n_docs"], c["total_len"], c["feed"])
+        _write_version(spark, path, c["v"] + 1, segs, index.dead.where(~mine),
+                       _term_counts(index, index.docs.where(mine), index.dead.where(mine), -1), c["n_docs"], c["total_len"], c["feed"])
 
 
 def refresh_index(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "message_content", id_col: str = "id", feed: int = 0) -> None:

@@ -205,10 +205,14 @@ def q_split_keywords(spark, sf):
 def q_relative_dates(spark, sf):
     """Messages since each phrase's resolved bound; one row, one column pair per phrase."""
     anchor = F.lit(ANCHOR).cast("timestamp_ntz")
-    bounds = [resolve_date(F.lit(p), anchor) for p in PHRASES]
-    counts = _msgs(spark, sf).agg(*[F.count_if(F.col("timestamp") >= b).alias(f"since_{i:02d}")
-                                    for i, b in enumerate(bounds, 1)])
-    return counts.select("*", *[b.alias(f"bound_{i:02d}") for i, b in enumerate(bounds, 1)])
+    names = [f"{i:02d}" for i in range(1, len(PHRASES) + 1)]
+    # The phrases are rows of a small table, so the date grammar stands in the plan once.
+    phrases = spark.createDataFrame(list(zip(names, PHRASES)), "name string, phrase string").select(
+        "name", resolve_date(F.col("phrase"), anchor).alias("bound"))
+    bounds = phrases.agg(F.struct(*[F.max(F.when(F.col("name") == n, F.col("bound"))).alias(f"bound_{n}") for n in names])).scalar()
+    counts = _msgs(spark, sf).select("timestamp", bounds.alias("b")).agg(
+        *[F.count_if(F.col("timestamp") >= F.col(f"b.bound_{n}")).alias(f"since_{n}") for n in names])
+    return counts.withColumn("b", bounds).select(*[f"since_{n}" for n in names], "b.*")
 
 
 def q_term_stats(spark, sf):

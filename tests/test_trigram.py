@@ -125,7 +125,15 @@ def test_project_and_date_filters_open_few_files(spark, workdir):
     logs, store, path = f"{workdir}/logs", MessageStore(spark, f"{workdir}/table", buckets=2), f"{workdir}/zones"
     for p in range(4):
         write_file(f"{logs}/proj{p}/s.jsonl", [record(f"u{p}-{k}", ts=f"2031-03-{k % 28 + 1:02d}T00:00:00Z", content="word") for k in range(56)])
-    import_logs(spark, store, logs)
+    options = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:  # as many files as a large table would have
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        import_logs(spark, store, logs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     bounds = store.bounds(path)
     total = bounds.files(S.SearchQuery(keywords=["word"])).count()
     bounds.refresh()
