@@ -16,11 +16,13 @@ so no link depends on the choice of a leader - but for pairs that exact bounds
 rule out, from the shingles that only one document has and from what is known of
 their difference to the leader; these leave few pairs.
 
+(SuperMinHash's permutation of an element is here the affine map a r + b mod 127, so pairwise uniform only.)
+
 Defined results: lower-casing is A-Z only; fewer words than a shingle form one
 shingle; null, empty and blank texts have an empty set and are groups of one;
 rows that share a doc_id are one document and get one group, its links are
 judged on one of the texts (always the same); rows without doc_id are linked with
-nothing; very long texts are never cut; extra columns are ignored.
+nothing; an empty table gives an empty result; very long texts are never cut; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ FRACTION_BITS = 48
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 BATCH_SHINGLES = 1 << 18
 CLASS_BITS = 5
+SALT_ROWS = 2000  # rows of one side of a bucket that meet the other side in one task, about
 
 
 def shingles(raw, memo: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -192,16 +195,19 @@ def across_groups(rows: DataFrame, percent: int) -> DataFrame:
     """
     most = lambda apart, size: (100 + percent) * apart <= (100 - percent) * size
     n, own = F.col("n"), F.col("n_own")
-    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     rows = (rows.withColumn("n_own", total(F.col("own"))).withColumn("n_apart", total(F.col("apart")))
             .withColumn("open", F.zip_with("apart", "own", lambda a, o: F.greatest(F.lit(0), a - o))).join(least, "key")
             .withColumn("best", F.greatest(F.col("least"), n - own))
             .where(most(own + F.greatest(F.lit(0), own + F.col("best") - n), n + F.col("best"))))
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "n_own", "n_apart", "open", "group")]) for s in "xy")
+    x, y = (rows.select("key", "salts", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "n_own", "n_apart", "open", "group")]) for s in "xy")
+    # A large bucket is dealt over several tasks: each gets a share of one side and all of the other.
+    x = x.withColumn("salt", F.pmod(F.xxhash64("node_x"), F.col("salts")).cast("int")).drop("salts")
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     size = F.col("n_x") + F.col("n_y")
     by_size = size - 2 * F.least(F.col("n_x") - F.col("n_own_x"), F.col("n_y") - F.col("n_own_y"))
     by_leader = F.col("n_apart_x") + F.col("n_apart_y") - 2 * total(F.zip_with("open_x", "open_y", lambda a, b: F.least(a, b)))
-    return (x.join(y, "key").where((F.col("group_x") < F.col("group_y")) & most(by_size, size) & F.coalesce(most(by_leader, size), F.lit(True)))
+    return (x.join(y, ["key", "salt"]).where((F.col("group_x") < F.col("group_y")) & most(by_size, size) & F.coalesce(most(by_leader, size), F.lit(True)))
             .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
 
