@@ -10,8 +10,10 @@ once, as a table (context, byte) -> bits per language, and a text is scored
 by table look-ups, exactly. The language with the shortest code wins.
 
 Training takes whole texts of a bounded sample: the ``SAMPLE`` documents of
-each language with the smallest hash of their id, and languages with the most documents up to ``LANGUAGES``
-(both bounds are parameters). The model is bounded by them and sent to every task.
+each language with the smallest hash of their id (a parameter). All languages are learned. They are put
+into slices whose tables stay below ``MODEL_BYTES``; a slice is what a task holds, and texts pass through
+one slice after the other, keeping the best language so far. A code length depends
+on its own language alone, so slices change no result.
 
 Defined results: null text, or one without a letter: `und`, score 0; ties go
 to the first language by name; with no language learned all are `und`; rows that share an id
@@ -32,7 +34,7 @@ from logscope.llm.common import id_type, kept, raw_bytes
 
 ORDER = 3
 SAMPLE = 1500
-LANGUAGES = 64
+MODEL_BYTES = 256 << 20
 UNDEFINED = "und"
 LATIN_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -42,19 +44,24 @@ def held_out(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 4 == 2
 
 
-def sample(docs: DataFrame, per_language: int, languages: int) -> DataFrame:
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A checkpointed table of two numbers or names a row, marked for broadcast if it has few rows; otherwise it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text) of the documents to learn from."""
     own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = kept(own.groupBy("lang").agg(F.count("*").alias("n")))
     # Hashes are even, so about twice the wanted number lies below this bound, and the smallest surely do:
     # a task ranks a few thousand ids, however many a language has.
     share = (F.xxhash64("doc_id").bitwiseAND((1 << 62) - 1) / F.lit(float(1 << 62))).alias("share")
-    few = (own.select("doc_id", "lang", share).join(F.broadcast(top), "lang")
+    few = (own.select("doc_id", "lang", share).join(small(sizes), "lang")
            .where(F.col("share") * F.col("n") <= 2 * per_language + 200))
     chosen = (few.withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy("share", "doc_id")))
               .where(F.col("_k") <= per_language).select("doc_id"))
-    chosen = kept(chosen.distinct())  # per_language x languages ids at most
-    return own.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    chosen = kept(chosen.distinct())  # per_language ids for each language at most
+    return own.join(small(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
@@ -163,38 +170,68 @@ def has_letter(raw) -> bool:
     return bool(raw) and (LATIN_LETTER.search(raw) is not None or any(c.isalpha() for c in raw.decode("utf-8", "replace")))
 
 
-def fit(docs: DataFrame, order: int = ORDER, per_language: int = SAMPLE, languages: int = LANGUAGES):
-    """The model, or None if there is nothing to learn from. Only counts of the bounded sample come to the driver."""
-    counts: dict = {}
-    for r in gram_counts(sample(docs, per_language, languages), order).toArrow().group_by("lang").aggregate([("gram", "list"), ("n", "list")]).to_pylist():
-        if r["gram_list"]:
-            counts[r["lang"]] = (np.array(r["gram_list"], np.int64), np.array(r["n_list"], np.float64))
-    return Model(counts, order) if counts else None
+def slices(sizes: list, most: int) -> list:
+    """(language, contexts) -> lists of languages, by name, whose dense tables stay below ``most`` bytes (one at least)."""
+    out, contexts = [], 0
+    for name, n in sorted(sizes):
+        contexts += n
+        if not out or 4 * 257 * contexts * (len(out[-1]) + 1) > most:
+            out.append([])
+            contexts = n
+        out[-1].append(name)
+    return out
+
+
+def fit(docs: DataFrame, order: int = ORDER, per_language: int = SAMPLE, model_bytes: int = MODEL_BYTES) -> list:
+    """The models, one for each slice of the languages. Only a row per language and counts of a slice's sample come to the driver."""
+    grams = kept(gram_counts(sample(docs, per_language), order))
+    sizes = grams.groupBy("lang").agg(F.count_distinct(F.shiftright("gram", 8)).alias("n")).collect()  # a row per language
+    models = []
+    for names in slices([tuple(r) for r in sizes], model_bytes):
+        rows = grams.where(F.col("lang").isin(names)).toArrow().group_by("lang").aggregate([("gram", "list"), ("n", "list")])
+        models.append(Model({r["lang"]: (np.array(r["gram_list"], np.int64), np.array(r["n_list"], np.float64)) for r in rows.to_pylist()}, order))
+    return models
+
 
+STATE = "lang_pred string, score double, bits_per_byte double"
 
-def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, bits_per_byte). Map only.
+
+def identify(docs: DataFrame, models: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, bits_per_byte). Map only, one step for each of ``models``.
 
     score: the winner's share when each language weighs 2 ** -(bits per byte x at most 64 bytes).
     """
-    two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample and alphabet
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = raw_bytes(part.column(1))
-                names, scores, per_byte = [UNDEFINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                if m is not None:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"),
+                       F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+    for model in models:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES, or one language
+
+        def run(batches, shared=shared):
+            m = shared.value
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    texts = raw_bytes(part.column(1))
+                    names, scores, per_byte = (part.column(j).to_pylist() for j in (3, 4, 5))
                     bits = m.bits(texts)
                     for j, raw in enumerate(texts):
                         if has_letter(raw):
-                            best = int(np.argmin(bits[j]))
-                            weight = np.exp2(-(bits[j] - bits[j, best]) * min(1.0, 64 / len(raw)))
-                            names[j], scores[j], per_byte[j] = m.names[best], float(1 / weight.sum()), float(bits[j, best] / len(raw))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                                                  pa.array(per_byte, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
-
-    return two.mapInArrow(run, f"doc_id {id_type(two)}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+                            names[j], scores[j], per_byte[j] = better(m.names, bits[j], len(raw), names[j], scores[j], per_byte[j])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(names, pa.string()),
+                                                      pa.array(scores, pa.float64()), pa.array(per_byte, pa.float64())], part.schema.names)
+
+        rows = rows.mapInArrow(run, f"doc_id {id_type(rows)}, text string, held_out boolean, {STATE}")
+    return rows.drop("text")
+
+
+def better(names: list, bits: np.ndarray, size: int, name, score, per_byte) -> tuple:
+    """The best language of this slice or of those before, and its share; 1 / ``score`` is the weight of all languages so far."""
+    best, used = int(np.argmin(bits)), min(size, 64)
+    here = float(bits[best] / size)
+    weight = float(np.exp2(-(bits - bits[best]) * (used / size)).sum())
+    if per_byte is None:
+        return names[best], 1 / weight, here
+    gap = min(1000.0, abs(here - per_byte) * used)
+    if here < per_byte:
+        return names[best], 1 / (weight + 2.0 ** -gap / score), here
+    return name, 1 / (1 / score + weight * 2.0 ** -gap), per_byte
