@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,20 @@ def test_regex_runs_are_in_every_match():
     assert told > 100
 
 
+def test_grams_of_a_long_text_take_time_in_proportion(spark):
+    """All runs of three characters, whatever the characters; a long text takes one pass."""
+    rnd = random.Random(7)
+    texts = ["", "ab", "abc", "aaaa", "a\nb\r\nc\u2028d", "x\x00y\x00z", "\U0001f600\U0001f601yz\U0001f602", "o\u0308u\u0308a\u0308",
+             "".join(rnd.choice("abcdefgh \n\u00e4\u4e2d\U0001f600") for _ in range(20000))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "id long, t string").select("id", G.grams(F.col("t")).alias("g"))
+    began = time.time()
+    got = {r.id: r.g for r in df.collect()}
+    assert time.time() - began < 20
+    assert got.pop(len(texts)) is None
+    for k, t in enumerate(texts):
+        assert len(got[k]) == len(set(got[k])) and set(got[k]) == {t[i:i + 3] for i in range(len(t) - 2)}, k
+
+
 TEXTS = ["Segfault in malloc", "all is well", "warning: ÜBER limit", None, "", "ab", "İstanbul ΟΔΟΣ", "x\U0001f600yz", "stack trace of segfaults"]
 
 
