@@ -84,12 +84,16 @@ class TrigramIndex:
         new = materialised(table_files(self.spark, self.folder).join(self.indexed().select("file_id"), "file_id", "left_anti"))
         if new.isEmpty():
             return
-        rows = read_files(self.spark.read.parquet(self.folder), new)
-        pairs = rows.select(file_id(decoded_path(F.col("_metadata.file_path"))).alias("file_id"), F.explode(grams(F.col(self.text_col))).alias("gram"))
+        pairs = self.pairs(read_files(self.spark.read.parquet(self.folder), new))
         (pairs.groupBy("gram", "file_id").agg(F.lit(1)).select("gram", "file_id")
          .repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("append").parquet(f"{self.path}/grams"))
         new.select("file_path", "file_id").write.mode("append").parquet(f"{self.path}/files")
 
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """(file_id, gram) of each text; the file's id is worked out per text, before its trigrams become rows."""
+        texts = rows.select(file_id(decoded_path(F.col("_metadata.file_path"))).alias("file_id"), F.col(self.text_col).alias("text"))
+        return texts.select("file_id", F.explode(grams(F.col("text"))).alias("gram"))
+
     def files(self, keywords: Iterable[str] = (), mode: str = "and", regex: str | None = None) -> DataFrame | None:
         """(file_path) of the files that may hold a match, or None where all of them may."""
         wanted = alternatives(self.spark, keywords, mode, regex)

@@ -107,6 +107,20 @@ def test_searches_through_the_index_equal_scans(spark, workdir):
             folder_of(spark, folder, ["a new segfault", "other"], 100)
 
 
+def test_the_file_id_is_worked_out_per_text(spark, workdir):
+    """The path is decoded and hashed below the generator of trigrams, not once for each of its rows."""
+    folder = f"{workdir}/t"
+    folder_of(spark, folder, TEXTS)
+    index = G.TrigramIndex(spark, f"{workdir}/i", folder)
+    pairs = index.pairs(spark.read.parquet(folder))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "xxhash64" in plan and plan.index("Generate") < plan.index("xxhash64"), plan
+    assert pairs.where("gram = 'seg'").select("file_id").distinct().count() == 2
+    index.refresh()
+    built = spark.read.parquet(f"{workdir}/i/grams").select("file_id", "gram").collect()
+    assert sorted(built) == sorted(pairs.distinct().collect())
+
+
 def test_files_that_cannot_match_are_not_opened(spark, workdir):
     folder = f"{workdir}/t"
     folder_of(spark, folder, [f"text number {k} says {'needle' if k in (3, 17) else 'hay'}" for k in range(20)])
