@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import files_opened, record, write_file
 from logscope.operators import search as S
 from logscope.operators import trigram as G
+from logscope.plans import registry as R
 from logscope.plans.importer import import_logs
 from logscope.plans.store import MessageStore
 
@@ -121,6 +122,23 @@ def test_the_file_id_is_worked_out_per_text(spark, workdir):
     assert sorted(built) == sorted(pairs.distinct().collect())
 
 
+@pytest.mark.parametrize("name,keywords,mode,regex,want", [
+    ("kw_and_indexed", R.KW_RARE, "and", None, {"0-0", "1-0"}), ("kw_or_indexed", R.KW_RARE_OR, "or", None, {"2-1"}),
+    ("regex_indexed", (), "and", R.REGEX_RARE, {"0-0", "1-0", "2-1"})])
+def test_indexed_queries_on_long_messages(spark, workdir, name, keywords, mode, regex, want):
+    """The registered queries on messages of 40,000 characters: the rows of a scan, in time that follows the texts' length."""
+    rnd = random.Random(11)
+    long = lambda word: " ".join([*("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(5000)), word, "the end"])
+    rows = [(0, 0, "user", long("THATTH") + " thatth"), (0, 1, "assistant", long("that")), (1, 0, "user", "the thatth"), (1, 1, "assistant", None),
+            (2, 0, "user", long("ment")), (2, 1, "assistant", long("xmentouoix"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{workdir}/conversations.parquet")
+    began = time.time()
+    found = R.QUERIES[name](spark, workdir).collect()
+    assert time.time() - began < 60
+    scanned = S.search(R._msgs(spark, workdir), S.SearchQuery(keywords=keywords, mode=mode, regex=regex, limit=None)).collect()
+    assert sorted(found) == sorted(scanned) and {r.uuid for r in found} == want
+
+
 def test_files_that_cannot_match_are_not_opened(spark, workdir):
     folder = f"{workdir}/t"
     folder_of(spark, folder, [f"text number {k} says {'needle' if k in (3, 17) else 'hay'}" for k in range(20)])
