@@ -143,13 +143,6 @@ class _List:
         todo, found = [(f, state)], []
         while todo:
             d, (a, b, q, e1, e2, e3) = todo.pop()
-            # Words that end here: the cell of the query's own length is their distance.
-            done = self.length[a] == d
-            if done.any():
-                cell = self.length[q] - d
-                distance = np.where(cell == 0, e2, np.where(cell == 1, e3, np.where(cell == -1, e1, 9)))
-                hit = done & (distance == 1)
-                found.append((q[hit], a[hit]))
             cuts = start + np.flatnonzero(self.lcp[start:end] <= d)
             first, last = np.searchsorted(cuts, a), np.searchsorted(cuts, b)
             counts = last - first
@@ -158,6 +151,13 @@ class _List:
                 half = len(a) // 2
                 todo += [(d, tuple(x[:half] for x in (a, b, q, e1, e2, e3))), (d, tuple(x[half:] for x in (a, b, q, e1, e2, e3)))]
                 continue
+            # Words that end here, once their rows are few enough: the cell of the query's own length is their distance.
+            done = self.length[a] == d
+            if done.any():
+                cell = self.length[q] - d
+                distance = np.where(cell == 0, e2, np.where(cell == 1, e3, np.where(cell == -1, e1, 9)))
+                hit = done & (distance == 1)
+                found.append((q[hit], a[hit]))
             # Each range divides by the next character; the row of the edit matrix goes on for each part.
             of = np.repeat(np.arange(len(a), dtype=np.int32), counts)
             nth = (np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)) + np.repeat(first, counts)
