@@ -186,7 +186,7 @@ def apply_changes(spark: SparkSession, path: str, changed: DataFrame, touched: D
 
 def merge(spark: SparkSession, path: str, fan_in: int = MERGE) -> None:
     """Merge segments of like size (powers of ``fan_in``) while ``fan_in`` of them are there, and write a segment anew
-    when more than half of it is dead; dead postings stay behind."""
+    when half of it or more is dead; dead postings stay behind."""
     while True:
         c = newest(spark, path)
         tiers: dict = {}
@@ -198,7 +198,7 @@ def merge(spark: SparkSession, path: str, fan_in: int = MERGE) -> None:
             old = tiers[full]
         else:
             gone = {r["seg"]: r["count"] for r in index.dead.groupBy("seg").count().collect()}  # a row per segment
-            old = [r["seg"] for r in c["segs"] if 2 * gone.get(r["seg"], 0) > r["docs"]][:1]
+            old = [r["seg"] for r in c["segs"] if 2 * gone.get(r["seg"], 0) >= max(1, r["docs"])][:1]
         if not old:
             return
         mine = F.col("seg").isin(old)
